@@ -4,7 +4,7 @@ import importlib
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-GROUPS = ("timetravel", "features")
+GROUPS = ("timetravel", "features", "scoring", "decisions")
 
 
 def all_queries():
