@@ -410,5 +410,5 @@ def referee_trailing(matches: DataFrame, referee: str = "official_name", value:
     """Mean of a referee's ten matches before, across seasons; a first match takes the overall mean."""
     overall = matches.agg(F.avg(F.col(value).cast("double"))).first()[0]
     out = "referee_trailing_cards_per_match_10"
-    trailed = trailing_mean_rows(matches, [referee], list(order), value, REFEREE_WINDOW, out)
+    trailed = trailing_mean_rows(matches, [referee], list(order), {out: value}, REFEREE_WINDOW)
     return trailed.withColumn(out, F.coalesce(F.col(out), F.lit(overall)))

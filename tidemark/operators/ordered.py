@@ -10,7 +10,7 @@ Tables already rolled up to a bounded grain (rounds of a season, days of a calen
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -72,10 +72,10 @@ def previous_value(
 
 
 def trailing_mean_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rows: int, out: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], means: Mapping[str, str], rows: int,
     chunk: int = 100_000,
 ) -> DataFrame:
-    """Mean of the ``rows`` rows before each row of a key, for keys of any size.
+    """Means of the ``rows`` rows before each row of a key, for keys of any size; ``means`` is {out: column}.
 
     A key is cut into chunks by row position; the last rows of a chunk are repeated as context of the next.
     """
@@ -85,10 +85,8 @@ def trailing_mean_rows(
     copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spread = placed.withColumn("_ahead", F.explode(copies)).withColumn("_chunk", F.col("_chunk") + F.col("_ahead"))
     w = W.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-rows, -1)
-    return (
-        spread.withColumn(out, F.avg(F.col(value).cast("double")).over(w))
-        .filter("_ahead = 0").drop("_ahead", "_chunk", "_pos")
-    )
+    trailed = spread.select("*", *[F.avg(F.col(v).cast("double")).over(w).alias(out) for out, v in means.items()])
+    return trailed.filter("_ahead = 0").drop("_ahead", "_chunk", "_pos")
 
 
 def exact_percentiles(

@@ -77,7 +77,7 @@ base AS (SELECT {_MIDDLE} FROM base0),
 facts AS (SELECT {_FACTS} FROM base)"""
 
 
-def _columns(text: str) -> list[str]:
+def columns(text: str) -> list[str]:
     """Split a select list on its top-level commas."""
     out, depth, quoted, start = [], 0, False, 0
     for at, ch in enumerate(text):
@@ -98,9 +98,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     return (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .selectExpr(*_columns(_BASE))
-        .selectExpr(*_columns(_MIDDLE))
-        .selectExpr(*_columns(_FACTS))
+        .selectExpr(*columns(_BASE))
+        .selectExpr(*columns(_MIDDLE))
+        .selectExpr(*columns(_FACTS))
     )
 
 
@@ -122,7 +122,7 @@ LOG_SQL = f"WITH log AS (SELECT {_LOG} FROM events)"
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*_columns(_LOG))
+    return table(spark, sf_dir, "events").selectExpr(*columns(_LOG))
 
 
 # Binary and three-class predictions with labels.
@@ -136,5 +136,5 @@ SCORED_SQL = f"WITH scored AS (SELECT {_SCORED} FROM labels JOIN documents USING
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
-        *_columns(_SCORED)
+        *columns(_SCORED)
     )
