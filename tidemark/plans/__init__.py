@@ -4,7 +4,7 @@ import importlib
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-GROUPS = ("timetravel", "features", "scoring", "decisions", "probability", "metrics", "fitting")
+GROUPS = ("timetravel", "features", "scoring", "decisions", "probability", "metrics", "fitting", "relational")
 
 
 def all_queries():
