@@ -4,7 +4,10 @@ import importlib
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-GROUPS = ("timetravel", "features", "scoring", "decisions", "probability", "metrics", "fitting", "relational")
+GROUPS = (
+    "timetravel", "features", "scoring", "decisions", "probability", "metrics", "fitting", "relational", "identity",
+    "sources",
+)
 
 
 def all_queries():

@@ -14,8 +14,10 @@ FINAL_ROUND_OFFSET_DAYS = 7
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Types inferred from the whole file; dates stay text."""
-    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=1.0, inferDate="false",
-                          timestampFormat="'none'", preferDate="false")
+    inferred = spark.read.csv(path, header=True, inferSchema=True, samplingRatio=1.0).schema
+    temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    kept = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, temporal) else f.dataType) for f in inferred])
+    return spark.read.csv(path, header=True, schema=kept)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None, lines: bool = True) -> DataFrame:
