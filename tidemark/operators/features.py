@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.operators.ordered import trailing_mean_rows
+from tidemark.session import small
 
 # Trailing windows, defaults and thresholds of the features.
 WINDOWS = (3, 5, 10)
@@ -121,14 +122,16 @@ def first_by(order: Sequence[str], value: str) -> Column:
     return F.min(F.struct(*order, value))[value]
 
 
-def chronological_rank(df: DataFrame) -> DataFrame:
-    """``season position * 100 + round``; the season table has one row per calendar year at most."""
-    seasons = df.select("season").distinct()
-    ranked = seasons.withColumn("_s", F.dense_rank().over(W.orderBy("season")) - 1)
+def chronological_rank(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``season position * 100 + round``.
+
+    ``rows`` is a cheaper table with the same seasons (before any join), so that numbering the seasons
+    reads one column instead of running the whole query twice. There is one season per calendar year.
+    """
+    seasons = (df if rows is None else rows).select("season").distinct()
+    ranked = small(seasons.withColumn("_s", F.dense_rank().over(W.orderBy("season")) - 1))
     return (
-        df.join(F.broadcast(ranked), "season")
-        .withColumn("chronological_rank", F.col("_s") * 100 + F.col("round"))
-        .drop("_s")
+        df.join(ranked, "season").withColumn("chronological_rank", F.col("_s") * 100 + F.col("round")).drop("_s")
     )
 
 
@@ -151,7 +154,7 @@ def team_rounds(df: DataFrame, value: Column | str, out: str) -> DataFrame:
 
 
 def attach_team(df: DataFrame, team: DataFrame, feature: str) -> DataFrame:
-    joined = df.join(team, [*TEAM, "round"], "left")
+    joined = df.join(small(team), [*TEAM, "round"], "left")
     return joined.withColumn(feature, F.coalesce(F.col(feature), F.lit(0.0))).withColumn(
         "team_cold_start", F.coalesce(F.col("team_cold_start"), F.lit(True))
     )
@@ -175,7 +178,7 @@ def team_fixture_gap(df: DataFrame) -> DataFrame:
 def attach_gap(df: DataFrame, gap: DataFrame) -> DataFrame:
     first = F.col("fixture") == F.col("_first_fixture")
     return (
-        df.join(gap, [*TEAM, "kickoff"], "left")
+        df.join(small(gap), [*TEAM, "kickoff"], "left")
         .withColumn("days_since_team_previous_fixture", F.when(first, F.col("_gap")).otherwise(0.0))
         .withColumn("team_first_fixture_in_window", first & F.col("_opening"))
         .drop("_first_fixture", "_gap", "_opening")
@@ -307,14 +310,14 @@ def minutes_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_
     raw = eligible(facts, seasons, allow_live)
     labeled = minutes_state(raw.filter(F.col("starts").isNotNull()))
     table = attach_player(labeled, minutes_trail(minutes_rounds(labeled)))
-    return chronological_rank(attach_gap(table, team_fixture_gap(raw)))
+    return chronological_rank(attach_gap(table, team_fixture_gap(raw)), labeled)
 
 
 def attacking_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_live: bool = False) -> DataFrame:
     raw = eligible(facts, seasons, allow_live)
     labeled = raw.filter(F.col("expected_goals").isNotNull() & F.col("expected_assists").isNotNull())
     labeled = possible_goals(side_goals(labeled))
-    return chronological_rank(attach_player(labeled, attacking_trail(attacking_rounds(labeled))))
+    return chronological_rank(attach_player(labeled, attacking_trail(attacking_rounds(labeled))), labeled)
 
 
 def defensive_table(facts: DataFrame, thresholds: Mapping[str, int], seasons: Sequence[str] | None = None,
@@ -325,7 +328,7 @@ def defensive_table(facts: DataFrame, thresholds: Mapping[str, int], seasons: Se
     rows = defensive_group(raw, thresholds)
     table = attach_player(rows, defensive_trail(defensive_rounds(rows)), ("group", *PLAYER))
     team = team_rounds(raw, "defensive_contribution", "team_trailing_dc_mean_5")
-    return chronological_rank(attach_team(table, team, "team_trailing_dc_mean_5"))
+    return chronological_rank(attach_team(table, team, "team_trailing_dc_mean_5"), raw)
 
 
 def cards_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_live: bool = False) -> DataFrame:
@@ -333,21 +336,22 @@ def cards_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_li
     table = attach_player(raw, cards_trail(cards_rounds(raw)))
     team = team_rounds(raw, F.col("yellow_cards") + F.col("red_cards"), "team_trailing_cards_mean_5")
     table = attach_team(table, team, "team_trailing_cards_mean_5")
-    return chronological_rank(table.filter(F.col("minutes") > 0))  # after the windows: idle rounds count there
+    # Idle rows leave after the windows, where they count.
+    return chronological_rank(table.filter(F.col("minutes") > 0), raw.filter(F.col("minutes") > 0))
 
 
 def saves_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_live: bool = False) -> DataFrame:
     raw = eligible(facts, seasons, allow_live).filter(F.col("team").isNotNull() & (F.col("position") == "GK"))
     rows = side_goals(raw).withColumnRenamed("opponent_goals", "opponent_goals_this_fixture")
     table = attach_player(rows, saves_trail(saves_rounds(rows)))
-    return chronological_rank(table.filter(F.col("minutes") > 0))
+    return chronological_rank(table.filter(F.col("minutes") > 0), raw.filter(F.col("minutes") > 0))
 
 
 def bonus_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_live: bool = False) -> DataFrame:
     raw = minutes_fraction(eligible(facts, seasons, allow_live).filter(F.col("team").isNotNull()))
     table = attach_player(raw, bonus_trail(bonus_rounds(raw)))
     team = team_rounds(raw, "bps", "team_trailing_bps_mean_5")
-    return chronological_rank(attach_team(table, team, "team_trailing_bps_mean_5"))
+    return chronological_rank(attach_team(table, team, "team_trailing_bps_mean_5"), raw)
 
 
 # -- serving -----------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.maths import decay_weight, low_score_factor
 from tidemark.operators.ordered import row_positions
-from tidemark.session import TidemarkError
+from tidemark.session import TidemarkError, small
 
 # Priors of a team without history, bounds of the dependence parameter, fitting defaults.
 NO_HISTORY_ATTACK = -0.3061
@@ -207,7 +207,7 @@ def match_rates(matches: DataFrame, strength: DataFrame, home_advantage: float)
     h = strength.select(F.col("team").alias("home_team"), F.col("attack").alias("_ha"), F.col("defence").alias("_hd"))
     a = strength.select(F.col("team").alias("away_team"), F.col("attack").alias("_aa"), F.col("defence").alias("_ad"))
     return (
-        matches.join(h, "home_team").join(a, "away_team")
+        matches.join(small(h), "home_team").join(small(a), "away_team")
         .withColumn("home_rate", F.exp(F.col("_ha") + F.col("_ad") + home_advantage))
         .withColumn("away_rate", F.exp(F.col("_aa") + F.col("_hd")))
         .drop("_ha", "_hd", "_aa", "_ad")
@@ -216,7 +216,10 @@ def match_rates(matches: DataFrame, strength: DataFrame, home_advantage: float)
 
 def fit_dependence(matches: DataFrame, weight: str = "w", points: int = 21, passes: int = 6) -> float:
     """Dependence parameter of the low scorelines by a shrinking grid; each pass is one aggregate."""
-    low_cells = matches.filter((F.col("home_goals") <= 1) & (F.col("away_goals") <= 1)).persist(StorageLevel.MEMORY_AND_DISK)
+    # Rates belong to pairs of teams, so equal cells add up to a table of at most four rows per pair.
+    low_cells = matches.filter((F.col("home_goals") <= 1) & (F.col("away_goals") <= 1)).groupBy(
+        "home_goals", "away_goals", "home_rate", "away_rate"
+    ).agg(F.sum(weight).alias(weight)).persist(StorageLevel.MEMORY_AND_DISK)
     low, high = RHO_BOUNDS
     best = 0.0
     try:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.maths import (
-    MAX_GOALS, array_sum, binomial, clip, let, low_score_factor, negative_binomial, poisson, scaled,
+    MAX_GOALS, array_sum, clip, let, low_score_factor, mixed_binomial, mixed_negative_binomial, poisson, scaled,
 )
 from tidemark.operators.scoring import seeded_uniform
 
@@ -76,44 +76,25 @@ def goal_marginal(cells: DataFrame, key: Sequence[str], side: str = "h") -> Data
 # -- mixtures ----------------------------------------------------------------------------------------
 
 def unit_weights(weights: Column, name: str) -> Column:
-    """An array of structs with ``w``; the query fails when the weights do not sum to one."""
-    total = F.aggregate(weights, F.lit(0.0), lambda t, x: t + x["w"])
+    """An array of weights; the query fails when they do not sum to one."""
     bad = F.raise_error(F.lit(f"{name} must sum to 1"))
-    return F.when(F.abs(total - 1) <= TOLERANCE, weights).otherwise(bad)
+    return let(weights, lambda w: F.when(F.abs(array_sum(w) - 1) <= TOLERANCE, w).otherwise(bad))
 
 
-def involvement_mixture(share: Column, exposure: Column, goals: Column, max_count: int) -> Column:
+def involvement_mixture(share: Column, exposure: Column, goals: Column, max_count: int,
+                        minutes: Sequence[float] = BAND_MIDPOINTS) -> Column:
     """Counts of a player's involvements: binomial in the team's goals, weighted by minutes and goals.
 
-    ``exposure``: array of (minutes, w); ``goals``: array of (g, w). No minutes put all mass at zero.
+    ``exposure``: weights of the minute values; ``goals``: distribution of the team's goals from 0.
+    No minutes put all mass at zero.
     """
+    return mixed_binomial(share, unit_weights(exposure, "minute exposure"), minutes, unit_weights(goals, "goal marginal"), max_count)
 
-    def masses(e: Column, g: Column) -> Column:
-        def given_minutes(total: Column, part: Column, k: Column) -> Column:
-            p = clip(share * clip(part["minutes"], 0.0, 90.0) / 90.0, 0.0, 1.0)
-            return total + part["w"] * let(p, lambda q: F.aggregate(
-                g, F.lit(0.0), lambda u, x: u + x["w"] * binomial(k, x["g"], q)
-            ))
 
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(max_count)),
-            lambda k: F.aggregate(e, F.lit(0.0), lambda t, part: given_minutes(t, part, k)),
-        )
-
-    return scaled(let(unit_weights(exposure, "minute exposure"), lambda e: let(
-        unit_weights(goals, "goal marginal"), lambda g: masses(e, g)
-    )))
-
-
-def count_mixture(rate: Column, r: Column, exposure: Column, max_count: int) -> Column:
+def count_mixture(rate: Column, r: Column, exposure: Column, max_count: int,
+                  minutes: Sequence[float] = BAND_MIDPOINTS) -> Column:
     """Negative-binomial counts whose mean scales with minutes, weighted by exposure."""
-    zero = F.array_repeat(F.lit(0.0), max_count + 1)
-
-    def add(total: Column, e: Column) -> Column:
-        part = scaled(negative_binomial(rate * e["minutes"] / F.lit(90.0), r, max_count))
-        return F.zip_with(total, part, lambda t, p: t + e["w"] * p)
-
-    return scaled(F.aggregate(unit_weights(exposure, "minute exposure"), zero, add))
+    return mixed_negative_binomial(rate, r, unit_weights(exposure, "minute exposure"), minutes, max_count)
 
 
 def joint_minutes(p_state: Column, p_band: Column) -> Column:

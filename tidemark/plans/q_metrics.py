@@ -10,6 +10,7 @@ from tidemark.operators import metrics as me
 from tidemark.plans import standins as st
 from tidemark.plans.q_features import BONUS, BONUS_TRAIL, CARDS, CARDS_TRAIL, ROWS, ROW
 from tidemark.plans.registry import query
+from tidemark.session import small
 
 CLIPPED = "least(greatest(p, 1e-12), 1 - 1e-12)"
 LL = f"avg(-(y * ln({CLIPPED}) + (1 - y) * ln(1 - {CLIPPED})))"
@@ -249,7 +250,7 @@ def class_baseline(rows, features, outcome, names):
     joined = fe.attach_player(rows, features)
     shares = me.class_shares(rows, ["position"], outcome, range(len(names)))
     base = me.trailing_class_baseline([F.col(n) for n in names], F.col("shares"))
-    out = joined.join(F.broadcast(shares), "position").select(*ROWS, base.alias("b"))  # one row per position
+    out = joined.join(small(shares), "position").select(*ROWS, base.alias("b"))
     return out.select(*ROWS, *[F.round(F.get("b", F.lit(k)), 8).alias(f"b{k}") for k in range(len(names))])
 
 

@@ -128,10 +128,11 @@ def interpolate_knots(spark, sf):
   SELECT o_orderkey, CAST(k AS INT) AS points, round(p / sum(p) OVER (PARTITION BY o_orderkey), 9) AS probability FROM mix""")
 def involvement_mixture(spark, sf):
     orders = table(spark, sf, "orders")
-    exposure = F.expr("array(struct(0D AS minutes, 0.2D AS w), struct(45D AS minutes, 0.3D AS w), struct(90D AS minutes, 0.5D AS w))")
-    goals = F.expr("array(struct(1 AS g, 0.25D AS w), struct(CAST(o_orderkey % 4 AS INT) AS g, 0.75D AS w))")
+    exposure = F.expr("array(0.2D, 0.3D, 0.5D)")
+    second = F.col("o_orderkey") % 4
+    goals = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda g: F.when(g == 1, 0.25).otherwise(0.0) + F.when(g == second, 0.75).otherwise(0.0))
     share = 0.05 + (F.col("o_custkey") % 30) / F.lit(60.0)
-    rows = orders.select("o_orderkey", pm.involvement_mixture(share, exposure, goals, 6).alias("probs"))
+    rows = orders.select("o_orderkey", pm.involvement_mixture(share, exposure, goals, 6, (0.0, 45.0, 90.0)).alias("probs"))
     return pm.pmf_rows(rows, ["o_orderkey"]).withColumn("probability", F.round("probability", 9))
 
 
@@ -143,9 +144,9 @@ def involvement_mixture(spark, sf):
   SELECT o_orderkey, round(sum(we * q) FILTER (k >= 5), 8) AS p_ge_5, round(sum(we * q * k), 7) AS mean FROM one GROUP BY 1""")
 def count_mixture(spark, sf):
     orders = table(spark, sf, "orders")
-    exposure = F.expr("array(struct(0D AS minutes, 0.25D AS w), struct(60D AS minutes, 0.25D AS w), struct(90D AS minutes, 0.5D AS w))")
+    exposure = F.expr("array(0.25D, 0.25D, 0.5D)")
     rate, r = 1 + (F.col("o_custkey") % 30) / F.lit(5.0), 2.0 + F.col("o_orderkey") % 5
-    rows = orders.select("o_orderkey", pm.count_mixture(rate, r, exposure, 20).alias("probs"))
+    rows = orders.select("o_orderkey", pm.count_mixture(rate, r, exposure, 20, (0.0, 60.0, 90.0)).alias("probs"))
     stats = pm.moments(pm.pmf_rows(rows, ["o_orderkey"]), ["o_orderkey"], at_least=[5])
     return stats.select("o_orderkey", F.round("p_ge_5", 8).alias("p_ge_5"), F.round("mean", 7).alias("mean"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 class TidemarkError(ValueError):
@@ -21,6 +21,8 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Joins whose output feeds a window on the same key must still be split when skewed.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # HotSpot never compiles methods above 8000 bytes; wide generated stages would run interpreted.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
@@ -55,3 +57,16 @@ def settle(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# A table of at most this many narrow rows (some tens of MB) is sent to every executor.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A rolled-up side of a join: written once, counted, and broadcast only when it proved small.
+
+    Beyond the limit the join shuffles, with skewed partitions split at run time.
+    """
+    settled = settle(df)
+    return F.broadcast(settled) if settled.count() <= limit else settled

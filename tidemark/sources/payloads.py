@@ -98,15 +98,14 @@ _EVENT = ("STRUCT<id: STRING, commence_time: STRING, home_team: STRING, away_tea
 def quotes(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Bookmaker, market and outcome levels unrolled to one row per quote."""
     e = payloads.select(F.from_json(payload, _EVENT).alias("e"))
-    b = e.select("e.id", "e.commence_time", "e.home_team", "e.away_team", F.explode("e.bookmakers").alias("b"))
-    m = b.select("*", F.explode("b.markets").alias("m"))
-    o = m.select("*", F.explode("m.outcomes").alias("o"))
-    return o.select(
-        needed(F.col("id"), "id").alias("provider_event_id"), needed(F.col("commence_time"), "commence_time").alias("commence_time"),
-        "home_team", "away_team", F.col("b.key").alias("bookmaker_key"), F.col("b.title").alias("bookmaker_title"),
-        F.col("m.key").alias("market_key"), F.col("m.last_update").alias("market_last_update"), F.col("o.name").alias("outcome_name"),
-        F.col("o.description").alias("player_name_raw"), F.col("o.price").alias("outcome_price"), F.col("o.point").alias("outcome_point"),
+    match = ["provider_event_id", "commence_time", "home_team", "away_team"]
+    b = e.select(
+        needed(F.col("e.id"), "id").alias("provider_event_id"), needed(F.col("e.commence_time"), "commence_time").alias("commence_time"),
+        "e.home_team", "e.away_team", F.inline("e.bookmakers").alias("bookmaker_key", "bookmaker_title", "_markets"),
     )
+    m = b.select(*match, "bookmaker_key", "bookmaker_title", F.inline("_markets").alias("market_key", "market_last_update", "_outcomes"))
+    kept = [*match, "bookmaker_key", "bookmaker_title", "market_key", "market_last_update"]
+    return m.select(*kept, F.inline("_outcomes").alias("outcome_name", "player_name_raw", "outcome_price", "outcome_point"))
 
 
 def picks(payloads: DataFrame, payload: str = "payload") -> DataFrame:
