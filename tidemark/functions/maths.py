@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Decay and source weight of match evidence, and the support of a scoreline.
 HALF_LIFE_DAYS = 180.0
@@ -59,7 +59,7 @@ def negative_binomial(mean: Column, r: Column, max_count: int) -> Column:
     """Unnormalised masses at 0..max_count as an array. There is no log-gamma in Spark SQL; the recurrence
     runs on whole Arrow batches, far faster than as an interpreted array fold."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def batch(mean: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series(list(_negative_binomial(mean.to_numpy(float), r.to_numpy(float), max_count)))
 
@@ -69,7 +69,7 @@ def negative_binomial(mean: Column, r: Column, max_count: int) -> Column:
 def mixed_negative_binomial(rate: Column, r: Column, weights: Column, minutes: Sequence[float], max_count: int) -> Column:
     """Normalised masses mixed over minutes played: the mean scales with minutes/90, each part sums to one."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def batch(rate: pd.Series, r: pd.Series, weights: pd.Series) -> pd.Series:
         rates, shape, w = rate.to_numpy(float), r.to_numpy(float), np.stack(weights.to_numpy())
         total = np.zeros((len(rates), max_count + 1))
@@ -84,7 +84,7 @@ def mixed_negative_binomial(rate: Column, r: Column, weights: Column, minutes: S
 def mixed_binomial(share: Column, weights: Column, minutes: Sequence[float], goals: Column, max_count: int) -> Column:
     """Binomial masses mixed over minutes played (weights) and team goals (a dense distribution from 0)."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def batch(share: pd.Series, weights: pd.Series, goals: pd.Series) -> pd.Series:
         s, w = share.to_numpy(float), np.stack(weights.to_numpy())
         width = max(len(g) for g in goals)

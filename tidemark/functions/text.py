@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Latin letters that do not decompose, and what they become.
 LETTERS = {
@@ -36,7 +36,7 @@ def fold(text: Column) -> Column:
     return F.lower(F.regexp_replace(out, r"\p{M}", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_any(text: pd.Series) -> pd.Series:
     """The same for characters that decompose into several (ligatures, fractions, Hangul)."""
     table = str.maketrans(LETTERS)
