@@ -214,7 +214,7 @@ def match_rates(matches: DataFrame, strength: DataFrame, home_advantage: float)
     )
 
 
-def fit_dependence(matches: DataFrame, weight: str = "w", points: int = 21, passes: int = 6) -> float:
+def fit_dependence(matches: DataFrame, weight: str = "w", points: int = 21, passes: int = 9) -> float:
     """Dependence parameter of the low scorelines by a shrinking grid; each pass is one aggregate."""
     # Rates belong to pairs of teams, so equal cells add up to a table of at most four rows per pair.
     low_cells = matches.filter((F.col("home_goals") <= 1) & (F.col("away_goals") <= 1)).groupBy(

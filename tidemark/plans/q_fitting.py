@@ -127,19 +127,20 @@ def team_strength_scorelines(spark, sf):
 
 LOW_SQL = """WITH low AS (SELECT l_orderkey AS fixture, CAST(min(l_partkey) % 2 AS INT) AS h, CAST(min(l_suppkey) % 2 AS INT) AS a,
     0.6 + (l_orderkey % 13) / 10.0 AS l, 0.5 + (l_orderkey % 11) / 10.0 AS m, 0.5 + (l_orderkey % 5) / 10.0 AS w FROM lineitem GROUP BY l_orderkey),
-  grid AS (SELECT -0.25 + i * 0.00001 AS rho FROM range(0, 50001) r(i)),
-  cells AS (SELECT h, a, l, m, sum(w) AS w FROM low GROUP BY 1, 2, 3, 4),
-  lik AS (SELECT rho, min(t) AS worst, sum(w * ln(greatest(t, 1e-300))) AS v FROM (SELECT rho, w, CASE WHEN h = 0 AND a = 0 THEN 1 - l * m * rho WHEN h = 0 AND a = 1 THEN 1 + l * rho
-    WHEN h = 1 AND a = 0 THEN 1 + m * rho ELSE 1 - rho END AS t FROM cells, grid) GROUP BY 1)"""
+  cells AS (SELECT CASE WHEN h = 0 AND a = 0 THEN -l * m WHEN h = 0 AND a = 1 THEN l WHEN h = 1 AND a = 0 THEN m ELSE -1.0 END::DOUBLE AS c, sum(w)::DOUBLE AS w FROM low GROUP BY 1),
+  r0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS rho)"""
+for _i in range(1, 10):  # Newton on the concave log likelihood sum(w ln(1 + c rho))
+    LOW_SQL += (f", r{_i} AS MATERIALIZED (SELECT any_value(rho) + sum(w * c / (1 + c * rho)) / sum(w * c * c / ((1 + c * rho) * (1 + c * rho))) AS rho "
+                f"FROM cells, r{_i - 1})")
 
 
-@query("low_score_dependence", LOW_SQL + " SELECT CAST(round(arg_max(rho, v), 4) AS DOUBLE) AS rho FROM lik WHERE worst > 0")
+@query("low_score_dependence", LOW_SQL + " SELECT round(rho, 6) AS rho FROM r9")
 def low_score_dependence(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("fixture")).agg(
         (F.min("l_partkey") % 2).cast("int").alias("home_goals"), (F.min("l_suppkey") % 2).cast("int").alias("away_goals"))
     key = F.col("fixture")
     rated = rows.withColumn("home_rate", 0.6 + (key % 13) / F.lit(10.0)).withColumn("away_rate", 0.5 + (key % 11) / F.lit(10.0)).withColumn("w", 0.5 + (key % 5) / F.lit(10.0))
-    return spark.createDataFrame([(round(fi.fit_dependence(rated), 4),)], "rho double")
+    return spark.createDataFrame([(round(fi.fit_dependence(rated), 6),)], "rho double")
 
 
 @query("residual_profile", """SELECT l_returnflag, round(avg(r), 7) AS residual_mean, round(stddev_pop(r), 7) AS residual_std,

@@ -108,19 +108,19 @@ def shown_slopes(df, *keep):
     return df.select(*keep, *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "slope_se")])
 
 
-@query("calibration_slope", st.SCORED_SQL + ", " + newton_sql("(SELECT lang AS g, y, p FROM scored)") + f" SELECT g AS lang, {SLOPE_SHOW} FROM slopes")
+@query("calibration_slope", st.SCORED_SQL + ", " + newton_sql("(SELECT half AS g, y, p FROM scored)") + f" SELECT g AS half, {SLOPE_SHOW} FROM slopes")
 def calibration_slope(spark, sf):
-    return shown_slopes(me.calibration_slope(st.scored(spark, sf), "lang"), "lang")
+    return shown_slopes(me.calibration_slope(st.scored(spark, sf), "half"), "half")
 
 
 USABLE = ("NOT (0 BETWEEN slope - 1.959963985 * slope_se AND slope + 1.959963985 * slope_se) AS slope_usable, "
           "NOT (1 BETWEEN slope - 1.959963985 * slope_se AND slope + 1.959963985 * slope_se) AS departs_from_one")
 
 
-@query("slope_usability", st.SCORED_SQL + ", " + newton_sql("(SELECT lang AS g, y, p FROM scored)") + f" SELECT g AS lang, round(slope, 6) AS slope, {USABLE} FROM slopes")
+@query("slope_usability", st.SCORED_SQL + ", " + newton_sql("(SELECT half AS g, y, p FROM scored)") + f" SELECT g AS half, round(slope, 6) AS slope, {USABLE} FROM slopes")
 def slope_usability(spark, sf):
-    s = me.slope_usability(me.calibration_slope(st.scored(spark, sf), "lang"))
-    return s.select("lang", F.round("slope", 6).alias("slope"), "slope_usable", "departs_from_one")
+    s = me.slope_usability(me.calibration_slope(st.scored(spark, sf), "half"))
+    return s.select("half", F.round("slope", 6).alias("slope"), "slope_usable", "departs_from_one")
 
 
 REST_SQL = CLASSES_SQL + """, rest AS (SELECT 0 AS g, (y = 0)::INT AS y, p0 AS p FROM classes UNION ALL SELECT 1, (y = 1)::INT, p1 FROM classes
@@ -149,9 +149,9 @@ def evaluate_each_class(spark, sf):
     return shown_report(me.evaluate(me.one_vs_rest(classes(spark, sf)), "outcome"), "outcome")
 
 
-@query("metrics_by_group", st.SCORED_SQL + ", by_lang AS (SELECT lang AS g, y, p FROM scored)" + report_sql("by_lang") + f" SELECT g AS lang, {REPORT_SHOW} FROM report")
+@query("metrics_by_group", st.SCORED_SQL + ", by_half AS (SELECT half AS g, y, p FROM scored)" + report_sql("by_half") + f" SELECT g AS half, {REPORT_SHOW} FROM report")
 def metrics_by_group(spark, sf):
-    return shown_report(me.evaluate(st.scored(spark, sf), "lang"), "lang")
+    return shown_report(me.evaluate(st.scored(spark, sf), "half"), "half")
 
 
 @query("evaluate_binary", st.SCORED_SQL + ", whole AS (SELECT 0 AS g, y, p FROM scored)" + report_sql("whole") + """,

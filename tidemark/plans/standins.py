@@ -129,7 +129,8 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORED = """
   doc_id, quality AS y, n_chars, lang,
   (n_chars % 97 + 1) / CAST(99 AS DOUBLE) AS p,
-  CAST(floor(doc_id / 50) AS INT) AS fold
+  CAST(floor(doc_id / 50) AS INT) AS fold,
+  CAST(doc_id % 2 AS INT) AS half
 """
 SCORED_SQL = f"WITH scored AS (SELECT {_SCORED} FROM labels JOIN documents USING (doc_id))"
 
