@@ -10,8 +10,11 @@ from tidemark.plans import all_queries
 from tidemark.session import build_session
 
 HEADLINE = (
-    "as_of_state", "effective_at_state", "as_of_every_deadline", "trailing_mean", "minutes_training_table",
-    "attacking_training_table", "serve_minutes_rows",
+    "as_of_state", "effective_at_state", "as_of_every_deadline", "match_table", "trailing_mean", "minutes_training_table",
+    "attacking_training_table", "defensive_training_table", "cards_training_table", "saves_training_table",
+    "bonus_training_table", "serve_minutes_rows", "serve_bonus_rows", "resolve_players", "scoreline_summary",
+    "count_mixture", "combine_fixture_distributions", "evaluate_each_class", "isotonic_knots", "walk_forward_predictions",
+    "points_from_outcomes", "score_decisions_with_autosubs", "hold_lengths", "heartbeat_gaps",
 )
 
 

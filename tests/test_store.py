@@ -123,6 +123,7 @@ def test_effective_time_is_strict(spark):
     df = spark.createDataFrame(rows, "k int, v int, kickoff_time string").withColumn("observed_at", F.lit(T0)).withColumn("batch_id", F.col("v").cast("string"))
     read = lambda at: [r["v"] for r in tt.effective_at(df, ["k"], at, "kickoff_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").collect()]
     assert read(hour(13)) == [1]
+    assert read(hour(13) + timedelta(microseconds=1)) == [2]
     assert read(hour(13) + timedelta(seconds=1)) == [2]
     assert read(hour(12)) == []
 

@@ -225,16 +225,16 @@ def fit_dependence(matches: DataFrame, weight: str = "w", points: int = 21, pass
     try:
         for _ in range(passes):
             grid = [float(v) for v in np.linspace(low, high, points)]
-            sums = []
-            for i, rho in enumerate(grid):
-                tau = low_score_factor(F.col("home_goals"), F.col("away_goals"), F.col("home_rate"), F.col("away_rate"), F.lit(rho))
-                sums += [F.sum(F.col(weight) * F.ln(F.when(tau > 0, tau))).alias(f"l{i}"), F.count_if(tau <= 0).alias(f"z{i}")]
-            row = low_cells.agg(*sums).first()
-            if row["l0"] is None and all(row[f"l{i}"] is None for i in range(points)):
+            tried = low_cells.withColumn("_rho", F.explode(F.array(*[F.lit(v) for v in grid])))
+            tau = low_score_factor(F.col("home_goals"), F.col("away_goals"), F.col("home_rate"), F.col("away_rate"), F.col("_rho"))
+            scored = tried.groupBy("_rho").agg(
+                F.sum(F.col(weight) * F.ln(F.when(tau > 0, tau))).alias("value"), F.count_if(tau <= 0).alias("impossible")
+            ).collect()  # one row per grid point
+            value = {r["_rho"]: r["value"] for r in scored if not r["impossible"]}
+            if not value:
                 return 0.0
-            value = [row[f"l{i}"] if row[f"z{i}"] == 0 and row[f"l{i}"] is not None else -np.inf for i in range(points)]
-            at = int(np.argmax(value))
-            best = grid[at]
+            best = max(sorted(value), key=value.get)
+            at = grid.index(best)
             low, high = grid[max(0, at - 1)], grid[min(points - 1, at + 1)]
     finally:
         low_cells.unpersist()

@@ -187,10 +187,13 @@ def evaluate(df: DataFrame, group: str, n_bins: int = 10, y: str = "y", p: str =
 
 
 def evaluate_binary(df: DataFrame, n_bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
-    """One row with both binnings' calibration errors."""
-    whole = df.withColumn("_all", F.lit(0))
-    quantile = calibration_error(reliability(df, n_bins, "quantile", y=y, p=p), out="ece_quantile").first()[0]
-    return evaluate(whole, "_all", n_bins, y, p).withColumn("ece_quantile", F.lit(quantile)).drop("_all")
+    """One row with both binnings' calibration errors and the slope; the parts are single numbers."""
+    parts = {
+        "ece": calibration_error(reliability(df, n_bins, y=y, p=p)).first()[0],
+        "ece_quantile": calibration_error(reliability(df, n_bins, "quantile", y=y, p=p)).first()[0],
+        **slope_usability(calibration_slope(df, y=y, p=p)).first().asDict(),
+    }
+    return scores(df, (), y, p).select("*", *[F.lit(v).alias(k) for k, v in parts.items()])
 
 
 # -- comparisons and verdicts ------------------------------------------------------------------------

@@ -60,8 +60,8 @@ WALK_SQL = MINUTES_TRAIL + f""", t AS (SELECT l.season, l.round, l.element, l.fi
 
 
 def walked(spark, sf):
-    rows = fe.minutes_table(st.facts(spark, sf)).select(
-        *ROWS, "chronological_rank", F.col("minutes").cast("double").alias("y"), F.col("trailing_minutes_mean_5").alias("x"), F.lit(1.0).alias("one"))
+    rows = settle(fe.minutes_table(st.facts(spark, sf)).select(  # read for the sums and again for the predictions
+        *ROWS, "chronological_rank", F.col("minutes").cast("double").alias("y"), F.col("trailing_minutes_mean_5").alias("x"), F.lit(1.0).alias("one")))
     return fi.walk_forward_ridge(rows, ["one", "x"], "y", [0.01, 1.0, 100.0], min_rows=50)
 
 
