@@ -64,6 +64,31 @@ def match_cards(facts: DataFrame) -> DataFrame:
     return facts.groupBy("season", "fixture").agg(F.sum(F.col("yellow_cards") + F.col("red_cards")).alias("match_total_cards"))
 
 
+def resolved_referees(facts: DataFrame, team_identity: DataFrame, fixtures: DataFrame, officials: DataFrame) -> DataFrame:
+    """Referee and total cards of each fixture: opponent id to code, (date, away code) to match, match to referee.
+
+    ``team_identity``: season, id, code. ``fixtures``: match_id, kickoff, away_team_code. ``officials``:
+    match_id, is_referee, official_name. Fixtures without a referee drop out.
+    """
+    home = facts.filter("was_home").select("season", "round", "fixture", "opponent_team", "kickoff").distinct()
+    codes = team_identity.select("season", F.col("id").alias("opponent_team"), F.col("code").alias("away_team_code"))
+    played = fixtures.select("match_id", F.to_date("kickoff").alias("kickoff_date"), "away_team_code")
+    referees = officials.filter("is_referee").select("match_id", "official_name")
+    resolved = (
+        home.withColumn("kickoff_date", F.to_date("kickoff"))
+        .join(codes, ["season", "opponent_team"], "left").join(played, ["kickoff_date", "away_team_code"], "left")
+        .join(referees, "match_id", "left").join(match_cards(facts), ["season", "fixture"], "left")
+    )
+    return resolved.filter(F.col("official_name").isNotNull()).select(
+        "season", "round", "fixture", "kickoff", "match_id", "official_name", "match_total_cards"
+    )
+
+
+def attach_referee(table: DataFrame, referees: DataFrame, feature: str = "referee_trailing_cards_per_match_10") -> DataFrame:
+    """Rows of fixtures with a known referee, with the referee's trailing mean; the others leave."""
+    return table.join(referees.select("season", "round", "fixture", feature), ["season", "round", "fixture"])
+
+
 def rates_by_group(facts: DataFrame, group: str, condition: Column) -> DataFrame:
     """Share of an outcome per group, with the overall share for groups without rows."""
     counted = facts.groupBy(group).agg(F.count("*").alias("n"), F.sum(condition.cast("double")).alias("_s"))

@@ -155,7 +155,7 @@ SQUAD_SQL = """WITH el AS (SELECT s_suppkey AS id, s_nationkey AS team_code, 'Gi
 PKEY = PLAYER_SQL.format
 
 
-@query("resolve_players", SQUAD_SQL + rf""", keyed AS (SELECT *, {PKEY('player_name_raw')} AS key FROM asked),
+RESOLVED_SQL = SQUAD_SQL + rf""", keyed AS (SELECT *, {PKEY('player_name_raw')} AS key FROM asked),
   sided AS (SELECT *, home_team_code AS team_code FROM keyed UNION SELECT *, away_team_code FROM keyed),
   whole AS (SELECT team_code, id, {PKEY("first_name || ' ' || second_name")} AS part FROM el),
   web AS (SELECT team_code, id, {PKEY('web_name')} AS w FROM el),
@@ -165,9 +165,13 @@ PKEY = PLAYER_SQL.format
     UNION SELECT home_team_code, away_team_code, player_name_raw, 3, w.id FROM (SELECT *, unnest(list_filter(regexp_split_to_array(key, '[-\s]+'), lambda t: length(t) >= 4)) AS tok FROM sided) s
       JOIN words w ON s.team_code = w.team_code AND w.part = s.tok),
   best AS (SELECT home_team_code, away_team_code, player_name_raw, rung, count(DISTINCT id) AS n, min(id) AS id,
-    row_number() OVER (PARTITION BY home_team_code, away_team_code, player_name_raw ORDER BY rung) AS rn FROM hits GROUP BY 1, 2, 3, 4)
-  SELECT home_team_code, away_team_code, player_name_raw, coalesce(CASE WHEN n = 1 THEN id END, -1) AS player_element_id, coalesce(rung, 0) AS rung
-  FROM asked LEFT JOIN (SELECT * FROM best WHERE rn = 1) USING (home_team_code, away_team_code, player_name_raw)""")
+    row_number() OVER (PARTITION BY home_team_code, away_team_code, player_name_raw ORDER BY rung) AS rn FROM hits GROUP BY 1, 2, 3, 4),
+  resolved AS (SELECT home_team_code, away_team_code, player_name_raw, CASE WHEN n = 1 THEN id END AS id, rung
+    FROM asked LEFT JOIN (SELECT * FROM best WHERE rn = 1) USING (home_team_code, away_team_code, player_name_raw))"""
+
+
+@query("resolve_players", RESOLVED_SQL + """
+  SELECT home_team_code, away_team_code, player_name_raw, coalesce(id, -1) AS player_element_id, coalesce(rung, 0) AS rung FROM resolved""")
 def resolve_players(spark, sf):
     found = ident.resolve_players(asked_names(spark, sf), squad(spark, sf))
     return found.withColumn("player_element_id", F.coalesce("player_element_id", F.lit(-1))).withColumn("rung", F.coalesce("rung", F.lit(0)))
@@ -192,7 +196,12 @@ def asked_names(spark, sf):
     return table(spark, sf, "lineitem").select((k % 25).alias("home_team_code"), ((k + 1 + line) % 25).alias("away_team_code"), name.alias("player_name_raw"))
 
 
-@query("quotes_with_unresolved_kept")
+@query("quotes_with_unresolved_kept", RESOLVED_SQL + """, quotes AS (
+    SELECT q.*, l_suppkey FROM lineitem JOIN (SELECT DISTINCT * FROM asked) q ON q.home_team_code = l_suppkey % 25 AND q.away_team_code = (l_suppkey + 1 + l_linenumber) % 25
+      AND q.player_name_raw = CASE l_linenumber % 4 WHEN 0 THEN 'Gív' || (l_suppkey % 9) || ' Sur' || (l_suppkey % 40) || '-Tail' || l_suppkey
+        WHEN 1 THEN 'Someone Sur' || (l_suppkey % 40) WHEN 2 THEN 'Tail' || l_suppkey || ' de la Cruz' ELSE 'Nobody Atall' END)
+  SELECT player_name_raw, id IS NOT NULL AS identity_resolved, count(*) AS n_quotes
+  FROM quotes JOIN resolved USING (home_team_code, away_team_code, player_name_raw) GROUP BY 1, 2""")
 def quotes_with_unresolved_kept(spark, sf):
     asked = asked_names(spark, sf)
     kept = ident.attach_players(asked, ident.resolve_players(asked, squad(spark, sf)))

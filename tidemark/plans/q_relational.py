@@ -226,6 +226,38 @@ def referee_of_match(spark, sf):
         "fixture", "away_team_code", "match_id", F.coalesce("cards", F.lit(0)).alias("cards"), "official_name")
 
 
+REFEREE_SQL = st.FACTS_SQL + """, shaped AS (SELECT * REPLACE (CAST(fixture % 25 AS INT) AS opponent_team, CAST(date_trunc('week', kickoff) AS TIMESTAMP) AS kickoff) FROM facts),
+  fx AS (SELECT min(fixture) AS match_id, kickoff, opponent_team + 100 AS away_team_code FROM shaped WHERE fixture % 3 > 0 GROUP BY 2, 3),
+  home AS (SELECT DISTINCT season, round, fixture, opponent_team, kickoff FROM shaped WHERE was_home),
+  cards AS (SELECT season, fixture, sum(yellow_cards + red_cards) AS cards FROM shaped GROUP BY 1, 2),
+  resolved AS (SELECT h.season, h.round, h.fixture, h.kickoff, f.match_id, 'Ref ' || (f.match_id % 40) AS official_name, cards AS match_total_cards
+    FROM home h JOIN fx f ON f.kickoff = h.kickoff AND f.away_team_code = h.opponent_team + 100 JOIN cards USING (season, fixture)),
+  trailed AS (SELECT *, coalesce(avg(CAST(match_total_cards AS DOUBLE)) OVER (PARTITION BY official_name ORDER BY kickoff, season, round, fixture ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+    (SELECT avg(match_total_cards) FROM resolved)) AS m FROM resolved)"""
+
+
+def referees(spark, sf):
+    week = F.date_trunc("week", "kickoff").cast("timestamp_ntz")
+    facts = st.facts(spark, sf).withColumn("opponent_team", (F.col("fixture") % 25).cast("int")).withColumn("kickoff", week)
+    identity = facts.select("season", F.col("opponent_team").alias("id")).distinct().withColumn("code", F.col("id") + 100)
+    fixtures = facts.filter("fixture % 3 > 0").groupBy("kickoff", (F.col("opponent_team") + 100).alias("away_team_code")).agg(F.min("fixture").alias("match_id"))
+    officials = fixtures.select("match_id", F.lit(True).alias("is_referee"), F.concat(F.lit("Ref "), (F.col("match_id") % 40).cast("string")).alias("official_name")).distinct()
+    return facts, fe.referee_trailing(ro.resolved_referees(facts, identity, fixtures, officials), order=("kickoff", "season", "round", "fixture"))
+
+
+@query("referee_trailing_table", REFEREE_SQL + " SELECT season, round, fixture, match_id, official_name, CAST(match_total_cards AS BIGINT) AS match_total_cards, round(m, 6) AS referee_mean FROM trailed")
+def referee_trailing_table(spark, sf):
+    _, table_ = referees(spark, sf)
+    return table_.select("season", "round", "fixture", "match_id", "official_name", "match_total_cards",
+                         F.round("referee_trailing_cards_per_match_10", 6).alias("referee_mean"))
+
+
+@query("referee_feature_attached", REFEREE_SQL + f" SELECT {ROW}, round(m, 6) AS referee_mean FROM shaped JOIN trailed USING (season, round, fixture)")
+def referee_feature_attached(spark, sf):
+    facts, table_ = referees(spark, sf)
+    return ro.attach_referee(facts, table_).select(*ROWS, F.round("referee_trailing_cards_per_match_10", 6).alias("referee_mean"))
+
+
 @query("finished_work_removed", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def finished_work_removed(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey")
