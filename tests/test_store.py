@@ -157,3 +157,15 @@ def test_derived_rows_need_their_mark(store, spark):
     store.write("derived_minutes_pmf", forged, valid_at=hour(2), observed_at=hour(2), source="x")
     with pytest.raises(Exception, match="not marked as modelled"):
         store.read_derived("derived_minutes_pmf", hour(3)).collect()
+
+
+def test_cutoffs_do_not_move_with_the_session_zone(spark):
+    df = spark.createDataFrame([(1, hour(3).replace(tzinfo=None), 1)], "k int, observed_at timestamp_ntz, batch_id int")
+    deadlines = spark.createDataFrame([(hour(3).replace(tzinfo=None),)], "deadline timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert tt.as_of(df, ["k"], hour(3)).count() == 1
+        assert tt.as_of(df, ["k"], hour(3) - timedelta(microseconds=1)).count() == 0
+        assert tt.as_of_deadlines(df, ["k"], deadlines).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

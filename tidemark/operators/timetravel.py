@@ -28,10 +28,15 @@ def instant(name: str, cutoff: datetime) -> datetime:
 def instant_column(cutoff: datetime, dtype: T.DataType) -> Column:
     """A literal of the column's own type, so that the comparison reaches the Parquet scan."""
     if isinstance(dtype, T.TimestampNTZType):
-        return F.lit(cutoff.replace(tzinfo=None)).cast("timestamp_ntz")
+        return naive_literal(cutoff)
     return F.lit(cutoff).cast(dtype)
 
 
+def naive_literal(moment: datetime) -> Column:
+    """The clock reading itself; a Python datetime literal would be moved by the zones of Python and the session."""
+    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def _newest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     if not key:
         return df.orderBy(*order).limit(1)
@@ -90,7 +95,9 @@ def _interval_of(df: DataFrame, deadlines: DataFrame, deadline: str, observed: s
     if len(head) <= LITERAL_DEADLINES:
         head.sort()
         kind = df.schema[observed].dataType
-        known = F.array(*[F.lit(d).cast(kind) for d in head]) if head else F.array().cast(T.ArrayType(kind))
+        naive = isinstance(dates.schema[0].dataType, T.TimestampNTZType)
+        marks = [(naive_literal(d) if naive else F.lit(d)).cast(kind) for d in head]
+        known = F.array(*marks) if marks else F.array().cast(T.ArrayType(kind))
         number = F.size(F.filter(known, lambda d: d < F.col(observed)))
         numbered = df.sparkSession.createDataFrame(
             [(i, d) for i, d in enumerate(head)],
