@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.text import MIN_TOKEN, last_token, player_key, team_key, tokens
-from tidemark.session import TidemarkError
+from tidemark.session import TidemarkError, settle
 
 # Long club names and the short names they stand for.
 TEAM_ALIASES = {
@@ -105,7 +105,8 @@ def resolve_players(names: DataFrame, elements: DataFrame, name: str = "player_n
     second_name, web_name.
     """
     who = ["home_team_code", "away_team_code", name]
-    asked = names.select(*who).distinct().withColumn("_key", player_key(F.col(name))).filter(F.col("_key") != "")
+    everyone = settle(names.select(*who).distinct())  # each rung reads the distinct names, not all the quotes
+    asked = everyone.withColumn("_key", player_key(F.col(name))).filter(F.col("_key") != "")
     asked = asked.withColumn("team_code", F.explode(F.array_distinct(F.array("home_team_code", "away_team_code"))))
 
     whole = elements.select("team_code", F.col("id").alias("_id"), player_key(F.concat_ws(" ", "first_name", "second_name")).alias("_part"))
@@ -123,7 +124,7 @@ def resolve_players(names: DataFrame, elements: DataFrame, name: str = "player_n
     # The lowest and highest element of a rung tell whether it is alone, without listing them.
     counted = hits.groupBy(*who, "_rung").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
     first = counted.groupBy(*who).agg(F.min(F.struct("_rung", "_lo", "_hi")).alias("_f"))
-    found = names.select(*who).distinct().join(first, who, "left")
+    found = everyone.join(first, who, "left")
     return found.select(
         *who, F.when(F.col("_f._lo") == F.col("_f._hi"), F.col("_f._lo")).alias("player_element_id"),
         F.col("_f._rung").alias("rung"),
