@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_fm
+from tidemark.llm import pii_spans, quality_fm, secret_cnn
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.find(read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans.find(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op8_pii": op8_pii,
 }
 ORACLES: dict[str, str] = {}
