@@ -6,9 +6,10 @@ Candidates must then agree in enough of all minima (signature verification, far
 the similarity is confirmed on the full sets. Components come from alternating large-star and small-star steps.
 
 Not all pairs of a bucket are emitted. Documents with equal sets collapse to their smallest id. Then two rounds of stars
-pair each bucket's members with one centre (first the member that meets most others, then the smallest id outside the
-largest component), and a last round pairs only members of one bucket that are still in different components. So every
-candidate pair is either confirmed or inside one component, which is what components need.
+pair each bucket's members with one centre (first the member that meets most others, then the smallest id of the
+bucket's last component), and a last round pairs only members of one bucket that are still in different components and
+that no bound on their similarity rules out. So every candidate pair that can reach the limit is confirmed or inside one
+component, which is what components need.
 
 The digests of shingles have 64 bits. Intermediate tables are written to the shared folder, so a lost executor costs a
 recomputation of its tasks only.
@@ -51,10 +52,10 @@ def shingle_sets(column: pa.Array, words: int = 5) -> list[np.ndarray]:
         if b - a >= words:
             out.append(np.unique(long[a:b - words + 1]))
         elif b > a:
-            acc = digests[a] + np.uint64(b - a)
+            acc = digests[a:a + 1] + np.uint64(b - a)
             for k in range(a + 1, b):
-                acc = T.mix(np.array([acc * _CHAIN + digests[k]]))[0]
-            out.append(np.array([acc], np.uint64))
+                acc = T.mix(acc * _CHAIN + digests[k:k + 1])
+            out.append(acc)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -192,13 +193,15 @@ def components(documents: DataFrame, percent: int = 85, agree: float = 0.15) ->
     own = filled.join(first.select(F.col("first").alias("doc_id"), "set_low", "set_high"), ["doc_id", "set_low", "set_high"])
     own = settle(own.dropDuplicates(["doc_id", "set_low", "set_high"]).select("doc_id", "n_shingles", "minima", "bands"))
 
-    slots = own.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    slots = own.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     slots = settle(slots.join(shared, "key"))  # places in buckets of two members and more
     edges = settle(_checked(_star_pairs(slots), own, documents, percent, agree))
     labels = connected(edges)
-    for pairs in (_second_stars, _remaining_pairs):
-        more = settle(_checked(pairs(slots, labels), own, documents, percent, agree))
+    for pairs in (_second_stars(slots, labels), None):
+        # The last pairs depend on the components that the stars before have joined.
+        pairs = _remaining_pairs(slots, labels, own, documents, percent) if pairs is None else pairs
+        more = settle(_checked(pairs, own, documents, percent, agree))
         if more.isEmpty():
             continue
         edges = edges.union(more)
@@ -253,9 +256,27 @@ def _second_stars(slots: DataFrame, labels: DataFrame) -> DataFrame:
             .select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"), F.col("n_shingles").alias("n_a"), "n_b"))
 
 
-def _remaining_pairs(slots: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of one bucket that are still in different components."""
+def _remaining_pairs(slots: DataFrame, labels: DataFrame, own: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket that are still in different components and that no bound rules out.
+
+    A shingle that no other document of the split buckets has cannot be shared, so with u such shingles of n a document
+    shares at most n - u, and its similarity to a set of m is at most (n - u) / (m + u). The bound on the bucket's smallest
+    set takes whole documents out before the join, the pair's own bound is part of the join, and a pair comes from its
+    first common band only.
+    """
     split = settle(_split_buckets(slots, labels))
-    left = split.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component_id").alias("c_a"))
-    right = split.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component_id").alias("c_b"))
-    return left.join(right, "key").where("a > b and c_a != c_b").select("a", "b", "n_a", "n_b")
+    ids = split.select("doc_id").distinct()
+    lone = (full_sets(documents.join(ids, "doc_id", "left_semi")).select("doc_id", F.explode("shingles").alias("shingle"))
+            .groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+            .groupBy("doc_id").agg(F.count("*").alias("lone")))
+    least = split.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    able = (split.join(least, "key").join(lone, "doc_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+            .where(F.expr(f"100 * (n_shingles - lone) >= {percent} * (greatest(least, {percent} * n_shingles div 100) + lone)"))
+            .join(own.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id"))
+    able = settle(able.select("key", "band", "doc_id", "n_shingles", "lone", "component_id", F.slice("bands", 1, F.col("band")).alias("earlier")))
+    left = able.toDF("key", "band", "a", "n_a", "lone_a", "c_a", "earlier_a")
+    right = able.toDF("key", "band_b", "b", "n_b", "lone_b", "c_b", "earlier_b").drop("band_b")
+    most = "least(n_a - lone_a, n_b - lone_b)"
+    return (left.join(right, "key")
+            .where(f"a > b and c_a != c_b and 100 * {most} >= {percent} * (n_a + n_b - {most})"
+                   " and not arrays_overlap(earlier_a, earlier_b)").select("a", "b", "n_a", "n_b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pii_spans, quality_fm, secret_cnn
+from tidemark.llm import minhash_components, pii_spans, quality_fm, secret_cnn
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.find(read(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components.components(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op8_pii": op8_pii,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
