@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash_components, pii_spans, quality_fm, secret_cnn
+from tidemark.llm import config_packing, minhash_components, pii_spans, quality_fm, secret_cnn
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.find(read(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_near_duplicates": op9_near_duplicates,
 }
