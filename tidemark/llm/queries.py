@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import config_packing, minhash_components, pii_spans, quality_fm, secret_cnn
+from tidemark.llm import config_packing, minhash_components, order_minhash, pii_spans, quality_fm, raking, secret_cnn
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare(read(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_cnn.find(read(spark, sf_dir, "documents"))
 
@@ -32,11 +36,17 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components.components(read(spark, sf_dir, "documents"))
 
 
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.weights(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_mixture": op10_mixture,
 }
 ORACLES: dict[str, str] = {}
