@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import config_packing, minhash_components, order_minhash, pii_spans, quality_fm, raking, secret_cnn
+from tidemark.llm import config_packing, cover_search, minhash_components, order_minhash, pii_spans, quality_fm, raking, secret_cnn
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(read(spark, sf_dir, "documents"))
 
@@ -44,9 +48,20 @@ QUERIES: dict[str, Query] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_top_k": op5_top_k,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixture": op10_mixture,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_top_k": """
+        with parts as (select vec_id, unnest(embedding)::double as c, unnest(range(len(embedding))) as at from embeddings),
+        bad as (select distinct vec_id from parts where c is null or not isfinite(c)),
+        v as (select vec_id, list_transform(embedding, lambda c: floor(1024 * c::double)) as x from embeddings
+              where embedding is not null and vec_id is not null and vec_id not in (select vec_id from bad)),
+        s as (select q.vec_id as query_id, r.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * r.x[i]))::bigint as score
+              from v q join v r on q.vec_id % 100 = 0 and r.vec_id != q.vec_id and len(q.x) = len(r.x))
+        select query_id, rank::int as rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""",
+}
