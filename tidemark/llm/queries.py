@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import config_packing, cover_search, minhash_components, order_minhash, pii_spans, quality_fm, raking, secret_cnn
+from tidemark.llm import config_packing, cover_search, minhash_components, order_minhash, passage_dedup, pii_spans, quality_fm, raking, secret_cnn
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_repeated_passages": op1_repeated_passages,
     "op2_fingerprints": op2_fingerprints,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
