@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import texts as T
-from tidemark.session import settle
+from tidemark.session import scratch_path, settle
 
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
@@ -86,6 +86,24 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return acc
 
 
+#: So many ids at most are sent to every task (some megabytes); beyond that the texts are shuffled.
+BROADCAST_IDS = 500_000
+#: Buckets above this size are paired under bounds only.
+LARGE_BUCKET = 16
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; unlike a checkpoint, readers take single columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the distinct ids (a settled table)."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
@@ -171,37 +189,38 @@ def agreement(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
     return wide.select("a", "b", "minima_a", "minima_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity: 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = settle(full_sets(documents.join(ids, "doc_id", "left_semi")))
     inter = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - inter
     return (pairs.join(sets.toDF("b", "shingles_b"), "b").join(sets.toDF("a", "shingles_a"), "a")
-            .where(100 * inter >= percent * union).select("a", "b"))
+            .where(100 * inter >= percent * union).select("a", "b").distinct())
 
 
 def components(documents: DataFrame, percent: int = 85, agree: float = 0.15) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of the documents."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = settle(sketches(documents))
+    sketch = written(sketches(documents), "sketch")
     # Equal sets: every document is linked with the smallest id of its set.
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
     first = filled.groupBy("set_low", "set_high").agg(F.min("doc_id").alias("first"))
     copies = filled.select("doc_id", "set_low", "set_high").join(first, ["set_low", "set_high"]).where("doc_id != first")
-    copies = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    own = filled.join(first.select(F.col("first").alias("doc_id"), "set_low", "set_high"), ["doc_id", "set_low", "set_high"])
-    own = settle(own.dropDuplicates(["doc_id", "set_low", "set_high"]).select("doc_id", "n_shingles", "minima", "bands"))
+    copies = settle(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
 
-    slots = own.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    # One document stands for each set. An id with several rows may stand for several; their places are its own.
+    places = filled.join(first.select(F.col("first").alias("doc_id"), "set_low", "set_high"), ["doc_id", "set_low", "set_high"], "left_semi")
+    slots = (places.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key")).distinct())
     shared = slots.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     slots = settle(slots.join(shared, "key"))  # places in buckets of two members and more
-    edges = settle(_checked(_star_pairs(slots), own, documents, percent, agree))
+    ids = settle(slots.select("doc_id").distinct())
+    minima = written(of_ids(filled.select("doc_id", "minima", "bands"), ids).distinct(), "minima")
+    sets = written(full_sets(of_ids(documents, ids)), "sets")
+    edges = settle(_checked(_star_pairs(slots), minima, sets, percent, agree))
     labels = connected(edges)
     for pairs in (_second_stars(slots, labels), None):
         # The last pairs depend on the components that the stars before have joined.
-        pairs = _remaining_pairs(slots, labels, own, documents, percent) if pairs is None else pairs
-        more = settle(_checked(pairs, own, documents, percent, agree))
+        pairs = _remaining_pairs(slots, labels, minima, sets, percent) if pairs is None else pairs
+        more = settle(_checked(pairs, minima, sets, percent, agree))
         if more.isEmpty():
             continue
         edges = edges.union(more)
@@ -217,10 +236,10 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
 
-def _checked(pairs: DataFrame, sketch: DataFrame, documents: DataFrame, percent: int, agree: float) -> DataFrame:
+def _checked(pairs: DataFrame, minima: DataFrame, sets: DataFrame, percent: int, agree: float) -> DataFrame:
     pairs = _sized(pairs, percent).select("a", "b").distinct()
-    likely = settle(agreement(pairs, sketch, percent / 100 - agree))
-    return confirmed(likely, documents, percent)
+    likely = settle(agreement(pairs, minima, percent / 100 - agree))
+    return confirmed(likely, sets, percent)
 
 
 def _star_pairs(slots: DataFrame) -> DataFrame:
@@ -241,9 +260,10 @@ def _with_centre(slots: DataFrame, centre: DataFrame) -> DataFrame:
 
 
 def _split_buckets(slots: DataFrame, labels: DataFrame) -> DataFrame:
-    """Places in buckets whose members are in different components, with the component."""
+    """Places in buckets whose members are in different components, with the component and the smallest set."""
     named = slots.join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    range_ = named.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+    range_ = named.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"),
+                                      F.min("n_shingles").alias("least"))
     return named.join(range_.where("low < high"), "key")
 
 
@@ -256,27 +276,43 @@ def _second_stars(slots: DataFrame, labels: DataFrame) -> DataFrame:
             .select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"), F.col("n_shingles").alias("n_a"), "n_b"))
 
 
-def _remaining_pairs(slots: DataFrame, labels: DataFrame, own: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _remaining_pairs(slots: DataFrame, labels: DataFrame, minima: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that are still in different components and that no bound rules out.
 
-    A shingle that no other document of the split buckets has cannot be shared, so with u such shingles of n a document
-    shares at most n - u, and its similarity to a set of m is at most (n - u) / (m + u). The bound on the bucket's smallest
-    set takes whole documents out before the join, the pair's own bound is part of the join, and a pair comes from its
-    first common band only.
+    Small buckets give all their pairs. In large ones, a shingle that no other document of these buckets has cannot be
+    shared, so with u such shingles of n a document shares at most n - u, and its similarity to a set of m is at most
+    (n - u) / (m + u). The bound on the bucket's smallest set takes whole documents out before the join. Within the join
+    the bound is on the pair, and once more with shingles of up to three documents counted as unshared, unless the two
+    have one of these in common. A pair comes from its first common band only.
     """
     split = settle(_split_buckets(slots, labels))
-    ids = split.select("doc_id").distinct()
-    lone = (full_sets(documents.join(ids, "doc_id", "left_semi")).select("doc_id", F.explode("shingles").alias("shingle"))
-            .groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-            .groupBy("doc_id").agg(F.count("*").alias("lone")))
-    least = split.groupBy("key").agg(F.min("n_shingles").alias("least"))
-    able = (split.join(least, "key").join(lone, "doc_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-            .where(F.expr(f"100 * (n_shingles - lone) >= {percent} * (greatest(least, {percent} * n_shingles div 100) + lone)"))
-            .join(own.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id"))
-    able = settle(able.select("key", "band", "doc_id", "n_shingles", "lone", "component_id", F.slice("bands", 1, F.col("band")).alias("earlier")))
-    left = able.toDF("key", "band", "a", "n_a", "lone_a", "c_a", "earlier_a")
-    right = able.toDF("key", "band_b", "b", "n_b", "lone_b", "c_b", "earlier_b").drop("band_b")
-    most = "least(n_a - lone_a, n_b - lone_b)"
-    return (left.join(right, "key")
-            .where(f"a > b and c_a != c_b and 100 * {most} >= {percent} * (n_a + n_b - {most})"
-                   " and not arrays_overlap(earlier_a, earlier_b)").select("a", "b", "n_a", "n_b"))
+    small, large = split.where(F.col("members") <= LARGE_BUCKET), split.where(F.col("members") > LARGE_BUCKET)
+    left = small.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component_id").alias("c_a"))
+    right = small.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component_id").alias("c_b"))
+    pairs = left.join(right, "key").where("a > b and c_a != c_b").select("a", "b", "n_a", "n_b")
+    if large.isEmpty():
+        return pairs
+
+    ids = settle(large.select("doc_id").distinct())
+    held = (of_ids(sets, ids).select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle")
+            .agg(F.count("*").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.bit_xor("doc_id").alias("all"))
+            .where("n <= 3"))
+    # The third of three ids is what the exclusive or has beside the smallest and the largest.
+    holders = F.expr("case n when 1 then array(x) when 2 then array(x, y) else array(x, y, all ^ x ^ y) end")
+    rare = (held.select("shingle", "n", F.explode(holders).alias("doc_id")).groupBy("doc_id")
+            .agg(F.count(F.when(F.col("n") == 1, 1)).alias("lone"), F.count("*").alias("rare"),
+                 F.collect_list(F.when(F.col("n") > 1, F.col("shingle"))).alias("few"))
+            .withColumn("few", F.when(F.size("few") <= 64, F.col("few"))))  # without a list, the second bound does not apply
+    able = (large.join(rare, "doc_id", "left").withColumns({
+        "lone": F.coalesce("lone", F.lit(0)), "few": F.when(F.col("rare").isNull(), F.expr("cast(array() as array<bigint>)")).otherwise(F.col("few")),
+        "rare": F.coalesce("rare", F.lit(0))})
+        .where(F.expr(f"100 * (n_shingles - lone) >= {percent} * (greatest(least, {percent} * n_shingles div 100) + lone)"))
+        .join(minima.select("doc_id", "bands"), "doc_id"))
+    able = settle(able.select("key", "doc_id", "n_shingles", "lone", "rare", "few", "component_id", F.slice("bands", 1, F.col("band")).alias("earlier")))
+    names = ("n", "lone", "rare", "few", "c", "earlier")
+    left, right = (able.toDF("key", side, *(f"{n}_{side}" for n in names)) for side in "ab")
+    most, less = "least(n_a - lone_a, n_b - lone_b)", "least(n_a - rare_a, n_b - rare_b)"
+    return pairs.union(left.join(right, "key").where(
+        f"a > b and c_a != c_b and 100 * {most} >= {percent} * (n_a + n_b - {most})"
+        f" and (100 * {less} >= {percent} * (n_a + n_b - {less}) or few_a is null or few_b is null or arrays_overlap(few_a, few_b))"
+        " and not arrays_overlap(earlier_a, earlier_b)").select("a", "b", "n_a", "n_b"))
