@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import config_packing, cover_search, minhash_components, order_minhash, passage_dedup, pii_spans, quality_fm, raking, secret_cnn
+from tidemark.llm import config_packing, cover_search, hidden_markov, minhash_components, order_minhash, passage_dedup, pii_spans, quality_fm, raking, secret_cnn
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_search.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.language_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_top_k": op5_top_k,
+    "op6_language_model": op6_language_model,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_near_duplicates": op9_near_duplicates,
