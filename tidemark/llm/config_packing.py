@@ -18,7 +18,9 @@ Further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,16 +32,18 @@ from tidemark.llm import texts as T
 from tidemark.session import settle
 
 CAPACITY, GRAIN, SEPARATOR = 4096, 4, 1
-_CACHED_WORDS = 300_000
-_TAIL = ".,;:!?*#$%&)(|-"  # fixed value: punctuation that forms a token of its own behind a word
+_CACHED = 600_000
+# How the tokenizer cuts a lower-cased text of Latin-1 characters: letters, single digits, contractions, other signs.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PARTS = re.compile(rf"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_DIGITS}]+")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, with remembered words.
+    """Ids of whole texts as little-endian 32-bit bytes, with remembered parts.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids. A word of
-    plain letters and its punctuation are encoded apart, as the tokenizer itself would cut them. Control characters that
-    Python counts as spaces and the tokenizer does not send the whole text to the tokenizer.
+    The tokenizer encodes every part that it cuts a text into by itself. Texts of Latin-1 characters are cut here and their
+    parts looked up; others are cut at white space, which the tokenizer drops and never joins across. Texts with control
+    characters that Python alone counts as spaces go to the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,41 +51,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
-
-    def _learn(self, words: list[str]) -> None:
-        cut, whole, fresh = [], [], {}
-        for word in words:
-            stem = word.rstrip(_TAIL)
-            if stem.isalpha() and ord(max(stem)) < 256:
-                tail, stem = word[len(stem):], stem.lower()
-                cut.append((word, stem, tail))
-                for part in (stem, tail):
-                    if part and part not in self.parts:
-                        fresh[part] = None
-            else:
-                whole.append(word)
-        self.parts.update(zip(fresh, self._direct(list(fresh)), strict=True))
-        self.words.update((w, self.parts[stem] + (self.parts[tail] if tail else b"")) for w, stem, tail in cut)
-        self.words.update(zip(whole, self._direct(whole), strict=True))
+        return [array("I", c.ids).tobytes() for c in coded]
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self._direct([text])[0]
-        words = text.split()
-        known = self.words
-        if missing := [w for w in set(words) if w not in known]:
-            self._learn(missing)
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > _CACHED_WORDS:
+        if "<|" not in text and (text.isascii() or ord(max(text)) < 256):
+            parts = _PARTS.findall(text.lower())
+        else:
+            parts = text.split()
+        known = self.known
+        if missing := [p for p in set(parts) if p not in known]:
+            known.update(zip(missing, self._direct(missing), strict=True))
+        out = b"".join(map(known.__getitem__, parts))
+        if len(known) > _CACHED:
             known.clear()
-        if len(self.parts) > _CACHED_WORDS:
-            self.parts.clear()
         return out
 
 
