@@ -32,6 +32,8 @@ from tidemark.llm import texts as T
 from tidemark.session import settle
 
 CAPACITY, GRAIN, SEPARATOR = 4096, 4, 1
+#: Prices start a little above proportion to size: what is large is harder to place, and small pieces are kept for gaps.
+STEEPNESS = 1.3
 _CACHED = 600_000
 # How the tokenizer cuts a lower-cased text of Latin-1 characters: letters, single digits, contractions, other signs.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -146,7 +148,7 @@ def best_configuration(value: np.ndarray, sizes: np.ndarray, room: int) -> dict[
     return out
 
 
-def plan_sequences(counts: dict[int, int], room: int, steps: int = 600, share: float = 0.5, strength: float = 0.3) -> Plan:
+def plan_sequences(counts: dict[int, int], room: int, steps: int = 600, share: float = 0.5, strength: float = 1.0) -> Plan:
     """Configurations for all pieces: ``counts`` of pieces by class size, ``room`` in the same unit.
 
     ``strength`` is the step of the multiplicative weights, ``share`` how much of the scarcest class one step may take.
@@ -161,7 +163,7 @@ def plan_sequences(counts: dict[int, int], room: int, steps: int = 600, share: f
         sizes = np.array(list(left))
         covered = np.array([1 - left[s] / need[s] for s in left])
         weight = np.exp(-strength * (covered - covered.min()))
-        value = sizes / room * weight
+        value = (sizes / room) ** STEEPNESS * weight
         configuration = best_configuration(value, sizes, room)
         times = min(left[s] // n for s, n in configuration.items())
         if times == 0:  # more copies than there are: a filling by decreasing size instead

@@ -114,6 +114,10 @@ class Best:
         self.id[queries] = np.take_along_axis(where, rank, 1)
 
 
+def _clipped(score: int) -> int:
+    return min(max(score, -(2**63)), 2**63 - 1)
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> Best:
     """Dual-tree search in one cell; a row with the query's own id is no candidate."""
     rows_tree, query_tree = CoverTree(rows), CoverTree(queries)
@@ -127,7 +131,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
             scores = queries[q] @ rows[r].T
             scores[query_ids[q][:, None] == row_ids[r][None, :]] = -np.inf
         else:
-            scores = np.array([[-(1 << 200) if query_ids[i] == row_ids[j] else sum(x * y for x, y in zip(wide[0][i], wide[1][j], strict=True))
+            scores = np.array([[-(1 << 200) if query_ids[i] == row_ids[j] else _clipped(sum(x * y for x, y in zip(wide[0][i], wide[1][j], strict=True)))
                                 for j in r] for i in q], object)
         best.offer(q, scores, row_ids[r])
 
@@ -135,7 +139,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
         t = rows_tree
         dot = t.centres[nodes] @ query_tree.centres[q]
         rq, rr = query_tree.radii[q], t.radii[nodes]
-        return dot + rq * t.centre_norm[nodes] + query_tree.centre_norm[q] * rr + rq * rr + slack
+        return np.maximum(dot + rq * t.centre_norm[nodes] + query_tree.centre_norm[q] * rr + rq * rr + slack, -(2.0**63))
 
     todo = [(np.inf, 0, 0)]
     while todo:
@@ -162,7 +166,7 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                .where("vec_id is not null and x is not null and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('Infinity'))")
                .groupBy("vec_id").agg(F.min("x").alias("x")))
     # floor as a double: its integer may be wider than 64 bits.
-    vectors = vectors.select("vec_id", F.expr("transform(x, c -> case when abs(c) < 1e12 then double(floor(1024 * c)) else 1024 * c end)").alias("x"),
+    vectors = vectors.select("vec_id", F.expr("transform(x, c -> case when abs(c) < 4e15 then double(floor(1024 * c)) else 1024 * c end)").alias("x"),
                              F.size("x").alias("size"))
     is_query = F.col("vec_id") % every == 0
     sizes = (vectors.groupBy("size").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("m"))
@@ -188,7 +192,7 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             real = (best.score > -np.inf) if best.score.dtype == float else (best.score > -(1 << 199))
             i, j = np.nonzero(real)
             out = {"query_id": ids[asked][i], "vec_id": best.id[i, j],
-                   "score": np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in best.score[i, j]], np.int64)}
+                   "score": np.array([int(s) for s in best.score[i, j]], np.int64)}
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     found = rows.unionByName(asks).groupBy("size", "row_block", "query_block").applyInArrow(cell, "query_id long, vec_id long, score long")
