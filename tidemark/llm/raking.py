@@ -11,7 +11,8 @@ Targets default to the observed token shares to the power ``temperature``, norma
 The topic defaults to the text's form; any column expression may take its place.
 
 Defined results. Null text: no tokens, form "empty". Null source, language or topic: a category of its own. Null ids:
-drawn as the empty id. Repeated rows: drawn alike. Cells without tokens: factor zero, never kept unless the whole table
+drawn as the empty id. Repeated rows: drawn alike. Targets that contradict each other: the result of the last of 25
+sweeps, with what the margins are off in ``margin_off``. Cells without tokens: factor zero, never kept unless the whole table
 has none; an empty table gives an empty result. Further columns are kept by ``sample`` and ignored by ``weights``.
 """
 
@@ -25,7 +26,7 @@ from tidemark.session import settle
 
 MARGINS = ("source", "lang", "topic")
 BROADCAST_BYTES = 4 << 20
-SWEEPS, SWEEPS_A_WRITE = 40, 2
+SWEEPS = 25
 
 
 @dataclass
@@ -34,6 +35,7 @@ class Mix:
 
     cells: DataFrame
     rate: float
+    off: float = 0.0
 
 
 def token_count(text: Column) -> Column:
@@ -68,34 +70,31 @@ def default_targets(cells: DataFrame, temperature: float) -> dict[str, DataFrame
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6) -> DataFrame:
-    """cells (source, lang, topic, tokens) with the raked share of each; categories without a target get none."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6) -> tuple[DataFrame, float]:
+    """cells (source, lang, topic, tokens) with the raked share of each; categories without a target get none.
+
+    With it comes what the margins were off before the last sweep: above the tolerance if targets contradict each other.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     shares = settle(cells.withColumn("share", F.col("tokens") / F.lit(float(total) if total else 1.0)))
     if not total:
-        return shares
-    for sweep in range(SWEEPS):
+        return shares, 0.0
+    off = 0.0
+    for _ in range(SWEEPS):
+        worst = []
         for name in MARGINS:
-            sums = shares.groupBy(name).agg(F.sum("share").alias("sum"))
-            scale = sums.join(targets[name], name, "left").select(
-                name, F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(0.0).alias("scale"))
-            shares = shares.join(scale, name).select(*MARGINS, "tokens", (F.col("share") * F.col("scale")).alias("share"))
-        if sweep % SWEEPS_A_WRITE == SWEEPS_A_WRITE - 1:
-            shares = settle(shares)
-            if deviation(shares, targets) <= tolerance:
-                return shares
-    raise RuntimeError(f"raking did not reach {tolerance} in {SWEEPS} sweeps; the targets contradict each other")
-
-
-def deviation(shares: DataFrame, targets: dict[str, DataFrame]) -> float:
-    """The largest distance between a marginal and its target share."""
-    both = None
-    for name in MARGINS:
-        sums = shares.groupBy(name).agg(F.sum("share").alias("sum"))
-        off = sums.join(targets[name], name, "full").select(
-            F.abs(F.coalesce("sum", F.lit(0.0)) - F.coalesce("target", F.lit(0.0))).alias("off"))
-        both = off if both is None else both.union(off)
-    return both.agg(F.max("off")).first()[0] or 0.0
+            # The scale of every category is written, so the cells' plan grows by one join a margin and is never doubled.
+            sums = shares.groupBy(name).agg(F.sum("share").alias("sum")).join(targets[name], name, "left")
+            target = F.coalesce("target", F.lit(0.0))
+            scale = settle(sums.select(name, F.when(F.col("sum") > 0, target / F.col("sum")).otherwise(0.0).alias("scale"),
+                                       F.abs(F.col("sum") - target).alias("off")))
+            worst.append(scale.select("off"))
+            shares = shares.join(scale.drop("off"), name).select(*MARGINS, "tokens", (F.col("share") * F.col("scale")).alias("share"))
+        shares = settle(shares)
+        off = worst[0].union(worst[1]).union(worst[2]).agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
+            break
+    return shares, off
 
 
 def calibrated_rate(cells: DataFrame, budget: float) -> float:
@@ -121,12 +120,12 @@ def plan_mix(documents: DataFrame, temperature: float = 0.5, keep: float = 0.5,
 
 
 def mix_of_cells(cells: DataFrame, temperature: float, keep: float, targets: dict[str, DataFrame] | None = None) -> Mix:
-    raked = rake(cells, targets or default_targets(cells, temperature))
+    raked, off = rake(cells, targets or default_targets(cells, temperature))
     total = raked.agg(F.sum("tokens")).first()[0] or 0
     # The factor is the raked share against the observed one.
     factor = F.when(F.col("tokens") > 0, F.col("share") * F.lit(float(total)) / F.col("tokens")).otherwise(0.0 if total else 1.0)
     cells = settle(raked.select(*MARGINS, "tokens", factor.alias("factor")))
-    return Mix(cells.drop("tokens"), calibrated_rate(cells, keep * total) if total else 1.0)
+    return Mix(cells.drop("tokens"), calibrated_rate(cells, keep * total) if total else 1.0, off)
 
 
 def sized_broadcast(cells: DataFrame) -> DataFrame:
@@ -156,7 +155,8 @@ def weights(documents: DataFrame, mix: Mix | None = None, topic: Column | None =
     return _draw(narrow, mix).select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
         F.col("__tokens").alias("n_tokens"), F.col("__factor").alias("token_weight"),
-        F.col("__probability").alias("probability"), F.col("__kept").alias("kept"))
+        F.col("__probability").alias("probability"), F.col("__kept").alias("kept"),
+        F.lit(mix.off).alias("margin_off"))
 
 
 def sample(documents: DataFrame, mix: Mix, topic: Column | None = None) -> DataFrame:
