@@ -543,7 +543,8 @@ def test_stars_contract_chains(spark):
 # 10
 
 
-def test_raking(spark, rows):
+def test_raking(spark, rows, monkeypatch):
+    monkeypatch.setattr(raking, "SWEEPS", 5)
     frame = table(spark, rows)
     got = raking.weights(frame, keep=0.4).toPandas()
     tokens = collections.Counter()

@@ -5,10 +5,9 @@ five of them choose candidates: a pair at similarity 0.85 shares no band with a
 Candidates must then agree in enough of all minima (signature verification, far below the limit), and last
 the similarity is confirmed on the full sets. Components come from alternating large-star and small-star steps.
 
-Not all pairs of a bucket are emitted. Documents with equal sets collapse to their smallest id. Then two rounds of stars
-pair each bucket's members with one centre (first the member that meets most others, then the smallest id of the
-bucket's last component), and a last round pairs only members of one bucket that are still in different components and
-that no bound on their similarity rules out. So every candidate pair that can reach the limit is confirmed or inside one
+Not all pairs of a bucket are emitted. Documents with equal sets collapse to their smallest id. Then each bucket's members
+are paired with one centre, the member that meets most others, and a last round pairs only members of one bucket that are
+still in different components and that no bound on their similarity rules out. So every candidate pair that can reach the limit is confirmed or inside one
 component, which is what components need.
 
 The digests of shingles have 64 bits. Intermediate tables are written to the shared folder, so a lost executor costs a
@@ -223,14 +222,9 @@ def components(documents: DataFrame, percent: int = 85, agree: float = 0.15) ->
     sets = written(full_sets(of_ids(documents, ids)), "sets")
     edges = settle(_checked(_star_pairs(slots), minima, sets, percent, agree))
     labels = connected(edges)
-    for pairs in (_second_stars(slots, labels), None):
-        # The last pairs depend on the components that the stars before have joined.
-        pairs = _remaining_pairs(slots, labels, minima, sets, percent) if pairs is None else pairs
-        more = settle(_checked(pairs, minima, sets, percent, agree))
-        if more.isEmpty():
-            continue
-        edges = edges.union(more)
-        labels = connected(edges)
+    # The last pairs depend on the components that the stars have joined.
+    more = settle(_checked(_remaining_pairs(slots, labels, minima, sets, percent), minima, sets, percent, agree))
+    edges = edges.union(more)
     found = connected(edges.union(copies))
     return (sketch.select("doc_id", "n_shingles").join(found, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -251,16 +245,11 @@ def _checked(pairs: DataFrame, minima: DataFrame, sets: DataFrame, percent: int,
 def _star_pairs(slots: DataFrame) -> DataFrame:
     """Each bucket's members with the member that shares buckets with most others (ties: the smaller id)."""
     meets = slots.groupBy("doc_id").agg(F.sum("members").alias("meets"))
-    known = slots.join(meets, "doc_id")
+    known = settle(slots.select("doc_id", "n_shingles", "key").join(meets, "doc_id"))
     most = known.groupBy("key").agg(F.max("meets").alias("meets"))
     centre = known.join(most, ["key", "meets"]).groupBy("key").agg(F.min("doc_id").alias("b"))
-    return _with_centre(slots, centre)
-
-
-def _with_centre(slots: DataFrame, centre: DataFrame) -> DataFrame:
-    sizes = slots.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), "key")
-    centre = centre.join(sizes, ["key", "b"])
-    return (slots.join(centre, "key").where("doc_id != b")
+    centre = centre.join(known.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), "key"), ["key", "b"])
+    return (known.join(centre, "key").where("doc_id != b")
             .select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"),
                     F.col("n_shingles").alias("n_a"), "n_b"))
 
@@ -273,15 +262,6 @@ def _split_buckets(slots: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(range_.where("low < high"), "key")
 
 
-def _second_stars(slots: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of split buckets with the smallest id of the bucket's last component."""
-    split = settle(_split_buckets(slots, labels))
-    centre = split.where("component_id = high").groupBy("key").agg(F.min("doc_id").alias("b"))
-    sizes = split.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), "key", F.col("component_id").alias("own"))
-    return (split.join(centre.join(sizes, ["key", "b"]), "key").where("component_id != own")
-            .select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"), F.col("n_shingles").alias("n_a"), "n_b"))
-
-
 def _remaining_pairs(slots: DataFrame, labels: DataFrame, minima: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that are still in different components and that no bound rules out.
 

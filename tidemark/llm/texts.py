@@ -24,7 +24,7 @@ _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.u
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 # Arrow batches are cut to about this many bytes of text, so that temporary arrays stay small.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
