@@ -55,3 +55,12 @@ def test_exact_percentiles(skewed):
     got = od.exact_percentiles(df, ["key"], "v", [0.1, 0.5, 0.77], ["a", "b", "c"]).toPandas().set_index("key").sort_index()
     want = pdf.groupby("key")["v"].quantile([0.1, 0.5, 0.77]).unstack()
     np.testing.assert_allclose(got[["a", "b", "c"]].to_numpy(), want.to_numpy())
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 10), (None, 2, 20), ("a", 1, 1), ("a", 2, 2)], "k string, t int, v int")
+    total = {(r["k"], r["t"]): r["x"] for r in od.running_total(df, ["k"], ["t"], "v", "x").collect()}
+    assert total == {(None, 1): 10, (None, 2): 30, ("a", 1): 1, ("a", 2): 3}
+    before = {(r["k"], r["t"]): r["x"] for r in od.previous_value(df, ["k"], ["t"], "v", "x").collect()}
+    assert before == {(None, 1): None, (None, 2): 10, ("a", 1): None, ("a", 2): 1}
+    assert {(r["k"], r["m"]) for r in od.exact_percentiles(df, ["k"], "v", [0.5], ["m"]).collect()} == {(None, 15.0), ("a", 1.5)}

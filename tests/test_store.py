@@ -144,7 +144,7 @@ def test_deadline_join_against_brute_force(spark, monkeypatch, literals):
 
 
 def test_derived_rows_need_their_mark(store, spark):
-    row = spark.createDataFrame([("2024-25", 1, 7, 3, 0, 0.5)], "season string, round int, element int, fixture int, outcome int, p double")
+    row = spark.createDataFrame([("2024-25", 1, 7, 3, 0, 0, 0.5)], "season string, round int, element int, fixture int, state int, band int, p double")
     stamp = dict(valid_at=T0, observed_at=T0, source="fit", reference="r", residual_mean=0.0, residual_std=1.0)
     with pytest.raises(TidemarkError, match="derived from"):
         store.write_derived("derived_minutes_pmf", row, derived_from=[], **stamp)
@@ -169,3 +169,16 @@ def test_cutoffs_do_not_move_with_the_session_zone(spark):
         assert tt.as_of_deadlines(df, ["k"], deadlines).count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_goals_and_assists_are_two_facts(store, spark):
+    rows = spark.createDataFrame([("2024-25", 1, 7, 3, s, 1, p) for s, p in (("goals", 0.2), ("assists", 0.3))],
+                                 "season string, round int, element int, fixture int, stat string, count int, p double")
+    store.write_derived("derived_attacking_pmf", rows, derived_from=[{"capability": "c"}], valid_at=T0, observed_at=T0, source="fit",
+                        reference="r", residual_mean=0.0, residual_std=1.0)
+    assert sorted(r["p"] for r in store.read_derived("derived_attacking_pmf", hour(1)).collect()) == [0.2, 0.3]
+
+
+def test_a_business_date_is_no_partition(spark):
+    log = spark.createDataFrame([(1, T0.replace(tzinfo=None), "b", (T0 + timedelta(days=9)).date())], "id int, observed_at timestamp_ntz, batch_id string, date date")
+    assert tt.as_of(log, ["id"], hour(1)).count() == 1

@@ -24,10 +24,17 @@ def decay_weight(days: Column, from_xg: Column) -> Column:
     return F.exp(-F.ln(F.lit(2.0)) * days / HALF_LIFE_DAYS) * F.when(from_xg, 1.0).otherwise(GOALS_SOURCE_WEIGHT)
 
 
+def _ln_factorial(n: Column) -> Column:
+    """ln(n!) as a sum, for counts beyond the range of ``factorial``."""
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n.cast("bigint"))).otherwise(F.expr("CAST(array() AS ARRAY<BIGINT>)")),
+                       F.lit(0.0), lambda total, i: total + F.ln(i.cast("double")))
+
+
 def poisson(k: Column, rate: Column) -> Column:
-    """Mass at k; k is at most 20, the range of ``factorial``."""
+    """Mass at k; above 20 by logarithms."""
     rate = F.greatest(rate, F.lit(1e-12))
-    return F.exp(-rate) * F.pow(rate, k) / F.factorial(k)
+    return F.when(k <= 20, F.exp(-rate) * F.pow(rate, k) / F.factorial(F.least(k, F.lit(20)))).otherwise(
+        F.exp(k * F.ln(rate) - rate - _ln_factorial(k)))
 
 
 def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: Column) -> Column:
@@ -39,10 +46,12 @@ def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: Colu
 
 
 def binomial(k: Column, n: Column, p: Column) -> Column:
-    """Mass at k of n trials, n at most 20."""
+    """Mass at k of n trials; above 20 trials by logarithms."""
     kept = F.greatest(n - k, F.lit(0))
-    ways = F.factorial(n) / (F.factorial(k) * F.factorial(kept))
-    return F.when(k > n, 0.0).otherwise(ways * F.pow(p, k) * F.pow(1 - p, kept))
+    few, low = F.lit(20), lambda x: F.least(x, F.lit(20))
+    ways = F.factorial(low(n)) / (F.factorial(low(k)) * F.factorial(low(kept)))
+    many = F.exp(_ln_factorial(n) - _ln_factorial(k) - _ln_factorial(kept))
+    return F.when(k > n, 0.0).otherwise(F.when(n <= few, ways).otherwise(many) * F.pow(p, k) * F.pow(1 - p, kept))
 
 
 def _negative_binomial(mean: np.ndarray, r: np.ndarray, max_count: int) -> np.ndarray:

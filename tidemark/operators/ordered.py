@@ -24,6 +24,13 @@ def slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return settle(placed.withColumn(SLICE, F.spark_partition_id()))
 
 
+def _with_carry(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on the keys, a NULL key being a key like any other."""
+    other = carried.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in carried.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return rows.join(other, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str, out: str,
     *, before: bool = False,
@@ -40,7 +47,7 @@ def running_total(
     )
     summed = cut.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return (
-        summed.join(carried, [SLICE, *keys])
+        _with_carry(summed, carried, [SLICE, *keys])
         .withColumn(out, F.col("_in") + F.col("_carry"))
         .drop("_in", "_carry", "_v", SLICE)
     )
@@ -65,7 +72,7 @@ def previous_value(
     )
     marked = cut.withColumn("_n", F.row_number().over(inside)).withColumn("_in", F.lag(value).over(inside))
     return (
-        marked.join(carried, [SLICE, *keys])
+        _with_carry(marked, carried, [SLICE, *keys])
         .withColumn(out, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_in")))
         .drop("_n", "_in", "_carry", SLICE)
     )
@@ -101,7 +108,7 @@ def exact_percentiles(
     placed = running_total(counted, keys, [value], "_c", "_before", before=True)
     totals = df.groupBy(*keys).agg(F.count(value).alias("_n"))
     if keys:
-        placed = placed.join(totals, list(keys))
+        placed = _with_carry(placed, totals, list(keys))
     else:
         placed = placed.withColumn("_n", F.lit(totals.first()["_n"]))
 

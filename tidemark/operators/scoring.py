@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.session import TidemarkError
 
@@ -191,43 +190,56 @@ def squad_checks(squads: DataFrame, decision: Sequence[str], price: str = "value
 
 # -- scoring decisions -------------------------------------------------------------------------------
 
-_PLAYER = "STRUCT<in_eleven: BOOLEAN, slot: INT, element: BIGINT, position: STRING, minutes: BIGINT>"
-
-
-def autosubs(rules: SquadRules = SquadRules()):
-    """Ordered substitutions of one squad; a small per-squad helper, since each step depends on the last."""
-    eleven = dict(rules.eleven)
-
-    def subs_of(squad) -> list[dict]:
-        starters = sorted((p for p in squad if p["in_eleven"]), key=lambda p: p["slot"])
-        bench = sorted((p for p in squad if not p["in_eleven"]), key=lambda p: p["slot"])
-        fielded = {pos: sum(p["position"] == pos for p in starters) for pos in eleven}
-        free = [p for p in bench if p["minutes"] > 0]
-        made = []
-        idle = [p for p in starters if p["minutes"] == 0]
-        keepers = [p for p in bench if p["position"] == "GK"][:1]
-        for out in [p for p in starters if p["position"] == "GK"][:1]:
-            if out["minutes"] == 0 and keepers and keepers[0]["minutes"] > 0:
-                made.append({"out": out["element"], "in": keepers[0]["element"]})
-        free = [p for p in free if p["position"] != "GK"]
-        for out in (p for p in idle if p["position"] != "GK"):
-            for sub in free:
-                after = dict(fielded)
-                after[out["position"]] -= 1
-                after[sub["position"]] += 1
-                if after[out["position"]] < eleven[out["position"]][0] or after[sub["position"]] > eleven[sub["position"]][1]:
-                    continue
-                made.append({"out": out["element"], "in": sub["element"]})
-                fielded = after
-                free = [p for p in free if p is not sub]
-                break
-        return made
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("out", T.LongType()), T.StructField("in", T.LongType())])))
-    def batch(squads: pd.Series) -> pd.Series:
-        return squads.map(subs_of)
-
-    return batch
+_MOVES = "ARRAY<STRUCT<out: BIGINT, in: BIGINT>>"
+
+
+def autosubs(squad: Column | str, rules: SquadRules = SquadRules()) -> Column:
+    """The ordered substitutions of one squad, as an array of (out, in).
+
+    A goalkeeper who did not play gives way to the reserve goalkeeper if that one did. Then, by slot, every outfield
+    starter who did not play gives way to the first bench player in order who did, is still unused and leaves every
+    position within its bounds. A fold over at most ten starters; its state is how many play in each position, who was
+    brought on, and the moves so far.
+    """
+    lines = [name for name in rules.eleven if name != "GK"]
+    squad = F.col(squad) if isinstance(squad, str) else squad
+    named = F.array_sort(F.transform(squad, lambda p: F.struct(
+        p["slot"].cast("int").alias("slot"), p["in_eleven"].alias("in_eleven"), p["position"].alias("position"), p["element"].cast("bigint").alias("element"), p["minutes"].alias("minutes"))))
+
+    def side(starts: bool, keeper: bool) -> Column:
+        return F.filter(named, lambda p: (p["in_eleven"] == starts) & ((p["position"] == "GK") == keeper))
+
+    def move(leaves: Column, enters: Column) -> Column:
+        return F.struct(leaves["element"].alias("out"), enters["element"].alias("in"))
+
+    first, reserve = F.get(side(True, True), 0), F.get(side(False, True), 0)
+    keeper = F.when((first["minutes"] == 0) & (reserve["minutes"] > 0), F.array(move(first, reserve)))
+    idle = F.filter(side(True, False), lambda p: p["minutes"] == 0)
+    ready = F.filter(side(False, False), lambda p: p["minutes"] > 0)
+
+    def count(name: str) -> Column:
+        return F.size(F.filter(side(True, False), lambda p: p["position"] == name))
+
+    playing = F.map_from_arrays(F.array(*[F.lit(n) for n in lines]), F.array(*[count(n) for n in lines]))
+    least, most = ({n: rules.eleven[n][k] for n in lines} for k in (0, 1))
+
+    def fits(counts: Column, leaves: Column, enters: Column) -> Column:
+        """A like-for-like move changes no count; any other takes one from a position and adds one to another."""
+        same = (leaves["position"] == enters["position"]).cast("int")
+        fewer, more = counts[leaves["position"]] - 1 + same, counts[enters["position"]] + 1 - same
+        return (fewer >= by_position(least, leaves["position"])) & (more <= by_position(most, enters["position"]))
+
+    def step(state: Column, leaves: Column) -> Column:
+        able = F.filter(ready, lambda b: ~F.array_contains(state["used"], b["element"]) & fits(state["counts"], leaves, b))
+        enters = F.get(able, 0)
+        changed = F.transform_values(state["counts"], lambda n, c: c - (n == leaves["position"]).cast("int") + (n == enters["position"]).cast("int"))
+        return F.when(enters.isNull(), state).otherwise(F.struct(
+            changed.alias("counts"), F.array_append(state["used"], enters["element"]).alias("used"),
+            F.array_append(state["moves"], move(leaves, enters)).alias("moves")))
+
+    start = F.struct(playing.alias("counts"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("used"), F.expr(f"CAST(array() AS {_MOVES})").alias("moves"))
+    folded = F.aggregate(idle, start, step, lambda state: state["moves"])
+    return F.concat(F.coalesce(keeper, F.expr(f"CAST(array() AS {_MOVES})")), folded)
 
 
 def score_decisions(squads: DataFrame, outcomes: DataFrame, decision: Sequence[str] = ("season", "arm", "round"),
@@ -252,8 +264,7 @@ def score_decisions(squads: DataFrame, outcomes: DataFrame, decision: Sequence[s
         return F.aggregate(F.filter("squad", kept), F.lit(0).cast("bigint"), lambda a, p: a + p["pts"])
 
     if with_autosubs:
-        plain = F.transform("squad", lambda p: F.struct(*[p[c].alias(c) for c in ("in_eleven", "slot", "element", "position", "minutes")]))
-        one = one.withColumn("subs", autosubs(rules)(plain.cast(f"ARRAY<{_PLAYER}>")))
+        one = one.withColumn("subs", autosubs("squad", rules))
     else:
         one = one.withColumn("subs", F.expr("CAST(array() AS ARRAY<STRUCT<out: BIGINT, in: BIGINT>>)"))
     outs, ins = F.col("subs.out"), F.col("subs.in")

@@ -47,10 +47,7 @@ def _newest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataF
 
 def known_by(df: DataFrame, cutoff: datetime, observed: str = "observed_at") -> DataFrame:
     cutoff = instant("cutoff", cutoff)
-    known = df.filter(F.col(observed) <= instant_column(cutoff, df.schema[observed].dataType))
-    if "date" in df.columns and isinstance(df.schema["date"].dataType, T.DateType):
-        known = known.filter(F.col("date") <= F.lit(cutoff.date()))  # prunes whole partitions
-    return known
+    return df.filter(F.col(observed) <= instant_column(cutoff, df.schema[observed].dataType))
 
 
 def as_of(

@@ -67,16 +67,18 @@ def newest_batch_hash(spark, sf):
     return rows.agg(F.count_distinct("batch_id").alias("n_batches"), F.max(F.when(F.col("content_hash") == newest, F.dayofmonth("date"))).alias("newest_day"))
 
 
-@query("derived_facts", """SELECT season, round, element, CAST(count(*) AS DOUBLE) AS expected, 'player.gameweek_stats' AS lineage_capability, 'walk-forward' AS calibration_reference FROM (""" +
-       st.FACTS_SQL.replace("WITH base0", "WITH base0", 1) + " SELECT * FROM facts) GROUP BY 1, 2, 3")
+@query("derived_facts", st.FACTS_SQL + """, n AS (SELECT season, round, element, CAST(count(*) AS DOUBLE) AS expected FROM facts GROUP BY 1, 2, 3)
+  SELECT season, round, element, stat, expected, 'player.gameweek_stats' AS lineage_capability, 'walk-forward' AS calibration_reference
+  FROM n, (VALUES ('goals'), ('assists')) s(stat)""")
 def derived_facts(spark, sf):
     store = ObservationStore(spark, scratch_path(spark, "derived"))
     rows = st.facts(spark, sf).groupBy("season", "round", "element").agg(F.count("*").cast("double").alias("expected"))
-    rows = rows.withColumn("fixture", F.lit(0)).withColumn("outcome", F.lit(0))
-    store.write_derived("derived_minutes_pmf", rows, derived_from=[{"capability": "player.gameweek_stats", "entity_key": {}, "note": ""}],
+    # Goals and assists of one count are two facts.
+    rows = rows.select("*", F.lit(0).alias("fixture"), F.explode(F.array(F.lit("goals"), F.lit("assists"))).alias("stat"), F.lit(1).alias("count"))
+    store.write_derived("derived_attacking_pmf", rows, derived_from=[{"capability": "player.gameweek_stats", "entity_key": {}, "note": ""}],
                         reference="walk-forward", residual_mean=0.0, residual_std=1.0, valid_at=at(1), observed_at=at(1), source="fit")
-    back = store.read_derived("derived_minutes_pmf", at(2))
-    return back.select("season", "round", "element", "expected", decode_lineage(F.col("derived_from"))[0]["capability"].alias("lineage_capability"), "calibration_reference")
+    back = store.read_derived("derived_attacking_pmf", at(2))
+    return back.select("season", "round", "element", "stat", "expected", decode_lineage(F.col("derived_from"))[0]["capability"].alias("lineage_capability"), "calibration_reference")
 
 
 # -- readers -----------------------------------------------------------------------------------------
@@ -151,8 +153,7 @@ def open_work_units(spark, sf):
   SELECT season, matchweek FROM grid WHERE (season, matchweek) NOT IN (SELECT (season, round) FROM facts)""")
 def open_round_grid(spark, sf):
     facts = st.facts(spark, sf)
-    seasons = [r[0] for r in facts.select("season").distinct().limit(1000).collect()]  # one per calendar year
-    grid = rd.static_units(seasons, 53, spark)
+    grid = rd.static_units(facts, 53)
     done = facts.select(F.concat_ws("|", F.lit("match.fixtures@matchweek"), "season", F.col("round").cast("string")).alias("unit_key"),
                         F.col("fixture").alias("recorded_at"), F.lit("written").alias("outcome"))
     return rd.open_units(grid, done).select("season", "matchweek")

@@ -110,5 +110,16 @@ for _name, _key in {
     register(Dataset(_name, _key))
 for _name in ("archive_player_gameweek_stats", "live_player_gameweek_stats"):
     register(Dataset(_name, ("season", "round", "element", "fixture"), valid_time="kickoff_time", valid_format=ISO_Z))
-for _name in ("minutes_pmf", "attacking_pmf", "defensive_pmf", "cards_pmf", "saves_pmf", "bonus_pmf", "scoreline_pmf"):
-    register(Dataset(DERIVED_PREFIX + _name, ("season", "round", "element", "fixture", "outcome"), DERIVED_FIELDS))
+# What one modelled number is about, by dataset.
+_APPEARANCE = ("season", "round", "element", "fixture")
+for _name, _key in {
+    "minutes_pmf": (*_APPEARANCE, "state", "band"),
+    "attacking_pmf": (*_APPEARANCE, "stat", "count"),
+    "defensive_pmf": (*_APPEARANCE, "count"),
+    "cards_pmf": (*_APPEARANCE, "outcome"),
+    "saves_pmf": (*_APPEARANCE, "count"),
+    "bonus_pmf": (*_APPEARANCE, "count"),
+    "team_strength": ("season", "gameweek", "team"),
+    "scoreline_pmf": ("season", "round", "fixture", "home_goals", "away_goals"),
+}.items():
+    register(Dataset(DERIVED_PREFIX + _name, _key, DERIVED_FIELDS))

@@ -84,8 +84,9 @@ def observed_when_public(attributes: DataFrame, rounds: DataFrame) -> DataFrame:
 
 # -- backfill ----------------------------------------------------------------------------------------
 
-def static_units(seasons: Sequence[str], rounds: int, spark: SparkSession, capability: str = "match.fixtures@matchweek") -> DataFrame:
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in seasons])).alias("season"))
+def static_units(seasons: DataFrame, rounds: int, capability: str = "match.fixtures@matchweek") -> DataFrame:
+    """One unit for every round of every distinct season."""
+    grid = seasons.select("season").distinct()
     rows = grid.select("season", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("matchweek"))
     return rows.select(F.lit(capability).alias("capability"), "season", "matchweek",
                        F.concat_ws("|", F.lit(capability), "season", F.col("matchweek").cast("string")).alias("unit_key"))

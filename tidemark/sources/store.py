@@ -122,6 +122,12 @@ class ObservationStore:
                 return None
             raise
 
+    def _known(self, dataset: str, cutoff: datetime) -> DataFrame | None:
+        """Batches up to the cut-off's day; ``date`` is the partition that this store writes, so whole folders are left out."""
+        day = tt.instant("cutoff", cutoff).date()
+        df = self.scan(dataset)
+        return None if df is None else df.filter(F.col("date") <= F.lit(day))
+
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], T.StructType([]))
 
@@ -131,8 +137,7 @@ class ObservationStore:
 
     def as_of(self, dataset: str, cutoff: datetime) -> DataFrame:
         key = lookup(dataset).key
-        tt.instant("cutoff", cutoff)
-        df = self.scan(dataset)
+        df = self._known(dataset, cutoff)
         return self._empty() if df is None else tt.as_of(df, key, cutoff)
 
     def effective_at(self, dataset: str, cutoff: datetime) -> DataFrame:
@@ -145,7 +150,7 @@ class ObservationStore:
 
     def observations(self, dataset: str, until: datetime) -> DataFrame:
         tt.instant("until", until)
-        df = self.scan(dataset)
+        df = self._known(dataset, until)
         return self._empty() if df is None else tt.observations(df, until)
 
     def latest(self, dataset: str) -> DataFrame:
