@@ -118,16 +118,22 @@ def resolve_players(names: DataFrame, elements: DataFrame, name: str = "player_n
         (2, asked.withColumn("_part", last_token(F.col("_key"))), words),
         (3, asked.withColumn("_part", F.explode(F.array_distinct(tokens(F.col("_key"), MIN_TOKEN)))), words),
     ]
+    # The lowest and highest element of a part tell whether it is alone. They are taken before the join, so a name meets
+    # one row for each of its parts, however many players share it.
+    def ends(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("team_code", "_part").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+
     hits = reduce(lambda a, b: a.unionByName(b), [
-        left.join(right, ["team_code", "_part"]).select(*who, "_id", F.lit(rung).alias("_rung")) for rung, left, right in rungs
+        left.join(ends(right), ["team_code", "_part"]).select(*who, "_lo", "_hi", F.lit(rung).alias("_rung")) for rung, left, right in rungs
     ])
-    # The lowest and highest element of a rung tell whether it is alone, without listing them.
-    counted = hits.groupBy(*who, "_rung").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
-    first = counted.groupBy(*who).agg(F.min(F.struct("_rung", "_lo", "_hi")).alias("_f"))
+    of_rung = lambda r, c: F.when(F.col("_rung") == r, F.col(c))
+    first = hits.groupBy(*who).agg(*[f(of_rung(r, c)).alias(f"{c}{r}") for r in (1, 2, 3) for f, c in ((F.min, "_lo"), (F.max, "_hi"))])
     found = everyone.join(first, who, "left")
+    rung = F.coalesce(*[F.when(F.col(f"_lo{r}").isNotNull(), F.lit(r)) for r in (1, 2, 3)])
+    alone = F.coalesce(*[F.when(F.col(f"_lo{r}").isNotNull(), F.col(f"_lo{r}") == F.col(f"_hi{r}")) for r in (1, 2, 3)])
     return found.select(
-        *who, F.when(F.col("_f._lo") == F.col("_f._hi"), F.col("_f._lo")).alias("player_element_id"),
-        F.col("_f._rung").alias("rung"),
+        *who, F.when(alone, F.coalesce("_lo1", "_lo2", "_lo3")).alias("player_element_id"),
+        rung.alias("rung"),
     )
 
 

@@ -140,7 +140,8 @@ def broken_distributions(rows: DataFrame, key: Sequence[str], x: str = "points",
 
 def pmf_rows(df: DataFrame, key: Sequence[str], probs: str = "probs", lo: str | None = None) -> DataFrame:
     shift = F.col(lo) if lo else F.lit(0)
-    rows = df.select(*key, shift.alias("_lo"), F.posexplode(probs).alias("_k", "probability"))
+    # The outer form, as Spark would evaluate the array once more to filter empty ones before the other.
+    rows = df.select(*key, shift.alias("_lo"), F.posexplode_outer(probs).alias("_k", "probability")).filter("_k IS NOT NULL")
     return rows.select(*key, (F.col("_lo") + F.col("_k")).alias("points"), "probability")
 
 

@@ -11,7 +11,7 @@ from tidemark.plans.registry import query, table
 MOVES_SQL = """WITH ev AS (
   SELECT '2024-25' AS season, user_id AS arm, CAST(day(ts) AS INT) AS gameweek, event_id % 20 AS element,
     CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE 0 END AS is_in, CAST(40 + floor(min(value)) % 60 AS INT) AS price
-  FROM events WHERE event_type <> 'error' GROUP BY 1, 2, 3, 4, 5)"""
+  FROM events GROUP BY 1, 2, 3, 4, 5)"""
 HOLDS_SQL = MOVES_SQL + """,
  rec0 AS (SELECT season, arm, gameweek, count(*) FILTER (is_in = 1) AS n_in, count(*) FILTER (is_in = 0) AS n_out FROM ev GROUP BY 1, 2, 3),
  rec AS (SELECT *, n_out = 0 AND n_in > 0 AND (gameweek = min(gameweek) OVER (PARTITION BY season, arm) OR n_in = 15) AS free_build FROM rec0),
@@ -26,7 +26,7 @@ HOLDS_SQL = MOVES_SQL + """,
 
 
 def moves(spark, sf):
-    events = table(spark, sf, "events").filter("event_type <> 'error'")
+    events = table(spark, sf, "events")
     return events.groupBy(
         F.lit("2024-25").alias("season"), F.col("user_id").alias("arm"), F.dayofmonth("ts").alias("gameweek"),
         (F.col("event_id") % 20).alias("element"),

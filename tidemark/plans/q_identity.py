@@ -102,14 +102,14 @@ def season_identity_map(spark, sf):
 
 
 @query("team_identity_map", f"""WITH t AS (SELECT p_partkey AS code, {CLUB_SQL} AS name FROM part),
-  o AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_name || ' Town' END AS name FROM part WHERE p_partkey % 5 > 0),
+  o AS (SELECT CAST(CASE WHEN p_partkey % 5 = 0 THEN -p_partkey ELSE p_partkey END AS VARCHAR) AS id, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_name || ' Town' END AS name FROM part),
   j AS (SELECT code, t.name, CAST(code AS VARCHAR) AS other_id, o.name AS other_name, o.id IS NOT NULL AS matched,
     {KEY_SQL.format('t.name')} AS a, {KEY_SQL.format('o.name')} AS b FROM t LEFT JOIN o ON CAST(code AS VARCHAR) = o.id)
   SELECT code, name, other_id, coalesce(other_name, '') AS other_name, matched, coalesce(NOT contains(a, b) AND NOT contains(b, a), false) AS name_differs FROM j""")
 def team_identity_map(spark, sf):
     teams = clubs(spark, sf).select(F.col("p_partkey").alias("code"), F.col("club").alias("name"))
-    others = table(spark, sf, "part").filter("p_partkey % 5 > 0").select(
-        F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.concat("p_name", F.lit(" Town"))).alias("name"))
+    others = table(spark, sf, "part").select(  # every fifth has an id that no team has
+        F.when(F.col("p_partkey") % 5 == 0, -F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.concat("p_name", F.lit(" Town"))).alias("name"))
     m = ident.team_map(teams, others)
     return m.withColumn("other_name", F.coalesce("other_name", F.lit(""))).withColumn("name_differs", F.coalesce("name_differs", F.lit(False)))
 
@@ -221,10 +221,10 @@ def match_lookup(spark, sf):
 
 
 @query("source_priority", """SELECT id, name, source_priority FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_priority, name) AS rn FROM (
-    SELECT s_suppkey AS id, s_name AS name, 1 AS source_priority FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL
+    SELECT CASE WHEN s_suppkey % 3 = 0 THEN -s_suppkey ELSE s_suppkey END AS id, s_name AS name, 1 AS source_priority FROM supplier UNION ALL
     SELECT c_custkey, c_name, 2 FROM customer UNION ALL SELECT p_partkey, p_name, 3 FROM part)) WHERE rn = 1""")
 def source_priority(spark, sf):
-    a = table(spark, sf, "supplier").filter("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    a = table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 3 == 0, -F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
     b = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     c = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return ident.by_priority([(1, a), (2, b), (3, c)], ["id"])

@@ -208,17 +208,17 @@ def team_round_totals(spark, sf):
 
 @query("referee_of_match", """WITH home AS (SELECT DISTINCT o_orderkey AS fixture, CAST(o_orderdate AS DATE) AS d, o_custkey % 25 AS opp FROM orders),
   ident AS (SELECT n_nationkey AS id, n_nationkey + 100 AS code FROM nation),
-  fx AS (SELECT min(o_orderkey) AS match_id, CAST(o_orderdate AS DATE) AS d, o_custkey % 25 + 100 AS away_code FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 2, 3),
+  fx AS (SELECT min(o_orderkey) AS match_id, CAST(o_orderdate AS DATE) AS d, o_custkey % 25 + 100 AS away_code FROM orders GROUP BY 2, 3),
   cards AS (SELECT l_orderkey AS fixture, count(*) AS cards FROM lineitem GROUP BY 1)
   SELECT h.fixture, i.code AS away_team_code, f.match_id, coalesce(c.cards, 0) AS cards, 'Ref ' || (f.match_id % 40) AS official_name
   FROM home h LEFT JOIN ident i ON h.opp = i.id LEFT JOIN fx f ON h.d = f.d AND i.code = f.away_code LEFT JOIN cards c ON c.fixture = h.fixture
-  WHERE f.match_id IS NOT NULL""")
+  WHERE f.match_id IS NOT NULL AND f.match_id % 3 > 0""")
 def referee_of_match(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("kickoff_date"), (F.col("o_custkey") % 25).alias("opponent_team"))
     home = orders.withColumnRenamed("o_orderkey", "fixture").distinct()
     ident = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("opponent_team"), (F.col("n_nationkey") + 100).alias("away_team_code"))
-    fixtures = orders.filter("o_orderkey % 3 > 0").groupBy("kickoff_date", (F.col("opponent_team") + 100).cast("int").alias("away_team_code")).agg(F.min("o_orderkey").alias("match_id"))
-    officials = fixtures.select("match_id", F.concat(F.lit("Ref "), (F.col("match_id") % 40).cast("string")).alias("official_name"))
+    fixtures = orders.groupBy("kickoff_date", (F.col("opponent_team") + 100).cast("int").alias("away_team_code")).agg(F.min("o_orderkey").alias("match_id"))
+    officials = fixtures.select("match_id", F.when(F.col("match_id") % 3 > 0, F.concat(F.lit("Ref "), (F.col("match_id") % 40).cast("string"))).alias("official_name"))
     cards = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("fixture")).agg(F.count("*").alias("cards"))
     resolved = (home.join(ident, "opponent_team", "left").join(fixtures, ["kickoff_date", "away_team_code"], "left")
                 .join(officials, "match_id", "left").join(cards, "fixture", "left"))
@@ -227,11 +227,11 @@ def referee_of_match(spark, sf):
 
 
 REFEREE_SQL = st.FACTS_SQL + """, shaped AS (SELECT * REPLACE (CAST(fixture % 25 AS INT) AS opponent_team, CAST(date_trunc('week', kickoff) AS TIMESTAMP) AS kickoff) FROM facts),
-  fx AS (SELECT min(fixture) AS match_id, kickoff, opponent_team + 100 AS away_team_code FROM shaped WHERE fixture % 3 > 0 GROUP BY 2, 3),
+  fx AS (SELECT min(fixture) AS match_id, kickoff, opponent_team + 100 AS away_team_code FROM shaped GROUP BY 2, 3),
   home AS (SELECT DISTINCT season, round, fixture, opponent_team, kickoff FROM shaped WHERE was_home),
   cards AS (SELECT season, fixture, sum(yellow_cards + red_cards) AS cards FROM shaped GROUP BY 1, 2),
   resolved AS (SELECT h.season, h.round, h.fixture, h.kickoff, f.match_id, 'Ref ' || (f.match_id % 40) AS official_name, cards AS match_total_cards
-    FROM home h JOIN fx f ON f.kickoff = h.kickoff AND f.away_team_code = h.opponent_team + 100 JOIN cards USING (season, fixture)),
+    FROM home h JOIN fx f ON f.kickoff = h.kickoff AND f.away_team_code = h.opponent_team + 100 AND f.match_id % 3 > 0 JOIN cards USING (season, fixture)),
   trailed AS (SELECT *, coalesce(avg(CAST(match_total_cards AS DOUBLE)) OVER (PARTITION BY official_name ORDER BY kickoff, season, round, fixture ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
     (SELECT avg(match_total_cards) FROM resolved)) AS m FROM resolved)"""
 
@@ -240,8 +240,8 @@ def referees(spark, sf):
     week = F.date_trunc("week", "kickoff").cast("timestamp_ntz")
     facts = st.facts(spark, sf).withColumn("opponent_team", (F.col("fixture") % 25).cast("int")).withColumn("kickoff", week)
     identity = facts.select("season", F.col("opponent_team").alias("id")).distinct().withColumn("code", F.col("id") + 100)
-    fixtures = facts.filter("fixture % 3 > 0").groupBy("kickoff", (F.col("opponent_team") + 100).alias("away_team_code")).agg(F.min("fixture").alias("match_id"))
-    officials = fixtures.select("match_id", F.lit(True).alias("is_referee"), F.concat(F.lit("Ref "), (F.col("match_id") % 40).cast("string")).alias("official_name")).distinct()
+    fixtures = facts.groupBy("kickoff", (F.col("opponent_team") + 100).alias("away_team_code")).agg(F.min("fixture").alias("match_id"))
+    officials = fixtures.select("match_id", F.lit(True).alias("is_referee"), F.when(F.col("match_id") % 3 > 0, F.concat(F.lit("Ref "), (F.col("match_id") % 40).cast("string"))).alias("official_name")).distinct()
     return facts, fe.referee_trailing(ro.resolved_referees(facts, identity, fixtures, officials), order=("kickoff", "season", "round", "fixture"))
 
 
@@ -270,14 +270,14 @@ def restrict_to_wanted(spark, sf):
     return re.restrict_to(table(spark, sf, "events"), wanted, ["user_id"]).select("event_id", "user_id")
 
 
-WINDOWS_SQL = """WITH deadlines AS (SELECT DISTINCT CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 18 HOUR AS deadline FROM events WHERE day(ts) % 5 = 0),
+WINDOWS_SQL = """WITH deadlines AS (SELECT DISTINCT CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 18 HOUR AS deadline FROM events),
   windows AS (SELECT deadline, h AS hours_before, deadline - to_hours(h) - INTERVAL 30 MINUTE AS ws, deadline - to_hours(h) + INTERVAL 30 MINUTE AS we
     FROM deadlines, (VALUES (78), (26), (6), (2)) x(h))"""
 
 
 def windows(spark, sf):
     deadline = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 18 HOURS")
-    days = table(spark, sf, "events").filter(F.dayofmonth("ts") % 5 == 0).select(deadline.alias("deadline")).distinct()
+    days = table(spark, sf, "events").select(deadline.alias("deadline")).distinct()
     return re.capture_windows(days)
 
 
@@ -330,15 +330,14 @@ def distinct_rows(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates()
 
 
-@query("squad_change_equality", """SELECT o_orderkey, list_sort(list_distinct(list_concat(list_filter([a, b, c], lambda x: x <> b), [d]))) = list_sort([a, c, d]) AS continues FROM (
+@query("squad_change_equality", """SELECT o_orderkey, list_sort(list_distinct(list_concat(list_filter([a, b, c], lambda x: x <> b), [d]))) = list_sort(list_distinct([a, c, d])) AS continues FROM (
     SELECT o_orderkey, o_custkey % 5 AS a, o_custkey % 7 + 10 AS b, o_custkey % 11 + 30 AS c, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 5 ELSE 50 END AS d FROM orders)""")
 def squad_change_equality(spark, sf):
     rows = table(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_custkey") % 5).alias("a"), (F.col("o_custkey") % 7 + 10).alias("b"), (F.col("o_custkey") % 11 + 30).alias("c"),
         F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey") % 5).otherwise(F.lit(50)).alias("d"))
-    before, after = F.array("a", "b", "c"), F.array("a", "c", "d")
-    expected = F.array_union(F.array_except(before, F.array("b")), F.array("d"))
-    return rows.select("o_orderkey", (F.array_sort(expected) == F.array_sort(after)).alias("continues"))
+    changed = re.squad_changes(F.array("a", "b", "c"), F.array("b"), F.array("d"), F.array("a", "c", "d"))
+    return rows.select("o_orderkey", changed.alias("continues"))
 
 
 # -- aggregates --------------------------------------------------------------------------------------

@@ -122,13 +122,14 @@ def flattened_records(spark, sf):
     return rd.flatten_records(rows)
 
 
-@query("observed_when_public", """WITH r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(month(o_orderdate) AS INT) AS id, min(o_orderdate) AS deadline_time FROM orders WHERE month(o_orderdate) <> 6 GROUP BY 1, 2),
-  a AS (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(month(o_orderdate) AS INT) AS gw, o_custkey FROM orders WHERE month(o_orderdate) <> 6)
+@query("observed_when_public", """WITH r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(CASE WHEN month(o_orderdate) = 6 THEN 26 ELSE month(o_orderdate) END AS INT) AS id, min(o_orderdate) AS deadline_time FROM orders GROUP BY 1, 2),
+  a AS (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(CASE WHEN month(o_orderdate) = 6 THEN 26 ELSE month(o_orderdate) END AS INT) AS gw, o_custkey FROM orders)
   SELECT a.season, a.gw, a.o_custkey, strftime(coalesce(n.deadline_time, o.deadline_time + INTERVAL 7 DAY), '%Y-%m-%d') AS observed, n.deadline_time IS NOT NULL AS from_next
   FROM a LEFT JOIN r o ON o.season = a.season AND o.id = a.gw LEFT JOIN r n ON n.season = a.season AND n.id = a.gw + 1""")
 def observed_when_public(spark, sf):
-    orders = table(spark, sf, "orders").filter(F.month("o_orderdate") != 6)
-    season, gw = F.year("o_orderdate").cast("string").alias("season"), F.month("o_orderdate")
+    orders = table(spark, sf, "orders")
+    # June is numbered apart, so that May has no next round.
+    season, gw = F.year("o_orderdate").cast("string").alias("season"), F.when(F.month("o_orderdate") == 6, 26).otherwise(F.month("o_orderdate"))
     rounds = orders.groupBy(season, gw.alias("id")).agg(F.min("o_orderdate").alias("deadline_time"))
     attributes = orders.select(season, gw.alias("gw"), "o_custkey").distinct()
     seen = rd.observed_when_public(attributes, rounds)

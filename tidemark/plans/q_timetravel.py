@@ -80,10 +80,9 @@ def as_of_every_deadline(spark, sf):
 
 
 @query("rows_before_round", st.FACTS_SQL + """
-  SELECT season, round, element, fixture, line, total_points FROM facts WHERE season = '1999-00' AND round < 20""")
+  SELECT season, round, element, fixture, line, total_points FROM facts WHERE round < 20""")
 def rows_before_round(spark, sf):
-    rows = st.facts(spark, sf).filter("season = '1999-00'")
-    return tt.rows_before_round(rows, 20).select("season", "round", "element", "fixture", "line", "total_points")
+    return tt.rows_before_round(st.facts(spark, sf), 20).select("season", "round", "element", "fixture", "line", "total_points")
 
 
 @query("rows_for_round", st.FACTS_SQL + """
@@ -94,11 +93,10 @@ def rows_for_round(spark, sf):
 
 @query("last_known_attributes", st.FACTS_SQL + """
   SELECT element, position, team, value FROM (
-    SELECT *, row_number() OVER (PARTITION BY element ORDER BY round DESC, fixture DESC, position DESC, team DESC, value DESC) rn
-    FROM facts WHERE season = '1999-00') WHERE rn = 1""")
+    SELECT *, row_number() OVER (PARTITION BY element ORDER BY season DESC, round DESC, fixture DESC, position DESC, team DESC, value DESC) rn
+    FROM facts) WHERE rn = 1""")
 def last_known_attributes(spark, sf):
-    rows = st.facts(spark, sf).filter("season = '1999-00'")
-    return tt.last_known_attributes(rows, ["position", "team", "value"])
+    return tt.last_known_attributes(st.facts(spark, sf), ["position", "team", "value"], order=("season", "round", "fixture"))
 
 
 @query("decision_view_attributes", st.FACTS_SQL + """
