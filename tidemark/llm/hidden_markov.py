@@ -216,7 +216,12 @@ def count_words(documents: DataFrame) -> Counts:
     table = settle(training(documents).select("text").mapInArrow(run, "digest long, c long")
                    .groupBy("digest").agg(F.sum("c").alias("c")))
     whole = table.agg(F.sum("c"), F.count("*")).first()
-    top = table.orderBy(F.desc("c"), "digest").limit(TOP_WORDS).toPandas()
+    # The most frequent words: the largest classes of counts (16 to the power of two) that together fit the limit. Sorting
+    # with a limit would send as many rows from every task.
+    size = F.floor(16 * F.log2("c")).cast("int")
+    classes = table.groupBy(size.alias("size")).agg(F.count("*").alias("n")).toPandas().sort_values("size", ascending=False)
+    fitting = classes["size"][classes["n"].cumsum() <= TOP_WORDS]
+    top = table.where(size >= int(fitting.min()) if len(fitting) else F.lit(False)).toPandas()
     digests = top["digest"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(digests)
     # Digests are unsigned; their remainder comes from the two halves.
