@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import texts as T
+from tidemark.session import settle
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -79,8 +80,9 @@ def units(documents: DataFrame, sentences: bool = True) -> DataFrame:
 def repeats(documents: DataFrame, min_words: int = 30, sentences: bool = True) -> DataFrame:
     """Runs to remove: doc_id, start, end, n_units, n_words and first_doc_id, the smallest id that keeps one of their units."""
     every = units(documents, sentences)
-    shared = (every.where("fresh").groupBy("digest").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc_id"))
-              .where("docs > 1").select("digest", "first_doc_id"))
+    # Written first: Spark splits a hot digest in the join only where both sides are shuffled for the join itself.
+    shared = settle(every.where("fresh").groupBy("digest").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc_id"))
+                    .where("docs > 1").select("digest", "first_doc_id"))
     found = (every.join(shared, "digest", "left").where("not fresh or doc_id > first_doc_id")
              .select("doc_id", "unit", "start", "end", "words", F.least("doc_id", "first_doc_id").alias("first_doc_id")).distinct())
     order = Window.partitionBy("doc_id").orderBy("unit")
