@@ -569,7 +569,7 @@ def test_raking(spark, rows, monkeypatch):
                 mass[c[d]] += s
             off = max(off, *(abs(mass[k] - t) for k, t in target[d].items()))
             share = {c: s * target[d][c[d]] / mass[c[d]] if mass[c[d]] else 0.0 for c, s in share.items()}
-        if off <= 1e-6:
+        if off <= 1e-5:
             break
     assert (got.margin_off - off).abs().max() < 1e-9
     for row in got.itertuples():

@@ -11,7 +11,7 @@ Targets default to the observed token shares to the power ``temperature``, norma
 The topic defaults to the text's form; any column expression may take its place.
 
 Defined results. Null text: no tokens, form "empty". Null source, language or topic: a category of its own. Null ids:
-drawn as the empty id. Repeated rows: drawn alike. Targets that contradict each other: the result of the last of 25
+drawn as the empty id. Repeated rows: drawn alike. Targets that contradict each other: the result of the last of 12
 sweeps, with what the margins are off in ``margin_off``. Cells without tokens: factor zero, never kept unless the whole table
 has none; an empty table gives an empty result. Further columns are kept by ``sample`` and ignored by ``weights``.
 """
@@ -26,7 +26,7 @@ from tidemark.session import settle
 
 MARGINS = ("source", "lang", "topic")
 BROADCAST_BYTES = 4 << 20
-SWEEPS = 25
+SWEEPS = 12
 
 
 @dataclass
@@ -70,7 +70,7 @@ def default_targets(cells: DataFrame, temperature: float) -> dict[str, DataFrame
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-5) -> tuple[DataFrame, float]:
     """cells (source, lang, topic, tokens) with the raked share of each; categories without a target get none.
 
     With it comes what the margins were off before the last sweep: above the tolerance if targets contradict each other.
