@@ -59,14 +59,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-# A table of at most this many narrow rows (some tens of MB) is sent to every executor.
-SMALL_ROWS = 500_000
+# A table of at most so many bytes, measured on its rows, is sent to every executor.
+SMALL_BYTES = 32 << 20
 
 
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """A rolled-up side of a join: written once, counted, and broadcast only when it proved small.
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of a table's values: sixteen for every fixed-width one, the contents of texts and nested values besides."""
+    held = []
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary", "char", "varchar"):
+            held.append(F.octet_length(field.name))
+        elif kind in ("array", "map", "struct"):
+            held.append(F.octet_length(F.to_json(field.name)))
+    more = [F.sum(F.coalesce(h.cast("bigint"), F.lit(0))) for h in held]
+    row = df.agg(F.count("*"), *more).first()
+    return 16 * len(df.columns) * row[0] + sum(x or 0 for x in row[1:])
+
+
+def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """A rolled-up side of a join: written once, measured, and broadcast only when it proved small.
 
     Beyond the limit the join shuffles, with skewed partitions split at run time.
     """
     settled = settle(df)
-    return F.broadcast(settled) if settled.count() <= limit else settled
+    return F.broadcast(settled) if measured_bytes(settled) <= limit else settled
