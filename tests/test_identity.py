@@ -18,11 +18,11 @@ def one(spark, value, fn):
 @pytest.mark.parametrize("raw, want", [("Groß", "gross"), ("Ødegaard", "odegaard"), ("ESTÊVÃO", "estevao"), ("Łukasz Đ Æ", "lukasz d ae"), ("é", "e")])
 def test_fold(spark, raw, want):
     assert one(spark, raw, tx.fold) == want
-    assert one(spark, raw, tx.fold_any) == want
 
 
-def test_fold_any_takes_ligatures(spark):
-    assert one(spark, "ﬁn", tx.fold_any) == "fin"
+def test_fold_takes_ligatures_and_fractions(spark):
+    assert one(spark, "Ĳssel ﬁnn ½", tx.fold) == "ijssel finn 1⁄2"
+    assert one(spark, "Straße ﬆ", tx.fold) == "strasse st"
 
 
 def test_keys(spark):

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # Latin letters that do not decompose, and what they become.
 LETTERS = {
@@ -23,12 +22,21 @@ def _stripped(ch: str) -> str:
 
 # Every character of the basic plane that loses its marks and stays one character.
 _PLAIN = {c: _stripped(c) for c in map(chr, range(0xA0, 0xFFFF)) if len(_stripped(c)) == 1 and _stripped(c) != c}
+# Every character before the East Asian blocks, and the Latin ligatures, that becomes several.
+_SEVERAL = {c: _stripped(c) for c in map(chr, [*range(0xA0, 0x2E80), *range(0xFB00, 0xFB07)]) if len(_stripped(c)) > 1}
+_ANY_SEVERAL = "[" + "".join(_SEVERAL) + "]"
+
+
+def _spread(text: Column) -> Column:
+    """Ligatures, fractions and their like as their parts; a text without any is only looked at."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("one"), F.lit(parts).alias("parts")) for c, parts in _SEVERAL.items()])
+    return F.when(text.rlike(_ANY_SEVERAL), F.aggregate(pairs, text, lambda t, p: F.replace(t, p["one"], p["parts"]))).otherwise(text)
 
 
 def fold(text: Column) -> Column:
-    """Special letters spelled out, accents dropped, lower case. For text in Latin, Greek or Cyrillic."""
+    """Special letters spelled out, accents dropped, lower case. Hangul and ideographs stay as they are."""
     single = {**_PLAIN, **{k: v for k, v in LETTERS.items() if len(v) == 1}}
-    out = text
+    out = _spread(text)
     for letter, plain in LETTERS.items():
         if len(plain) > 1:
             out = F.replace(out, F.lit(letter), F.lit(plain))
@@ -36,13 +44,6 @@ def fold(text: Column) -> Column:
     return F.lower(F.regexp_replace(out, r"\p{M}", ""))
 
 
-@F.pandas_udf(T.StringType())
-def fold_any(text: pd.Series) -> pd.Series:
-    """The same for characters that decompose into several (ligatures, fractions, Hangul)."""
-    table = str.maketrans(LETTERS)
-    return text.map(lambda s: None if s is None else _stripped(s.translate(table)).lower())
-
-
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
