@@ -587,6 +587,33 @@ def test_raking(spark, rows, monkeypatch):
     assert raking.weights(frame.limit(0)).count() == 0
 
 
+def test_reached_margins_and_copies(spark, rows, caplog):
+    """A scarce category misses its target in a draw without repetition, which is reported; copies meet it."""
+    frame = table(spark, [(i, "a b c d e f g h i j") for i in range(400)] + [(i, "long " * 60) for i in range(400, 406)])
+    targets = {n: spark.createDataFrame(t, f"{n} string, target double") for n, t in (
+        ("source", [("s0", 1 / 3), ("s1", 1 / 3), ("s2", 1 / 3)]), ("lang", [("en", 0.5), ("(none)", 0.5)]), ("topic", [("note", 0.6), ("article", 0.4)]))}
+    mix = raking.plan_mix(frame, keep=0.5, targets=targets)
+    got = raking.weights(frame, mix).toPandas()
+    kept, whole = got.n_tokens * got.probability, got.n_tokens.sum()
+    margins = {(r["margin"], r["category"]): r for r in mix.margins.collect()}
+    for name in raking.MARGINS:
+        for category, tokens in kept.groupby(got[name]).sum().items():
+            assert margins[name, category]["reached"] == pytest.approx(tokens / kept.sum(), abs=1e-9)
+    miss = max(abs(r["reached"] - r["target"]) for r in margins.values())
+    assert miss > 0.1 and (got.margin_missed - miss).abs().max() < 1e-9 and got.margin_off.max() < 1e-4
+    raking.report(mix)
+    assert "topic article: target 0.400" in caplog.text
+    expected = got.n_tokens * got.token_weight * 0.5
+    assert expected.sum() == pytest.approx(0.5 * whole, rel=1e-6) and (expected.groupby(got.topic).sum() / expected.sum())["article"] == pytest.approx(0.4, abs=1e-4)
+    for row in got.itertuples():
+        draw = int(hashlib.md5(f"mix:{row.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        assert row.copies == max(0, math.ceil(row.token_weight * 0.5 - draw))
+    taken = raking.sample(frame, mix, repeat=True)
+    assert taken.columns == frame.columns and taken.count() == got.copies.sum()
+    drawn = (got.copies * got.n_tokens).groupby(got.topic).sum()
+    assert got.copies.max() > 1 and drawn["article"] / drawn.sum() == pytest.approx(0.4, abs=0.08)
+
+
 # shared helpers
 
 

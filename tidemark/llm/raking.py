@@ -5,6 +5,10 @@ share; the cells stay a DataFrame, their sums are combined on the map side, and
 sampling rate) reach the driver. A document is kept with probability min(1, rate * factor of its cell), where the rate
 is calibrated so that the expected tokens kept are the budget; the draw is a hash of the id, so it repeats.
 
+A cell whose rate times factor is above one is short of its target in such a draw, however the rate is chosen. What the
+draw reaches is in ``Mix.margins`` per category and, as the largest miss, in ``margin_missed``. Where documents may be
+taken more than once, ``copies`` (``sample`` with ``repeat``) meets the targets and the budget both, in expectation.
+
 Built from DataFrame functions only.
 
 Targets default to the observed token shares to the power ``temperature``, normalised: below one, small sources gain.
@@ -18,6 +22,7 @@ has none; an empty table gives an empty result. Further columns are kept by ``sa
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,15 +32,23 @@ from tidemark.session import settle
 MARGINS = ("source", "lang", "topic")
 BROADCAST_BYTES = 4 << 20
 SWEEPS = 12
+LOG = logging.getLogger(__name__)
 
 
 @dataclass
 class Mix:
-    """Factor of every cell (columns source, lang, topic, factor) and the calibrated rate."""
+    """Factor of every cell (columns source, lang, topic, factor) and the calibrated rate.
+
+    ``margins`` has the target, observed and reached token share of each category (columns margin, category, target,
+    observed, reached), ``missed`` the largest difference of reached and target, ``copy_rate`` the rate without a bound of one.
+    """
 
     cells: DataFrame
     rate: float
     off: float = 0.0
+    margins: DataFrame | None = None
+    missed: float = 0.0
+    copy_rate: float = 1.0
 
 
 def token_count(text: Column) -> Column:
@@ -110,6 +123,20 @@ def calibrated_rate(cells: DataFrame, budget: float) -> float:
     return rate
 
 
+def reached_margins(cells: DataFrame, targets: dict[str, DataFrame], rate: float) -> DataFrame:
+    """Per category its target, its share of all tokens and its share of those that the draw keeps, in expectation."""
+    cells = cells.withColumn("kept", F.col("tokens") * F.least(F.lit(1.0), F.lit(rate) * F.col("factor")))
+    whole = cells.agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept")).first()
+
+    def share(name: str) -> Column:
+        return F.coalesce(F.col(name) / F.lit(float(whole[name] or 0) or 1.0), F.lit(0.0))
+
+    parts = [cells.groupBy(name).agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept")).join(targets[name], name, "full")
+             .select(F.lit(name).alias("margin"), F.col(name).alias("category"), F.coalesce("target", F.lit(0.0)).alias("target"),
+                     share("tokens").alias("observed"), share("kept").alias("reached")) for name in MARGINS]
+    return settle(parts[0].union(parts[1]).union(parts[2]))
+
+
 def plan_mix(documents: DataFrame, temperature: float = 0.5, keep: float = 0.5, topic: Column | None = None,
              targets: dict[str, DataFrame] | None = None) -> Mix:
     """Rake the documents' tokens and calibrate the rate to keep the given share of all tokens (in expectation)."""
@@ -120,12 +147,29 @@ def plan_mix(documents: DataFrame, temperature: float = 0.5, keep: float = 0.5,
 
 
 def mix_of_cells(cells: DataFrame, temperature: float, keep: float, targets: dict[str, DataFrame] | None = None) -> Mix:
-    raked, off = rake(cells, targets or default_targets(cells, temperature))
+    targets = targets or default_targets(cells, temperature)
+    raked, off = rake(cells, targets)
     total = raked.agg(F.sum("tokens")).first()[0] or 0
     # The factor is the raked share against the observed one.
     factor = F.when(F.col("tokens") > 0, F.col("share") * F.lit(float(total)) / F.col("tokens")).otherwise(0.0 if total else 1.0)
     cells = settle(raked.select(*MARGINS, "tokens", factor.alias("factor")))
-    return Mix(cells.drop("tokens"), calibrated_rate(cells, keep * total) if total else 1.0, off)
+    if not total:
+        return Mix(cells.drop("tokens"), 1.0, off)
+    rate = calibrated_rate(cells, keep * total)
+    margins = reached_margins(cells, targets, rate)
+    missed = margins.agg(F.max(F.abs(F.col("reached") - F.col("target")))).first()[0] or 0.0
+    mass = cells.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0]
+    return Mix(cells.drop("tokens"), rate, off, margins, missed, keep * total / mass if mass else 0.0)
+
+
+def report(mix: Mix, most: int = 20) -> None:
+    """Log the categories whose share the draw misses most, if it misses any by a thousandth."""
+    if mix.margins is None or mix.missed < 0.001:
+        return
+    miss = F.abs(F.col("reached") - F.col("target"))
+    rows = mix.margins.orderBy(miss.desc(), "margin", "category").limit(most).collect()
+    LOG.warning("the mixture misses its targets by up to %.3f: %s", mix.missed, "; ".join(
+        f"{r['margin']} {r['category']}: target {r['target']:.3f}, observed {r['observed']:.3f}, reached {r['reached']:.3f}" for r in rows))
 
 
 def sized_broadcast(cells: DataFrame) -> DataFrame:
@@ -135,17 +179,18 @@ def sized_broadcast(cells: DataFrame) -> DataFrame:
 
 
 def _draw(described_documents: DataFrame, mix: Mix) -> DataFrame:
-    """Adds __factor, __probability and __kept to described documents."""
+    """Adds __factor, __probability, __kept and __copies to described documents."""
     cells = sized_broadcast(mix.cells).toDF("__source", "__lang", "__topic", "__factor")
     id_text = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     uniform = F.conv(F.substring(F.md5(id_text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     return (described_documents.join(cells, ["__source", "__lang", "__topic"])
             .withColumn("__probability", F.least(F.lit(1.0), F.lit(mix.rate) * F.col("__factor")))
-            .withColumn("__kept", uniform < F.col("__probability")))
+            .withColumn("__kept", uniform < F.col("__probability"))
+            .withColumn("__copies", F.ceil(F.lit(mix.copy_rate) * F.col("__factor") - uniform).cast("long")))
 
 
 def weights(documents: DataFrame, mix: Mix | None = None, topic: Column | None = None, **settings: float) -> DataFrame:
-    """Per document: its cell, tokens, weight of a token, probability and whether it is kept."""
+    """Per document: its cell, tokens, weight of a token, probability, whether it is kept, and how often if it may repeat."""
     narrow = settle(described(documents.select("doc_id", "text", "lang", "source"), topic)
                     .select("doc_id", "__tokens", "__source", "__lang", "__topic"))
     if mix is None:
@@ -156,9 +201,13 @@ def weights(documents: DataFrame, mix: Mix | None = None, topic: Column | None =
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
         F.col("__tokens").alias("n_tokens"), F.col("__factor").alias("token_weight"),
         F.col("__probability").alias("probability"), F.col("__kept").alias("kept"),
-        F.lit(mix.off).alias("margin_off"))
+        F.col("__copies").alias("copies"), F.lit(mix.off).alias("margin_off"), F.lit(mix.missed).alias("margin_missed"))
 
 
-def sample(documents: DataFrame, mix: Mix, topic: Column | None = None) -> DataFrame:
-    """The documents that the draw keeps, with their own columns."""
-    return _draw(described(documents, topic), mix).where("__kept").select(*documents.columns)
+def sample(documents: DataFrame, mix: Mix, topic: Column | None = None, repeat: bool = False) -> DataFrame:
+    """The documents that the draw keeps, with their own columns; with ``repeat`` each as often as it has copies."""
+    drawn = _draw(described(documents, topic), mix)
+    if repeat:
+        drawn = drawn.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+        return drawn.select(*documents.columns)
+    return drawn.where("__kept").select(*documents.columns)
