@@ -19,6 +19,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of all tokens that the mixture keeps, in expectation. No document is taken twice, so scarce categories stay below
 #: their targets; the shares that are reached are logged.
 KEEP = 0.9
+#: Similarity from which the near-duplicate stage takes two documents for copies of each other; op9 itself takes 85.
+PERCENT = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat an id are one document, of which the row with the smallest text stays. Rows without an id stay.
     """
     docs = docs.select(*COLUMNS)
-    gone = minhash_components.components(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash_components.components(docs, PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     left = minhash_components.without_ids(docs, gone)
     repeated = settle(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
     if repeated.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_corpus_operators import brute_components
@@ -47,6 +49,24 @@ def test_near_duplicate_stage(spark, docs):
     assert set(got) <= set(rows(docs))
 
 
+def test_near_duplicate_stage_takes_four_fifths(spark, docs):
+    """Copies between 80 and 85 percent go, those below 80 stay."""
+    rng = random.Random(6)
+    given = []
+    for group in range(12):
+        base = [f"w{group}x{rng.randint(0, 10**6)}" for _ in range(120)]
+        given.append((100 * group, " ".join(base)))
+        for edits in range(1, 5):
+            words = list(base)
+            for k in range(edits):
+                words[20 + 25 * k] = f"e{group}y{edits}z{k}"
+            given.append((100 * group + edits, " ".join(words)))
+    frame = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in given], docs.schema)
+    got = {r[0] for r in rows(corpus_pipeline.keep_one_of_each(spark, frame, SF))}
+    assert got == {i for i, c in brute_components(given, 80).items() if i == c}
+    assert len(got) < len({i for i, c in brute_components(given, 85).items() if i == c})
+
+
 def test_masking_stage(spark, docs):
     got = {r[0]: r for r in rows(corpus_pipeline.mask_personal_data(spark, docs, SF))}
     for r in rows(docs):

@@ -1,7 +1,8 @@
 """Operator 9: near-duplicate documents by MinHash, confirmed on full shingle sets, as connected components.
 
 A document's set holds its distinct shingles of five words. 160 universal hash functions give 160 minima; 32 bands of
-five of them choose candidates: a pair at similarity 0.85 shares no band with a probability below one in 10**8.
+five of them choose candidates: a pair at similarity 0.85 shares no band with a probability below one in 10**8, one at
+0.8, the pipeline's limit, with three in 10**6.
 Candidates must then agree in enough of all minima (signature verification, far below the limit), and last
 the similarity is confirmed on the full sets. Components come from alternating large-star and small-star steps.
 
