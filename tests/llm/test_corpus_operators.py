@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -614,6 +615,12 @@ def test_reached_margins_and_copies(spark, rows, caplog):
     assert got.copies.max() > 1 and drawn["article"] / drawn.sum() == pytest.approx(0.4, abs=0.08)
 
 
+def test_raking_stops_by_its_deviation():
+    """No fixed number of sweeps: slow progress goes on, and only a deviation that no longer falls ends it."""
+    assert raking.SWEEPS is None and inspect.signature(raking.rake).parameters["tolerance"].default == 1e-6
+    assert not raking.stalled([0.99**k for k in range(200)]) and not raking.stalled([0.5] * 10) and raking.stalled([0.5] * 11)
+
+
 # shared helpers
 
 

@@ -15,8 +15,8 @@ Targets default to the observed token shares to the power ``temperature``, norma
 The topic defaults to the text's form; any column expression may take its place.
 
 Defined results. Null text: no tokens, form "empty". Null source, language or topic: a category of its own. Null ids:
-drawn as the empty id. Repeated rows: drawn alike. Targets that contradict each other: the result of the last of 12
-sweeps, with what the margins are off in ``margin_off``. Cells without tokens: factor zero, never kept unless the whole table
+drawn as the empty id. Repeated rows: drawn alike. Targets that contradict each other: the result of the sweep at which
+the deviation stopped falling, with a warning in the log and what the margins are off in ``margin_off``. Cells without tokens: factor zero, never kept unless the whole table
 has none; an empty table gives an empty result. Further columns are kept by ``sample`` and ignored by ``weights``.
 """
 
@@ -31,7 +31,10 @@ from tidemark.session import settle
 
 MARGINS = ("source", "lang", "topic")
 BROADCAST_BYTES = 4 << 20
-SWEEPS = 12
+#: Sweeps go on until the targets are met or the deviation stops falling; a number here bounds them besides.
+SWEEPS: int | None = None
+#: The deviation has stopped falling if this many sweeps lower it by less than one part in a thousand.
+STALL_SWEEPS = 10
 LOG = logging.getLogger(__name__)
 
 
@@ -83,17 +86,18 @@ def default_targets(cells: DataFrame, temperature: float) -> dict[str, DataFrame
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-5) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6) -> tuple[DataFrame, float]:
     """cells (source, lang, topic, tokens) with the raked share of each; categories without a target get none.
 
-    With it comes what the margins were off before the last sweep: above the tolerance if targets contradict each other.
+    With it comes what the margins were off before the last sweep: above the tolerance, and logged, if targets contradict
+    each other or the sweeps come too slowly nearer to them.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     shares = settle(cells.withColumn("share", F.col("tokens") / F.lit(float(total) if total else 1.0)))
     if not total:
         return shares, 0.0
-    off = 0.0
-    for _ in range(SWEEPS):
+    offs: list[float] = []
+    while SWEEPS is None or len(offs) < SWEEPS:
         worst = []
         for name in MARGINS:
             # The scale of every category is written, so the cells' plan grows by one join a margin and is never doubled.
@@ -104,10 +108,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
             worst.append(scale.select("off"))
             shares = shares.join(scale.drop("off"), name).select(*MARGINS, "tokens", (F.col("share") * F.col("scale")).alias("share"))
         shares = settle(shares)
-        off = worst[0].union(worst[1]).union(worst[2]).agg(F.max("off")).first()[0] or 0.0
-        if off <= tolerance:
+        offs.append(worst[0].union(worst[1]).union(worst[2]).agg(F.max("off")).first()[0] or 0.0)
+        if offs[-1] <= tolerance or stalled(offs):
             break
-    return shares, off
+    if offs[-1] > tolerance:
+        LOG.warning("raking stopped after %d sweeps with margins off by %.2g", len(offs), offs[-1])
+    return shares, offs[-1]
+
+
+def stalled(offs: list[float]) -> bool:
+    """Whether the last sweeps hardly lowered the least deviation so far."""
+    return len(offs) > STALL_SWEEPS and min(offs[-STALL_SWEEPS:]) > 0.999 * min(offs[:-STALL_SWEEPS])
 
 
 def calibrated_rate(cells: DataFrame, budget: float) -> float:
