@@ -50,7 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable shared storage, so a lost executor cannot change the rows."""
+    """Cut the lineage through reliable shared storage, so a lost executor cannot change the rows.
+
+    Order and partitions stay, and so does the planner's estimate of the size. A loop that joins a table with what was
+    made from it would multiply these estimates with every round: use ``written`` there.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -59,6 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage and size estimates are cut, readers take single columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # A table of at most so many bytes, measured on its rows, is sent to every executor.
 SMALL_BYTES = 32 << 20
 
