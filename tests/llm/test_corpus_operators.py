@@ -544,8 +544,7 @@ def test_stars_contract_chains(spark):
 # 10
 
 
-def test_raking(spark, rows, monkeypatch):
-    monkeypatch.setattr(raking, "SWEEPS", 5)
+def test_raking(spark, rows):
     frame = table(spark, rows)
     got = raking.weights(frame, keep=0.4).toPandas()
     tokens = collections.Counter()
@@ -562,7 +561,7 @@ def test_raking(spark, rows, monkeypatch):
         whole = sum(math.sqrt(n) for n in mass.values())
         target.append({k: math.sqrt(n) / whole for k, n in mass.items()})
     off = 1.0
-    for _ in range(raking.SWEEPS):
+    while off > 1e-6:
         off = 0.0
         for d in range(3):
             mass = collections.Counter()
@@ -570,8 +569,6 @@ def test_raking(spark, rows, monkeypatch):
                 mass[c[d]] += s
             off = max(off, *(abs(mass[k] - t) for k, t in target[d].items()))
             share = {c: s * target[d][c[d]] / mass[c[d]] if mass[c[d]] else 0.0 for c, s in share.items()}
-        if off <= 1e-5:
-            break
     assert (got.margin_off - off).abs().max() < 1e-9
     for row in got.itertuples():
         c = (row.source, row.lang, row.topic)
@@ -615,6 +612,39 @@ def test_reached_margins_and_copies(spark, rows, caplog):
     assert got.copies.max() > 1 and drawn["article"] / drawn.sum() == pytest.approx(0.4, abs=0.08)
 
 
+def test_raking_that_needs_many_sweeps(spark):
+    """Two sources, each nearly all in its own language: the default loop goes on until the targets are met."""
+    cells = spark.createDataFrame([("a", "x", "t", 9800), ("a", "y", "t", 30), ("b", "x", "t", 30), ("b", "y", "t", 9800), ("b", "y", "u", 500)],
+                                  "source string, lang string, topic string, tokens long")
+    targets = {n: spark.createDataFrame(t, f"{n} string, target double") for n, t in (
+        ("source", [("a", 0.5), ("b", 0.5)]), ("lang", [("x", 0.3), ("y", 0.7)]), ("topic", [("t", 0.6), ("u", 0.4)]))}
+    raked, off = raking.rake(cells, targets)
+    assert off <= 1e-6
+    share = {(r["source"], r["lang"], r["topic"]): r["tokens"] / 20160 for r in raked.collect()}
+    want = [dict(t.collect()) for t in targets.values()]
+    sweeps = 0
+    while True:
+        sweeps, worst = sweeps + 1, 0.0
+        for d in range(3):
+            mass = collections.Counter()
+            for c, s in share.items():
+                mass[c[d]] += s
+            worst = max(worst, *(abs(mass[k] - t) for k, t in want[d].items()))
+            share = {c: s * want[d][c[d]] / mass[c[d]] for c, s in share.items()}
+        if worst <= 1e-6:
+            break
+    assert sweeps >= 30
+    for r in raked.collect():
+        assert r["share"] == pytest.approx(share[r["source"], r["lang"], r["topic"]], abs=1e-9)
+
+
+def test_sampling_keeps_columns_named_like_the_cells(spark, rows):
+    frame = table(spark, rows).withColumns({"__topic": raking.F.lit("mine"), "__tokens": raking.F.lit(-3)})
+    mix = raking.plan_mix(frame, keep=0.6)
+    got = raking.sample(frame, mix)
+    assert got.columns == frame.columns and {(r["__topic"], r["__tokens"]) for r in got.collect()} == {("mine", -3)}
+
+
 def test_raking_stops_by_its_deviation():
     """No fixed number of sweeps: slow progress goes on, and only a deviation that no longer falls ends it."""
     assert raking.SWEEPS is None and inspect.signature(raking.rake).parameters["tolerance"].default == 1e-6

@@ -75,15 +75,13 @@ def test_masking_stage(spark, docs):
     assert got[9002][1] == "write to <EMAIL> or <EMAIL>"
 
 
-def test_mixture_stage(spark, docs, monkeypatch):
-    monkeypatch.setattr(raking, "SWEEPS", 3)
+def test_mixture_stage(spark, docs):
     got = rows(corpus_pipeline.mix_sources(spark, docs, SF))
     weights = raking.weights(docs, keep=corpus_pipeline.KEEP).toPandas()
     assert len(got) == weights.kept.sum() and set(got) <= set(rows(docs))
 
 
-def test_whole_pipeline(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(raking, "SWEEPS", 3)
+def test_whole_pipeline(spark, tmp_path):
     some = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 80")
     some.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")

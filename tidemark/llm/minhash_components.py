@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import texts as T
-from tidemark.session import scratch_path, settle
+from tidemark.session import settle, written
 
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
@@ -92,13 +92,6 @@ BROADCAST_IDS = 500_000
 LARGE_BUCKET = 16
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; unlike a checkpoint, readers take single columns."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is among the distinct ids (a settled table)."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")

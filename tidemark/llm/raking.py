@@ -25,9 +25,9 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
-from tidemark.session import settle
+from tidemark.session import settle, written
 
 MARGINS = ("source", "lang", "topic")
 BROADCAST_BYTES = 4 << 20
@@ -35,6 +35,8 @@ BROADCAST_BYTES = 4 << 20
 SWEEPS: int | None = None
 #: The deviation has stopped falling if this many sweeps lower it by less than one part in a thousand.
 STALL_SWEEPS = 10
+#: So many sweeps are one Spark job. The result does not depend on it.
+SWEEPS_A_JOB = 5
 LOG = logging.getLogger(__name__)
 
 
@@ -68,12 +70,11 @@ def form(text: Column, tokens: Column) -> Column:
 
 
 def described(documents: DataFrame, topic: Column | None = None) -> DataFrame:
-    """The documents with n_tokens, topic and the cell's keys under names that no column of theirs has."""
-    out = documents.withColumn("__tokens", token_count(F.col("text")))
-    out = out.withColumn("__topic", form(F.col("text"), F.col("__tokens")) if topic is None else topic)
-    return (out.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("(none)")))
-            .withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")))
-            .withColumn("__topic", F.coalesce(F.col("__topic").cast("string"), F.lit("(none)"))))
+    """The documents as ``__row``, their id, and the tokens and keys of their cell."""
+    kept = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.col("doc_id"), F.col("text"), F.col("source"), F.col("lang")]
+    counted = documents.select(*kept, token_count(F.col("text")).alias("__tokens"), *([] if topic is None else [topic.alias("__named")]))
+    keys = {"source": F.col("source"), "lang": F.col("lang"), "topic": form(F.col("text"), F.col("__tokens")) if topic is None else F.col("__named")}
+    return counted.select("__row", "doc_id", "__tokens", *[F.coalesce(k.cast("string"), F.lit("(none)")).alias(f"__{n}") for n, k in keys.items()])
 
 
 def default_targets(cells: DataFrame, temperature: float) -> dict[str, DataFrame]:
@@ -89,31 +90,52 @@ def default_targets(cells: DataFrame, temperature: float) -> dict[str, DataFrame
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6) -> tuple[DataFrame, float]:
     """cells (source, lang, topic, tokens) with the raked share of each; categories without a target get none.
 
-    With it comes what the margins were off before the last sweep: above the tolerance, and logged, if targets contradict
-    each other or the sweeps come too slowly nearer to them.
+    Sums of a category are windows over the cells, so a sweep adds three exchanges to the plan and no join; the cells of
+    some sweeps are written by one job, which also observes what the margins were off before each. With the result comes
+    that deviation at the last sweep: above the tolerance, and logged, if targets contradict each other or the sweeps come
+    too slowly nearer to them.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    shares = settle(cells.withColumn("share", F.col("tokens") / F.lit(float(total) if total else 1.0)))
+    shares = cells.withColumn("share", F.col("tokens") / F.lit(float(total) if total else 1.0))
     if not total:
-        return shares, 0.0
+        return written(shares, "cells"), 0.0
+    for name in MARGINS:
+        aim = targets[name].select(name, F.col("target").cast("double").alias(f"__{name}"))
+        shares = shares.join(aim, name, "left").withColumn(f"__{name}", F.coalesce(f"__{name}", F.lit(0.0)))
+    shares = written(shares, "cells")
+    # The target of a category without cells can never be met.
+    lost = max((targets[name].join(shares.select(name).distinct(), name, "left_anti").agg(F.max(F.abs("target"))).first()[0] or 0.0) for name in MARGINS)
     offs: list[float] = []
-    while SWEEPS is None or len(offs) < SWEEPS:
-        worst = []
-        for name in MARGINS:
-            # The scale of every category is written, so the cells' plan grows by one join a margin and is never doubled.
-            sums = shares.groupBy(name).agg(F.sum("share").alias("sum")).join(targets[name], name, "left")
-            target = F.coalesce("target", F.lit(0.0))
-            scale = settle(sums.select(name, F.when(F.col("sum") > 0, target / F.col("sum")).otherwise(0.0).alias("scale"),
-                                       F.abs(F.col("sum") - target).alias("off")))
-            worst.append(scale.select("off"))
-            shares = shares.join(scale.drop("off"), name).select(*MARGINS, "tokens", (F.col("share") * F.col("scale")).alias("share"))
-        shares = settle(shares)
-        offs.append(worst[0].union(worst[1]).union(worst[2]).agg(F.max("off")).first()[0] or 0.0)
-        if offs[-1] <= tolerance or stalled(offs):
-            break
+    while True:
+        shares, some = swept(shares, min(SWEEPS_A_JOB, (SWEEPS or 10**9) - len(offs)))
+        for at, off in enumerate(some):
+            offs.append(max(off, lost))
+            if offs[-1] <= tolerance or stalled(offs) or len(offs) == SWEEPS:
+                break
+        else:
+            shares = shares.select(*MARGINS, "tokens", F.col(f"share_{at}").alias("share"), *[f"__{n}" for n in MARGINS])
+            continue
+        break
     if offs[-1] > tolerance:
         LOG.warning("raking stopped after %d sweeps with margins off by %.2g", len(offs), offs[-1])
-    return shares, offs[-1]
+    return shares.select(*MARGINS, "tokens", F.col(f"share_{at}").alias("share")), offs[-1]
+
+
+def swept(shares: DataFrame, sweeps: int) -> tuple[DataFrame, list[float]]:
+    """The cells with share_i after each of some sweeps (from 0), and what the margins were off before each, at most."""
+    out, now = shares, F.col("share")
+    for i in range(sweeps):
+        out = out.withColumn(f"off_{i}", F.lit(0.0))
+        for name in MARGINS:
+            target = F.col(f"__{name}")
+            out = out.withColumn("__now", now).withColumn("__sum", F.sum("__now").over(W.partitionBy(name)))
+            out = out.withColumn(f"off_{i}", F.greatest(f"off_{i}", F.abs(F.col("__sum") - target)))
+            out = out.withColumn("__now", F.when(F.col("__sum") > 0, F.col("__now") * target / F.col("__sum")).otherwise(0.0))
+            now = F.col("__now")
+        out = out.withColumn(f"share_{i}", now)
+    seen = Observation()
+    out = written(out.drop("share", "__now", "__sum").observe(seen, *[F.max(f"off_{i}").alias(f"off_{i}") for i in range(sweeps)]), "cells")
+    return out, [seen.get[f"off_{i}"] or 0.0 for i in range(sweeps)]
 
 
 def stalled(offs: list[float]) -> bool:
@@ -220,5 +242,5 @@ def sample(documents: DataFrame, mix: Mix, topic: Column | None = None, repeat:
     drawn = _draw(described(documents, topic), mix)
     if repeat:
         drawn = drawn.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        return drawn.select(*documents.columns)
-    return drawn.where("__kept").select(*documents.columns)
+        return drawn.select("__row.*")
+    return drawn.where("__kept").select("__row.*")
