@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import config_packing, cover_search, hidden_markov, minhash_components, order_minhash, passage_dedup, pii_spans, quality_fm, raking, secret_cnn
+from tidemark.llm import config_packing, cover_search, hidden_markov, minhash_components, order_minhash, passage_dedup, periodic_runs, pii_spans, quality_fm, raking, secret_cnn, spelling_variants, warc_archives
 from tidemark.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.weights(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(read(spark, sf_dir, "documents"), divisor=199)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs(read(spark, sf_dir, "documents"), edited=True)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archives.round_trip(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_fingerprints": op2_fingerprints,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixture": op10_mixture,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
 }
 ORACLES: dict[str, str] = {
     "op5_top_k": """
@@ -74,4 +89,13 @@ ORACLES: dict[str, str] = {
               from v q join v r on q.vec_id % 100 = 0 and r.vec_id != q.vec_id and len(q.x) = len(r.x))
         select query_id, rank::int as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""",
+    "op13_warc": """
+        with h as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+        b as (select page_id, payload_bytes, list_reduce(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::int >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), lambda x, y: x || y) as payload_digest
+              from h),
+        g as (select *, max(page_id) over (partition by payload_digest) as largest from b)
+        select page_id, payload_bytes, payload_digest, case when page_id = largest then 'response' else 'revisit' end as record_type,
+          case when page_id != largest then largest end as refers_to from g""",
 }

@@ -60,6 +60,11 @@ class _Powers:
         return cls.up, cls.down
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the digest's base, and of its inverse: n at least."""
+    return _Powers.reach(n)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
