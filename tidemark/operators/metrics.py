@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.maths import array_sum, clip, let
 from tidemark.operators.ordered import exact_percentiles
-from tidemark.session import TidemarkError
+from tidemark.session import SMALL_BYTES, TidemarkError, measured_bytes, settle, small, written
 
 # Clipping of probabilities and logits, the ridge of the slope fit, the normal quantile.
 LOG_EPS = 1e-12
@@ -79,31 +77,47 @@ def quantile_edges(df: DataFrame, n_bins: int, p: str = "p") -> list[float]:
     return edges if len(edges) > 1 else [0.0, 1.0]
 
 
-def edge_bin(p: Column, edges: Sequence[float]) -> Column:
+def group_quantile_edges(df: DataFrame, key: Sequence[str], n_bins: int, p: str = "p") -> DataFrame:
+    """Per group the distinct exact quantiles as an ascending array ``edges`` from 0 to 1.
+
+    The percentiles come from ordered passes over slices, so that a group with most of the rows stays split.
+    """
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    names = [f"_e{i}" for i in range(n_bins + 1)]
+    found = exact_percentiles(df.select(*key, F.col(p).cast("double").alias(p)), list(key), p, probs, names)
+    inner = F.array_sort(F.array_distinct(F.array(*names)))
+    inner = F.when(F.size(inner) > 2, F.slice(inner, F.lit(2), F.size(inner) - 2)).otherwise(F.array().cast("array<double>"))
+    return found.select(*key, F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0))).alias("edges"))
+
+
+def edge_bin(p: Column, edges: Column, n_bins: int) -> Column:
+    """How many inner edges are at or below the value; ``edges`` holds at most n_bins + 1 of them."""
     found = F.lit(0)
-    for edge in edges[1:-1]:
-        found = found + (p >= edge).cast("int")
+    for i in range(1, n_bins):
+        inner = F.lit(i) < F.size(edges) - 1
+        found = found + (inner & (p >= F.get(edges, F.lit(i)))).cast("int")
     return found
 
 
 def reliability(df: DataFrame, n_bins: int = 10, binning: str = "width", key: Sequence[str] = (),
                 y: str = "y", p: str = "p") -> DataFrame:
     """Non-empty bins with their edges, size, mean prediction and observed rate."""
-    prob = F.col(p)
+    prob, key = F.col(p), list(key)
+    sums = [F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed_rate")]
     if binning == "width":
-        edges = [i / n_bins for i in range(n_bins + 1)]
-        binned = df.withColumn("bin", width_bin(prob, n_bins))
+        cuts = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
+        bins = df.withColumn("bin", width_bin(prob, n_bins)).groupBy(*key, "bin").agg(*sums).withColumn("edges", cuts)
+    elif binning == "quantile" and not key:
+        cuts = F.array(*[F.lit(float(e)) for e in quantile_edges(df, n_bins, p)])
+        bins = df.withColumn("bin", edge_bin(prob, cuts, n_bins)).groupBy("bin").agg(*sums).withColumn("edges", cuts)
     elif binning == "quantile":
-        if key:
-            raise TidemarkError("quantile bins are made for one set of predictions at a time")
-        edges = quantile_edges(df, n_bins, p)
-        binned = df.withColumn("bin", edge_bin(prob, edges))
+        edges = small(group_quantile_edges(df, key, n_bins, p))
+        same = [F.col(k).eqNullSafe(F.col(f"_edge_{k}")) for k in key]
+        placed = df.join(edges.select(*[F.col(k).alias(f"_edge_{k}") for k in key], "edges"), same)
+        bins = placed.withColumn("bin", edge_bin(prob, F.col("edges"), n_bins)).groupBy(*key, "bin").agg(*sums, F.first("edges").alias("edges"))
     else:
         raise TidemarkError(f"binning must be 'width' or 'quantile', got {binning!r}")
-    cuts = F.array(*[F.lit(float(e)) for e in edges])
-    return binned.groupBy(*key, "bin").agg(
-        F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed_rate")
-    ).withColumn("bin_lo", F.get(cuts, F.col("bin"))).withColumn("bin_hi", F.get(cuts, F.col("bin") + 1))
+    return bins.withColumn("bin_lo", F.get("edges", F.col("bin"))).withColumn("bin_hi", F.get("edges", F.col("bin") + 1)).drop("edges")
 
 
 def calibration_error(bins: DataFrame, key: Sequence[str] = (), out: str = "ece") -> DataFrame:
@@ -113,56 +127,59 @@ def calibration_error(bins: DataFrame, key: Sequence[str] = (), out: str = "ece"
 
 # -- calibration slope -------------------------------------------------------------------------------
 
+#: So many Newton steps are one Spark job. The result does not depend on it.
+STEPS_A_JOB = 4
+
+
 def calibration_slope(df: DataFrame, group: str | None = None, y: str = "y", p: str = "p",
                       max_steps: int = 50) -> DataFrame:
-    """Logistic regression of the outcome on the predicted log-odds, one row per group.
+    """Logistic regression of the outcome on the predicted log-odds, one row per group, for any number of groups.
 
-    Equal predictions are counted once, then each Newton step is one distributed aggregate of five sums
-    for all groups together; the driver only solves 2x2 systems. Groups are classes or models, not data.
+    Equal predictions are counted once. The state (two coefficients and their Hessian per group) is a table that every
+    Newton step joins and replaces; its 2x2 systems are solved as columns. Only the number of unfinished groups reaches the
+    driver. ``converged`` is false where the last step still moved, as it does in groups that a threshold separates.
     """
     q = clip(F.col(p).cast("double"), LOGIT_CLIP, 1 - LOGIT_CLIP)
     name = F.col(group) if group else F.lit(0)
-    counted = df.groupBy(name.alias("_g"), F.ln(q / (1 - q)).alias("_x")).agg(
-        F.count("*").alias("_n"), F.sum(F.col(y).cast("double")).alias("_y")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    state: dict = {}
-    try:
-        groups = [r[0] for r in counted.select("_g").distinct().limit(257).collect()]
-        if not groups or len(groups) > 256:
-            raise TidemarkError("the slope needs at least one row and at most 256 groups")
-        state = {g: [np.zeros(2), np.eye(2), False] for g in groups}
-        for _ in range(max_steps):
-            b0, b1 = F.lit(0.0), F.lit(0.0)
-            for g, (beta, _, _) in state.items():
-                b0 = F.when(F.col("_g") == g, float(beta[0])).otherwise(b0)
-                b1 = F.when(F.col("_g") == g, float(beta[1])).otherwise(b1)
-            pi = 1 / (1 + F.exp(-(b0 + b1 * F.col("_x"))))
-            stepped = counted.withColumn("_pi", pi).withColumn(
-                "_w", F.col("_n") * F.greatest(F.col("_pi") * (1 - F.col("_pi")), F.lit(1e-10))
-            ).withColumn("_r", F.col("_y") - F.col("_n") * F.col("_pi"))
-            sums = stepped.groupBy("_g").agg(
-                F.sum("_r"), F.sum(F.col("_r") * F.col("_x")), F.sum("_w"), F.sum(F.col("_w") * F.col("_x")),
-                F.sum(F.col("_w") * F.col("_x") * F.col("_x")),
-            ).collect()
-            for g, r0, r1, w0, w1, w2 in sums:
-                if state[g][2]:
-                    continue
-                hessian = np.array([[w0, w1], [w1, w2]]) + np.eye(2) * SLOPE_RIDGE
-                delta = np.linalg.solve(hessian, np.array([r0, r1]))
-                state[g] = [state[g][0] + delta, hessian, bool(np.max(np.abs(delta)) < 1e-10)]
-            if all(done for _, _, done in state.values()):
-                break
-    finally:
-        counted.unpersist()
-    rows = [
-        (g, float(beta[1]), float(beta[0]), float(np.sqrt(max(np.linalg.inv(h)[1, 1], 0.0))))
-        for g, (beta, h, _) in state.items()
-    ]
-    kind = dict(df.dtypes)[group] if group else "int"
-    out = df.sparkSession.createDataFrame(rows, f"`{group or '_g'}` {kind}, slope double, intercept double, slope_se double")
+    counted = written(df.groupBy(name.alias("_g"), F.ln(q / (1 - q)).alias("_x")).agg(
+        F.count("*").alias("_n"), F.sum(F.col(y).cast("double")).alias("_y")), "cells")
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    state = small(counted.select("_g").distinct().select("_g", zero.alias("a"), zero.alias("b"), none.alias("w0"), none.alias("w1"), none.alias("w2"),
+                                                         F.lit(False).alias("converged")))
+    few = measured_bytes(state) <= SMALL_BYTES
+    if state.isEmpty():
+        raise TidemarkError("the slope needs at least one row")
+    for _ in range(-(-max_steps // STEPS_A_JOB)):
+        for _ in range(STEPS_A_JOB):
+            state = _slope_step(counted, F.broadcast(state) if few else state)
+        state = written(state, "slopes")
+        if state.filter(~F.col("converged")).isEmpty():
+            break
+    se = F.sqrt(F.greatest(F.col("w0") / (F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")), F.lit(0.0)))
+    out = state.select(F.col("_g").alias(group or "_g"), F.col("b").alias("slope"), F.col("a").alias("intercept"), se.alias("slope_se"), "converged")
     return out if group else out.drop("_g")
 
 
+def _slope_step(counted: DataFrame, state: DataFrame) -> DataFrame:
+    """The state after one Newton step; groups that have converged stay as they are."""
+    held = state.select(F.col("_g").alias("_of"), "a", "b", *[F.col(c).alias(f"_{c}") for c in ("w0", "w1", "w2")], "converged")
+    rows = counted.join(held, F.col("_g").eqNullSafe(F.col("_of"))).withColumn("_pi", 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("_x")))))
+    x, w = F.col("_x"), F.col("_n") * F.greatest(F.col("_pi") * (1 - F.col("_pi")), F.lit(1e-10))
+    r = F.col("_y") - F.col("_n") * F.col("_pi")
+    kept = ["a", "b", "_w0", "_w1", "_w2", "converged"]
+    sums = rows.groupBy("_g").agg(
+        F.sum(r).alias("r0"), F.sum(r * x).alias("r1"), (F.sum(w) + SLOPE_RIDGE).alias("w0"), F.sum(w * x).alias("w1"),
+        (F.sum(w * x * x) + SLOPE_RIDGE).alias("w2"), *[F.first(c).alias(c) for c in kept])
+    det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
+    sums = sums.withColumn("da", (F.col("r0") * F.col("w2") - F.col("r1") * F.col("w1")) / det).withColumn(
+        "db", (F.col("r1") * F.col("w0") - F.col("r0") * F.col("w1")) / det)
+    done = F.col("converged")
+    return sums.select(
+        "_g", F.when(done, F.col("a")).otherwise(F.col("a") + F.col("da")).alias("a"), F.when(done, F.col("b")).otherwise(F.col("b") + F.col("db")).alias("b"),
+        *[F.when(done, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("w0", "w1", "w2")],
+        (done | (F.greatest(F.abs("da"), F.abs("db")) < 1e-10)).alias("converged"))
+
+
 def slope_usability(slopes: DataFrame, z: float = Z_975) -> DataFrame:
     """A slope is usable when its interval excludes 0; it departs when the interval excludes 1."""
     lo, hi = F.col("slope") - z * F.col("slope_se"), F.col("slope") + z * F.col("slope_se")
@@ -180,10 +197,29 @@ def one_vs_rest(df: DataFrame, y: str = "y", probs: str = "probs") -> DataFrame:
 
 def evaluate(df: DataFrame, group: str, n_bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """The whole report per group: scoring rules, calibration error, slope with its interval."""
-    base = scores(df, [group], y, p)
-    ece = calibration_error(reliability(df, n_bins, key=[group], y=y, p=p), [group])
-    slopes = slope_usability(calibration_slope(df, group, y, p))
-    return base.join(ece, group).join(F.broadcast(slopes), group)
+    return _report(df, group, [calibration_error(reliability(df, n_bins, key=[group], y=y, p=p), [group])], y, p)
+
+
+def _report(df: DataFrame, group: str, errors: Sequence[DataFrame], y: str, p: str) -> DataFrame:
+    report = scores(df, [group], y, p)
+    for part in [*errors, small(slope_usability(calibration_slope(df, group, y, p)))]:
+        other = part.withColumnRenamed(group, "_group")
+        report = report.join(other, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    return report
+
+
+def reliability_tables(df: DataFrame, key: Sequence[str] = (), n_bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
+    """Both reliability tables, told apart by the column ``binning``."""
+    both = [reliability(df, n_bins, b, key, y, p).withColumn("binning", F.lit(b)) for b in ("width", "quantile")]
+    return both[0].unionByName(both[1])
+
+
+def evaluate_classes(df: DataFrame, n_bins: int = 10, y: str = "y", probs: str = "probs") -> tuple[DataFrame, DataFrame]:
+    """Every class against the rest: the report with both calibration errors, and both reliability tables."""
+    rest = written(one_vs_rest(df, y, probs), "classes")  # read by every part of the report
+    bins = settle(reliability_tables(rest, ["outcome"], n_bins))
+    errors = [calibration_error(bins.filter(F.col("binning") == b), ["outcome"], out) for b, out in (("width", "ece"), ("quantile", "ece_quantile"))]
+    return _report(rest, "outcome", errors, "y", "p"), bins
 
 
 def evaluate_binary(df: DataFrame, n_bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:

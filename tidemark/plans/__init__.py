@@ -5,7 +5,7 @@ import importlib
 from tidemark.plans.registry import ORACLES, QUERIES
 
 GROUPS = (
-    "timetravel", "features", "scoring", "decisions", "probability", "metrics", "fitting", "relational", "identity",
+    "timetravel", "features", "scoring", "decisions", "probability", "metrics", "fitting", "models", "relational", "identity",
     "sources",
 )
 

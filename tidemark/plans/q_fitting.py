@@ -75,14 +75,6 @@ def penalty_sweep(spark, sf):
     return walked(spark, sf).groupBy("l2").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)), 5).alias("mean_squared_error"))
 
 
-@query("walk_forward_logistic_fits")
-def walk_forward_logistic_fits(spark, sf):
-    rows = fe.minutes_table(st.facts(spark, sf)).select(
-        F.substring("season", 1, 4).cast("int").alias("fold"), "starts", (F.round("trailing_minutes_mean_5", 3) / 90).alias("x"))
-    betas = fi.walk_forward_logistic(rows, "x", "starts", range(1996, 2002))
-    return spark.createDataFrame([(f, float(b[0]), float(b[1])) for f, b in betas.items()], "fold int, intercept double, slope double")
-
-
 @query("inner_calibration_split", st.SCORED_SQL + """, sizes AS (SELECT fold, count(*) AS n FROM scored GROUP BY 1),
   ranked AS (SELECT *, row_number() OVER (ORDER BY fold) AS i, count(*) OVER () AS k FROM sizes),
   cut AS (SELECT max(fold) FILTER (i = k - least(greatest(1, CAST(round_even(k * 0.2, 0) AS INT)), k - 1) + 1) AS c FROM ranked)

@@ -144,9 +144,26 @@ def shown_report(df, *keep):
                      *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "slope_se")], "slope_usable", "departs_from_one")
 
 
-@query("evaluate_each_class", REST_SQL + report_sql("rest") + f" SELECT g AS outcome, {REPORT_SHOW} FROM report")
+EACH_QUANTILE_SQL = """, cuts AS (SELECT DISTINCT g, unnest(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM rest GROUP BY g),
+  ended AS (SELECT g, CASE WHEN e = min(e) OVER (PARTITION BY g) THEN 0.0 WHEN e = max(e) OVER (PARTITION BY g) THEN 1.0 ELSE e END AS e FROM cuts),
+  edges AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY e) - 1 AS bin, e AS lo, lead(e) OVER (PARTITION BY g ORDER BY e) AS hi FROM ended),
+  qb AS (SELECT rest.g, CAST(bin AS INT) AS bin, lo AS bin_lo, hi AS bin_hi, count(*) AS n, avg(p) AS mean_predicted, avg(y) AS observed_rate
+    FROM rest JOIN edges ON rest.g = edges.g AND hi IS NOT NULL AND p >= lo AND (p < hi OR hi >= 1.0) GROUP BY 1, 2, 3, 4)"""
+
+
+@query("evaluate_each_class", REST_SQL + report_sql("rest") + EACH_QUANTILE_SQL + f""" SELECT g AS outcome, {REPORT_SHOW}, ece_quantile
+  FROM report JOIN (SELECT g, round({ECE}, 7) AS ece_quantile FROM qb GROUP BY 1) USING (g)""")
 def evaluate_each_class(spark, sf):
-    return shown_report(me.evaluate(me.one_vs_rest(classes(spark, sf)), "outcome"), "outcome")
+    report, _ = me.evaluate_classes(classes(spark, sf))
+    return shown_report(report.withColumn("ece_quantile", F.round("ece_quantile", 7)), "outcome", "ece_quantile")
+
+
+@query("reliability_each_class", REST_SQL + EACH_QUANTILE_SQL + """, wb AS (SELECT g, CAST(i AS INT) AS bin, i / 10.0 AS bin_lo, (i + 1) / 10.0 AS bin_hi, count(*) AS n,
+    avg(p) AS mean_predicted, avg(y) AS observed_rate FROM rest, range(0, 10) r(i) WHERE p >= i / 10.0 AND (p < (i + 1) / 10.0 OR i = 9) GROUP BY 1, 2, 3, 4),
+  bins AS (SELECT *, 'width' AS binning FROM wb UNION ALL BY NAME SELECT *, 'quantile' AS binning FROM qb)""" + BINS.replace("SELECT bin", "SELECT g AS outcome, binning, bin"))
+def reliability_each_class(spark, sf):
+    _, bins = me.evaluate_classes(classes(spark, sf))
+    return bins.select("outcome", "binning", "bin", "n", *[F.round(c, 8).alias(c) for c in ("bin_lo", "bin_hi", "mean_predicted", "observed_rate")])
 
 
 @query("metrics_by_group", st.SCORED_SQL + ", by_half AS (SELECT half AS g, y, p FROM scored)" + report_sql("by_half") + f" SELECT g AS half, {REPORT_SHOW} FROM report")
