@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as fe
+from tidemark.plans import standins as st
 
 COLUMNS = ("season string, round int, element bigint, fixture bigint, position string, team string, was_home boolean, kickoff timestamp_ntz, "
            "minutes int, starts int, value int, selected bigint, yellow_cards int, red_cards int, bps int, bonus int, "
@@ -100,3 +101,45 @@ def test_idle_rounds_count_in_card_windows(build):
     rows = [row(1, 1, 1, yellow_cards=1), row(2, 1, 2, minutes=0), row(3, 1, 3)]
     got = {r["round"]: r["player_trailing_card_rate_3"] for r in fe.cards_table(build(rows)).collect()}
     assert got == {1: 0.0, 3: 0.5}
+
+
+FAMILIES = {
+    "minutes": (fe.minutes_table, fe.serve_minutes_fixtures, ("trailing_start_rate_3", "trailing_minutes_mean_5", "games_played_this_season", "prev_gw_value",
+                                                              "prev_round_any_start", "cold_start", "days_since_team_previous_fixture", "team_first_fixture_in_window")),
+    "attacking": (fe.attacking_table, fe.serve_attacking_fixtures, ("player_trailing_goals_3", "player_trailing_xa_10", "player_trailing_scored_rate_5", "cold_start")),
+    "defensive": (lambda f: fe.defensive_table(f, {"DEF": 10, "MID_FWD": 12}), lambda *a: fe.serve_defensive_fixtures(*a, {"DEF": 10, "MID_FWD": 12}),
+                  ("group", "player_trailing_count_5", "player_trailing_awarded_rate_5", "team_trailing_dc_mean_5", "team_cold_start", "is_forward")),
+    "cards": (fe.cards_table, fe.serve_cards_fixtures, ("player_trailing_card_rate_10", "player_trailing_cards_class_rate_1_5", "team_trailing_cards_mean_5", "team_cold_start")),
+    "saves": (fe.saves_table, fe.serve_saves_fixtures, ("player_trailing_saves_mean_3", "games_played_this_season", "cold_start")),
+    "bonus": (fe.bonus_table, fe.serve_bonus_fixtures, ("player_trailing_bps_3", "player_trailing_bonus_class_rate_2_5", "team_trailing_bps_mean_5", "team_cold_start")),
+}
+
+
+@pytest.mark.parametrize("family", sorted(FAMILIES))
+def test_serving_past_rounds_equals_training(spark, family):
+    train, serve, columns = FAMILIES[family]
+    facts = st.facts(spark, "/root/testdata/sf0.001").cache()
+    roster = fe.eligible(facts).select("season", "element", "team", "position").distinct()
+    fixtures = fe.eligible(facts).groupBy("season", "team", "round", "fixture", "kickoff").agg(F.max("was_home").alias("was_home"))
+    keys = ["season", "element", "round", "fixture", "kickoff"]
+    trained = {tuple(r[k] for k in keys): tuple(r[c] for c in columns) for r in train(facts).select(*keys, *columns).collect()}
+    served = {tuple(r[k] for k in keys): tuple(r[c] for c in columns) for r in serve(facts, roster, fixtures).select(*keys, *columns).collect()}
+    assert len(trained) > 50 and set(trained) <= set(served)
+    assert all(served[k] == pytest.approx(v, nan_ok=True) if None not in v and "DEF" not in v and "MID_FWD" not in v else served[k] == v for k, v in trained.items())
+
+
+def test_serving_newcomers_and_gaps_in_the_history(spark):
+    """A player without rows is cold, rounds without matches see the rounds before them, scheduled fixtures set the gap."""
+    rows = [("2020-21", r, 1, 10 + r, 90, 1) for r in (1, 2, 5)]
+    day = "TIMESTAMP_NTZ '2020-09-01 15:00:00'"
+    facts = spark.createDataFrame(rows, "season string, round int, element long, fixture long, minutes int, starts int").selectExpr(
+        "*", "'A' as team", "'DEF' as position", "50 as value", "10L as selected", "'archive' as source_provider", "true as attribution_complete",
+        f"{day} + make_dt_interval(7 * round) as kickoff")
+    roster = spark.createDataFrame([("2020-21", 1, "A", "DEF"), ("2020-21", 2, "A", "GKP"), ("2020-21", 3, "B", "MID")], "season string, element long, team string, position string")
+    fixtures = spark.createDataFrame([("2020-21", t, r, 100 + r, r % 2 == 0) for t in "AB" for r in (3, 6, 7)], "season string, team string, round int, fixture long, was_home boolean").selectExpr(
+        "*", f"{day} + make_dt_interval(7 * round) as kickoff")
+    got = {(r["element"], r["round"]): r for r in fe.serve_minutes_fixtures(facts, roster, fixtures).collect()}
+    assert len(got) == 9 and {r["position"] for r in got.values()} == {"DEF", "GK", "MID"}
+    assert [got[1, r]["games_played_this_season"] for r in (3, 6, 7)] == [2, 3, 3] and got[2, 6]["cold_start"] and got[2, 6]["prev_round_any_start"] is None
+    assert [got[1, r]["days_since_team_previous_fixture"] for r in (3, 6, 7)] == [7, 7, 7] and got[3, 3]["team_first_fixture_in_window"]
+    assert got[3, 6]["days_since_team_previous_fixture"] == 21

@@ -23,6 +23,9 @@ FIRST_FIXTURE_GAP_DAYS = 7.0
 FULL_APPEARANCE_MINUTES = 75
 POSITIONS = ("GK", "DEF", "MID", "FWD")
 
+# A round after every other, for rows that close a player's or team's history.
+CLOSING_ROUND = 2**31 - 1
+
 PLAYER = ("season", "element")
 TEAM = ("season", "team")
 
@@ -143,16 +146,23 @@ def player_rounds(df: DataFrame, sums: Mapping[str, Column | str], extra: Sequen
     return df.groupBy(*key, "round").agg(*totals, *extra)
 
 
-def team_rounds(df: DataFrame, value: Column | str, out: str) -> DataFrame:
-    """Team totals per round with the mean of the five rounds before and a no-history flag."""
-    rolled = df.groupBy(*TEAM, "round").agg(F.sum(value).alias("_total"))
-    return rolled.select(
+def team_totals(df: DataFrame, value: Column | str) -> DataFrame:
+    return df.groupBy(*TEAM, "round").agg(F.sum(value).alias("_total"))
+
+
+def team_trail(totals: DataFrame, out: str) -> DataFrame:
+    return totals.select(
         *TEAM, "round",
         F.coalesce(trailing_mean(F.col("_total"), TEAM_WINDOW, TEAM), F.lit(0.0)).alias(out),
         previous(F.col("_total"), TEAM).isNull().alias("team_cold_start"),
     )
 
 
+def team_rounds(df: DataFrame, value: Column | str, out: str) -> DataFrame:
+    """Team totals per round with the mean of the five rounds before and a no-history flag."""
+    return team_trail(team_totals(df, value), out)
+
+
 def attach_team(df: DataFrame, team: DataFrame, feature: str) -> DataFrame:
     joined = df.join(small(team), [*TEAM, "round"], "left")
     return joined.withColumn(feature, F.coalesce(F.col(feature), F.lit(0.0))).withColumn(
@@ -357,16 +367,21 @@ def bonus_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_li
 # -- serving -----------------------------------------------------------------------------------------
 
 def serve(rounds: DataFrame, spine: DataFrame, trail, key: Sequence[str] = PLAYER) -> DataFrame:
-    """Features of upcoming rounds for a whole roster: the training windows over history plus appended rows.
+    """Features as they stand before each round of a whole roster: the training windows over all earlier rounds.
 
-    ``spine`` has (key, round) only; its rows carry no outcome, so they cannot feed a window.
+    ``spine`` has (key, round); its rounds may lie in the past, in the future, or skip some. What holds before a round is
+    what the windows say on the first round of the history that is not earlier, or on a closing row without outcome.
+    So served rounds never stand in each other's windows, and a past round is served as it was trained.
     """
-    history = rounds.join(spine.select(*key, "round"), [*key, "round"], "left_anti")
-    both = history.withColumn("_spine", F.lit(False)).unionByName(
-        spine.select(*key, "round").distinct().withColumn("_spine", F.lit(True)), allowMissingColumns=True
-    )
-    served = trail(both).filter("_spine").drop("_spine")
-    return served.select(*[c for c in served.columns if not c.startswith("round_") and c != "any_start"])
+    wanted = spine.select(*key, "round").distinct()
+    closing = wanted.select(*key).distinct().withColumn("round", F.lit(CLOSING_ROUND))
+    trailed = trail(rounds.unionByName(closing, allowMissingColumns=True))
+    features = [c for c in trailed.columns if not c.startswith("round_") and c not in (*key, "round", "any_start")]
+    both = wanted.unionByName(trailed.select(*key, "round", F.struct(*features).alias("_known")), allowMissingColumns=True)
+    # One row per player and round of the calendar: from the last round back, the latest history row seen so far.
+    later = W.partitionBy(*key).orderBy(F.desc("round"), F.col("_known").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("_next", F.last("_known", ignorenulls=True).over(later)).filter(F.col("_known").isNull())
+    return found.select(*key, "round", "_next.*")
 
 
 def serve_minutes(facts: DataFrame, spine: DataFrame) -> DataFrame:
@@ -398,6 +413,64 @@ def serve_defensive(facts: DataFrame, spine: DataFrame, thresholds: Mapping[str,
     return serve(defensive_rounds(defensive_group(raw, thresholds)), spine, defensive_trail, ("group", *PLAYER))
 
 
+def roster_fixtures(roster: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """One row per player and fixture of the player's team.
+
+    roster: season, element, team, position. fixtures: season, team, round, fixture, kickoff, was_home, a row for each side.
+    """
+    return normalise_positions(roster.select(*TEAM, "element", "position").distinct()).join(
+        fixtures.select(*TEAM, "round", "fixture", "kickoff", "was_home"), list(TEAM))
+
+
+def _with_player(upcoming: DataFrame, features: DataFrame, key: Sequence[str] = PLAYER) -> DataFrame:
+    return upcoming.join(features, [*key, "round"])
+
+
+def _with_team(upcoming: DataFrame, totals: DataFrame, out: str) -> DataFrame:
+    return attach_team(upcoming, serve(totals, upcoming, lambda rows: team_trail(rows, out), TEAM), out)
+
+
+def serve_minutes_fixtures(facts: DataFrame, roster: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Player features, rest gap, venue and position. Fixtures of the schedule count for the gap, whoever is served."""
+    upcoming = roster_fixtures(roster, fixtures)
+    played = eligible(facts).select(*TEAM, "kickoff", "fixture").unionByName(fixtures.select(*TEAM, "kickoff", "fixture"))
+    return attach_gap(_with_player(upcoming, serve_minutes(facts, upcoming)), team_fixture_gap(played))
+
+
+def serve_attacking_fixtures(facts: DataFrame, roster: DataFrame, fixtures: DataFrame) -> DataFrame:
+    upcoming = roster_fixtures(roster, fixtures)
+    return _with_player(upcoming, serve_attacking(facts, upcoming))
+
+
+def serve_defensive_fixtures(facts: DataFrame, roster: DataFrame, fixtures: DataFrame, thresholds: Mapping[str, int]) -> DataFrame:
+    """Outfield players, with the group that sets their threshold."""
+    upcoming = roster_fixtures(roster.filter(F.col("position").isin("DEF", "MID", "FWD")), fixtures)
+    upcoming = upcoming.withColumn("group", F.when(F.col("position") == "DEF", "DEF").otherwise("MID_FWD"))
+    served = _with_player(upcoming, serve_defensive(facts, upcoming, thresholds), ("group", *PLAYER))
+    raw = eligible(facts).filter(F.col("defensive_contribution").isNotNull() & F.col("position").isin("DEF", "MID", "FWD"))
+    served = _with_team(served, team_totals(raw, "defensive_contribution"), "team_trailing_dc_mean_5")
+    return served.withColumn("is_forward", (F.col("position") == "FWD").cast("int"))
+
+
+def serve_cards_fixtures(facts: DataFrame, roster: DataFrame, fixtures: DataFrame) -> DataFrame:
+    upcoming = roster_fixtures(roster, fixtures)
+    raw = eligible(facts).filter(F.col("team").isNotNull())
+    served = _with_player(upcoming, serve_cards(facts, upcoming))
+    return _with_team(served, team_totals(raw, F.col("yellow_cards") + F.col("red_cards")), "team_trailing_cards_mean_5")
+
+
+def serve_saves_fixtures(facts: DataFrame, roster: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Goalkeepers only; the goals against in the fixture itself are not known before it."""
+    upcoming = roster_fixtures(roster, fixtures).filter(F.col("position") == "GK")
+    return _with_player(upcoming, serve_saves(facts, upcoming))
+
+
+def serve_bonus_fixtures(facts: DataFrame, roster: DataFrame, fixtures: DataFrame) -> DataFrame:
+    upcoming = roster_fixtures(roster, fixtures)
+    raw = eligible(facts).filter(F.col("team").isNotNull())
+    return _with_team(_with_player(upcoming, serve_bonus(facts, upcoming)), team_totals(raw, "bps"), "team_trailing_bps_mean_5")
+
+
 def live_null_guard(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Entities that have earlier rows but no value at all in some source column: one row per finding."""
     counts = facts.groupBy(*PLAYER).agg(F.count("*").alias("n_rows"), *[F.count(c).alias(c) for c in columns])

@@ -323,6 +323,98 @@ def serve_defensive_rows(spark, sf):
     return served(fe.serve_defensive(facts, spine, THRESHOLDS), DEFENSIVE, ("group", "season", "element"))
 
 
+# -- serving: a roster's next three fixtures, two of them in one round -------------------------------
+
+SCHEDULE = [(0, 60, 3), (1, 61, 10), (2, 61, 12)]  # number, round, days after the team's last fixture of the season
+
+
+def schedule(facts):
+    last = facts.groupBy("season", "team").agg(F.max("kickoff").alias("last_kickoff"))
+    rows = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("round"), F.lit(d).alias("days")) for i, r, d in SCHEDULE]))
+    return last.select("*", rows).select(
+        "season", "team", "round", (F.lit(90_000_000) + F.col("i")).cast("long").alias("fixture"),
+        F.expr("last_kickoff + make_dt_interval(days)").alias("kickoff"), (F.col("i") % 2 == 0).alias("was_home"))
+
+
+def roster_of(facts):
+    return fe.eligible(facts).select("season", "element", "team", "position").distinct()
+
+
+def fixtures_sql(trail, features, where="true", key="season, element", team=None, gap=False, extra=""):
+    """The oracle gives every player, and team, one closing row and joins it to all fixtures of the schedule."""
+    head = trail.partition(", trail AS (")[0]
+    listed = ", ".join(f"{e} AS {n}" for n, e in features)
+    days = ", ".join(str(v) for v in SCHEDULE)
+    out = (f"{head}, lasted AS (SELECT season, team, max(kickoff) AS lk FROM facts GROUP BY 1, 2), "
+           f"schedule AS (SELECT season, team, v.round, 90000000 + i AS fixture, lk + to_days(d) AS kickoff, i % 2 = 0 AS was_home FROM lasted, (VALUES {days}) v(i, round, d)), "
+           f"roster AS (SELECT DISTINCT season, element, team, position, CASE WHEN position = 'DEF' THEN 'DEF' ELSE 'MID_FWD' END AS grp FROM eligible WHERE {where}), "
+           f"closing AS (SELECT DISTINCT {key}, 99 AS round, true AS is_spine FROM roster), "
+           f"both_rows AS (SELECT * FROM (SELECT *, false AS is_spine FROM rolled) UNION ALL BY NAME SELECT * FROM closing), "
+           f"served AS (SELECT * FROM (SELECT {key}, is_spine, {listed} FROM both_rows) WHERE is_spine)")
+    shown, joins = "", ""
+    if team:
+        value, name = team
+        out += (f", tr AS (SELECT season, team, round, sum({value}) AS t FROM used GROUP BY 1, 2, 3), "
+                f"tboth AS (SELECT *, false AS closes FROM tr UNION ALL SELECT DISTINCT season, team, 99, NULL, true FROM roster), "
+                f"team_served AS (SELECT * FROM (SELECT season, team, closes, {zero(mean_sql('t', 5, 'season, team'))} AS team_mean, "
+                f"{lag_sql('t', 'season, team')} IS NULL AS team_cold_start FROM tboth) WHERE closes)")
+        shown, joins = f", round(team_mean, 6) AS {name}, team_cold_start", "JOIN team_served USING (season, team)"
+    if gap:
+        out += (", instants AS (SELECT season, team, kickoff, min(fixture) AS first_fixture FROM (SELECT season, team, kickoff, fixture FROM eligible "
+                "UNION ALL SELECT season, team, kickoff, fixture FROM schedule) GROUP BY 1, 2, 3), "
+                "gaps AS (SELECT *, lag(kickoff) OVER (PARTITION BY season, team ORDER BY kickoff) AS before FROM instants)")
+        shown = (", round(CASE WHEN fixture <> first_fixture THEN 0 WHEN before IS NULL THEN 7 ELSE date_diff('minute', before, kickoff) / 1440.0 END, 6) "
+                 "AS days_since_team_previous_fixture, fixture = first_fixture AND before IS NULL AS team_first_fixture_in_window")
+        joins = "JOIN gaps USING (season, team, kickoff)"
+    return (f"{out} SELECT season, element, round, fixture, team, position, was_home{extra}, {', '.join(r6(n, n) for n, _ in features)}, "
+            f"games_played_this_season = 0 AS cold_start{shown} FROM roster JOIN schedule USING (season, team) JOIN served USING ({key}) {joins}")
+
+
+SERVED = ["season", "element", "round", "fixture", "team", "position", "was_home", "cold_start"]
+
+
+@query("serve_minutes_fixtures", fixtures_sql(MINUTES_TRAIL, MINUTES, gap=True))
+def serve_minutes_fixtures(spark, sf):
+    facts = st.facts(spark, sf)
+    rows = fe.serve_minutes_fixtures(facts, roster_of(facts), schedule(facts))
+    return rounded(rows, [*SERVED, "team_first_fixture_in_window"], [*[n for n, _ in MINUTES], "days_since_team_previous_fixture"])
+
+
+@query("serve_attacking_fixtures", fixtures_sql(ATTACKING_TRAIL, ATTACKING))
+def serve_attacking_fixtures(spark, sf):
+    facts = st.facts(spark, sf)
+    return rounded(fe.serve_attacking_fixtures(facts, roster_of(facts), schedule(facts)), SERVED, [n for n, _ in ATTACKING])
+
+
+@query("serve_defensive_fixtures", fixtures_sql(
+    DEFENSIVE_TRAIL, DEFENSIVE, "position IN ('DEF', 'MID', 'FWD')", "grp, season, element", ("defensive_contribution", "team_trailing_dc_mean_5"),
+    extra=', grp AS "group", CAST(position = \'FWD\' AS INT) AS is_forward'))
+def serve_defensive_fixtures(spark, sf):
+    facts = st.facts(spark, sf)
+    rows = fe.serve_defensive_fixtures(facts, roster_of(facts), schedule(facts), THRESHOLDS)
+    return rounded(rows, [*SERVED, "group", "is_forward", "team_cold_start"], [*[n for n, _ in DEFENSIVE], "team_trailing_dc_mean_5"])
+
+
+@query("serve_cards_fixtures", fixtures_sql(CARDS_TRAIL, CARDS, team=("yellow_cards + red_cards", "team_trailing_cards_mean_5")))
+def serve_cards_fixtures(spark, sf):
+    facts = st.facts(spark, sf)
+    rows = fe.serve_cards_fixtures(facts, roster_of(facts), schedule(facts))
+    return rounded(rows, [*SERVED, "team_cold_start"], [*[n for n, _ in CARDS], "team_trailing_cards_mean_5"])
+
+
+@query("serve_saves_fixtures", fixtures_sql(SAVES_TRAIL, SAVES, "position = 'GK'"))
+def serve_saves_fixtures(spark, sf):
+    facts = st.facts(spark, sf)
+    return rounded(fe.serve_saves_fixtures(facts, roster_of(facts), schedule(facts)), SERVED, [n for n, _ in SAVES])
+
+
+@query("serve_bonus_fixtures", fixtures_sql(BONUS_TRAIL, BONUS, team=("bps", "team_trailing_bps_mean_5")))
+def serve_bonus_fixtures(spark, sf):
+    facts = st.facts(spark, sf)
+    rows = fe.serve_bonus_fixtures(facts, roster_of(facts), schedule(facts))
+    return rounded(rows, [*SERVED, "team_cold_start"], [*[n for n, _ in BONUS], "team_trailing_bps_mean_5"])
+
+
 @query("live_null_guard", st.FACTS_SQL + """
   SELECT season, element, n_rows, column_name FROM (
     SELECT season, element, count(*) AS n_rows, count(expected_goals) AS expected_goals,
