@@ -11,7 +11,7 @@ from tidemark.plans.registry import query, table
 from tidemark.session import scratch_path
 from tidemark.sources import payloads as pa
 from tidemark.sources import readers as rd
-from tidemark.sources.catalog import CATALOG, Dataset, register
+from tidemark.sources.catalog import CATALOG, RESERVED, Dataset, register
 from tidemark.sources.store import ObservationStore, decode_lineage, encode_lineage, hash_parts, refuse_unmodelled
 from tidemark.streaming import ingest
 
@@ -67,6 +67,18 @@ def newest_batch_hash(spark, sf):
     return rows.agg(F.count_distinct("batch_id").alias("n_batches"), F.max(F.when(F.col("content_hash") == newest, F.dayofmonth("date"))).alias("newest_day"))
 
 
+@query("batch_provenance", STORE_SQL + """ SELECT CAST(h AS INT) AS observed_day, CAST(h AS INT) AS valid_day, 'events' AS source, count(*) AS n_rows, true AS is_newest_or_older,
+    'event_id,event_type,user_id,value' AS data_columns FROM batches GROUP BY 1""")
+def batch_provenance(spark, sf):
+    store = written(spark, sf)
+    entries = store.provenance("standin_log")
+    names = F.array_sort(F.array_except(F.transform(F.from_json(F.get_json_object("fields", "$.fields"), "array<struct<name:string>>"), lambda f: f["name"]),
+                                        F.array(*[F.lit(n) for n in sorted(RESERVED)])))
+    newest = F.lit(store.manifest("standin_log").newest()["observed_at"])
+    return entries.select(F.dayofmonth("observed_at").alias("observed_day"), F.dayofmonth("valid_at").alias("valid_day"), "source", "n_rows",
+                          (F.col("observed_at") <= newest).alias("is_newest_or_older"), F.array_join(names, ",").alias("data_columns"))
+
+
 @query("derived_facts", st.FACTS_SQL + """, n AS (SELECT season, round, element, CAST(count(*) AS DOUBLE) AS expected FROM facts GROUP BY 1, 2, 3)
   SELECT season, round, element, stat, expected, 'player.gameweek_stats' AS lineage_capability, 'walk-forward' AS calibration_reference
   FROM n, (VALUES ('goals'), ('assists')) s(stat)""")
@@ -337,9 +349,7 @@ def stream_append_changed(spark, sf):
 def stream_latest_state(spark, sf):
     path = scratch_path(spark, "latest")
     ingest.maintain_latest(stream(spark, sf), ["user_id", "event_type"], path, scratch_path(spark, "offsets"), "ts", "event_id").awaitTermination()
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).select("user_id", "event_type", "event_id", "value")
+    return ingest.read_latest(spark, path, table(spark, sf, "events").schema).select("user_id", "event_type", "event_id", "value")
 
 
 @query("stream_heartbeat_sessions", """WITH s AS (SELECT event_type AS job, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events
@@ -350,7 +360,17 @@ def stream_latest_state(spark, sf):
 def stream_heartbeat_sessions(spark, sf):
     runs = stream(spark, sf).select(F.col("event_type").alias("job"), F.col("ts").alias("run_ts"))
     path = scratch_path(spark, "sessions")
-    q = (ingest.heartbeat_sessions(runs, "1 hour").writeStream.format("parquet").option("path", path)
+    q = (ingest.heartbeat_sessions(runs, "1 hour", late="1 hour").writeStream.format("parquet").option("path", path)
          .option("checkpointLocation", scratch_path(spark, "offsets")).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(path).select("job", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_runs")
+
+
+@query("log_sessions", """WITH s AS (SELECT event_type AS job, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+  n AS (SELECT *, sum(opens) OVER (PARTITION BY job ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+  SELECT job, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n_runs FROM n GROUP BY job, g""")
+def log_sessions(spark, sf):
+    runs = table(spark, sf, "events").select(F.col("event_type").alias("job"), F.col("ts").alias("run_ts"))
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("session_start", "session_end")]
+    return ingest.sessions_of_log(runs, 3600).select("job", *shown, "n_runs")

@@ -95,3 +95,24 @@ def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     """
     settled = settle(df)
     return F.broadcast(settled) if measured_bytes(settled) <= limit else settled
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark knows, sorted; none where there is no such folder."""
+    files, place = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    files, place = _hadoop(spark, path)
+    return files.getContentSummary(place).getLength() if files.exists(place) else 0
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _hadoop(spark, path)
+    files.delete(place, True)

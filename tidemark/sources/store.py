@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidemark.operators import timetravel as tt
 from tidemark.sources.catalog import DERIVED_FIELDS, DERIVED_PREFIX, RESERVED, family, lookup, zoned_columns
-from tidemark.session import TidemarkError
+from tidemark.sources.manifest import Manifest
+from tidemark.session import TidemarkError, child_names, settle
 
 
 def row_digest(columns: Sequence[str]) -> Column:
@@ -70,6 +71,7 @@ class ObservationStore:
         """Append one immutable batch, unless it equals the newest one."""
         self._guard(dataset, df)
         valid_at, observed_at = tt.instant("valid_at", valid_at), tt.instant("observed_at", observed_at)
+        df = settle(df)  # hashed and written: both must see the same rows
         digest, n = content_hash(df)
         if n == 0:
             raise TidemarkError(f"refusing to write an empty batch to {dataset}")
@@ -83,9 +85,21 @@ class ObservationStore:
               (("provider_id", provider_id), ("capability", capability), ("endpoint", endpoint))],
             F.lit(observed_at.date()).alias("date"),
         )
+        manifest = self.manifest(dataset)
         stamped.write.mode("append").partitionBy("date").parquet(self.path(dataset))
+        manifest.append({"observed_at": observed_at, "batch_id": batch, "valid_at": valid_at, "source": source, "content_hash": digest, "n_rows": n,
+                         "date": observed_at.date(), "fields": T.StructType([f for f in stamped.schema if f.name != "date"]).json()})
         return WriteResult(True, digest, batch, n)
 
+    def manifest(self, dataset: str) -> Manifest:
+        """The dataset's batches; one made from its rows where it was written without."""
+        manifest = Manifest(self.spark, self.path(dataset))
+        if not child_names(self.spark, manifest.path):
+            rows = self._merged(dataset)
+            if rows is not None:
+                manifest.rebuilt(rows)
+        return manifest
+
     def write_all(self, frames: Mapping[str, DataFrame], **stamp) -> dict[str, WriteResult]:
         """One payload's datasets at one instant."""
         return {name: self.write(name, df, **stamp) for name, df in frames.items()}
@@ -114,7 +128,14 @@ class ObservationStore:
     # -- reading -------------------------------------------------------------------------------------
 
     def scan(self, dataset: str) -> DataFrame | None:
-        """Every batch, columns united by name; None when nothing was ever written."""
+        """Every batch, columns united by name as the manifest has them; None when nothing was ever written."""
+        schema = self.manifest(dataset).schema()
+        if schema is None:
+            return None
+        return self.spark.read.schema(T.StructType([*schema, T.StructField("date", T.DateType())])).parquet(self.path(dataset))
+
+    def _merged(self, dataset: str) -> DataFrame | None:
+        """Every batch with a schema merged from the footers of all files, for datasets without a manifest."""
         try:
             return self.spark.read.option("mergeSchema", "true").parquet(self.path(dataset))
         except AnalysisException as error:
@@ -132,8 +153,12 @@ class ObservationStore:
         return self.spark.createDataFrame([], T.StructType([]))
 
     def latest_content_hash(self, dataset: str) -> str | None:
-        df = self.scan(dataset)
-        return None if df is None else df.agg(F.max(F.struct("observed_at", "batch_id", "content_hash"))["content_hash"]).first()[0]
+        newest = self.manifest(dataset).newest()
+        return None if newest is None else newest["content_hash"]
+
+    def provenance(self, dataset: str) -> DataFrame | None:
+        """One row per batch: when it was seen and valid, where from, its hash, size and columns."""
+        return self.manifest(dataset).entries()
 
     def as_of(self, dataset: str, cutoff: datetime) -> DataFrame:
         key = lookup(dataset).key
