@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import periodic_runs, spelling_variants, warc_archives
+from tidemark.llm import periodic_runs, pii_spans, spelling_variants, warc_archives
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, word string, runs int, root string"
@@ -304,3 +304,43 @@ def test_warc_digests_in_base32(spark):
     hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(20)]
     got = spark.createDataFrame([(h,) for h in hexes], "h string").select("h", warc_archives.base32_of_hex(F.col("h")).alias("b")).collect()
     assert all(r["b"] == base64.b32encode(bytes.fromhex(r["h"])).decode() for r in got)
+
+
+# 8
+
+
+def test_personal_data_in_hostile_and_long_texts():
+    """Parts of ten thousand digits end, and a megabyte with ten thousand disguised contacts takes time in proportion."""
+    assert pii_spans.plain_spans("x 1.2.3." + "0" * 10_000 + "1 y") == [(2, 10_009, "ip")]
+    assert pii_spans.plain_spans("1.2.3." + "9" * 10_000) == []
+    line = "\u0420\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442, jane at example dot com, \u043e\u0434\u0438\u043d. "
+    base, found = pii_spans.all_spans(line * 100)
+    assert not base and [s for s in found] == [(k * len(line) + 15, k * len(line) + 34, "email") for k in range(100)]
+
+
+def brute_source(parts, start, end):
+    """The source range by walking all replaced places in order."""
+    first, last = start, end
+    for a, b, s, e in parts:
+        if b <= start and not (a == b == start):
+            first = start - b + e
+        elif a <= start < b:
+            first = s
+        if b <= end and b > a or b < end:
+            last = end - b + e
+        elif a < end < b:
+            last = e
+    return first, last
+
+
+def test_spans_are_mapped_back_as_by_a_walk_over_all_places():
+    rng = random.Random(2)
+    for _ in range(200):
+        out = pii_spans.Rewritten("".join(rng.choice("abcdefg") for _ in range(40)))
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(out.text) + 1), min(10, len(out.text) // 2 * 2)))
+            out.replace([(a, b, rng.choice(["", "X", "YZ", "long one"])) for a, b in zip(cuts[::2], cuts[1::2]) if a < b])
+            for _ in range(20):
+                a, b = sorted(rng.sample(range(len(out.text) + 1), 2)) if len(out.text) > 1 else (0, len(out.text))
+                assert out.source(a, b) == brute_source(out.parts, a, b)
+                assert out.touched(a, b) == any(p < b and q > a or p == q and a < p < b for p, q, _, _ in out.parts)

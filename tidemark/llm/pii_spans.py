@@ -14,10 +14,12 @@ result. Further columns of the documents are ignored by ``find`` and kept as the
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,7 +90,7 @@ def plain_spans(text: str) -> list[Span]:
     """Identifiers written plainly, by start and kind."""
     found = emails(text)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             found.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(digits := _NOT_DIGIT.sub("", m[0])) <= 19 and _luhn(digits):
@@ -120,7 +122,9 @@ class Rewritten:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.parts: list[tuple[int, int, int, int]] = []  # start and end here, start and end in the source
+        # Start and end here, start and end in the source: disjoint and in order, so that starts and ends both ascend.
+        self.parts: list[tuple[int, int, int, int]] = []
+        self.starts: list[int] = []
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace disjoint ranges of the present text, in order."""
@@ -137,35 +141,47 @@ class Rewritten:
         if not parts:
             return
         out.append(self.text[last:])
-        moved = []
+        moved, ends = [], [p[5] for p in parts]
         for old in self.parts:  # earlier edits that a new one did not swallow move along
-            shift, swallowed = 0, False
-            for a, b, _, _, start, end in parts:
-                if end <= old[0]:
-                    shift = b - end
-                elif start < old[1]:
-                    swallowed = True
-            if not swallowed:
+            at = bisect.bisect_right(ends, old[0])
+            if at == len(parts) or parts[at][4] >= old[1]:
+                shift = parts[at - 1][1] - ends[at - 1] if at else 0
                 moved.append((old[0] + shift, old[1] + shift, old[2], old[3]))
         self.parts = sorted([*moved, *(p[:4] for p in parts)])
+        self.starts = [p[0] for p in self.parts]
         self.text = "".join(out)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         """The source range of a range here; a replaced place counts as a whole."""
         first, last = start, end
-        for a, b, s, e in self.parts:
-            if b <= start and not (a == b == start):
-                first = start - b + e
-            elif a <= start < b:
-                first = s
-            if b <= end and b > a or b < end:
-                last = end - b + e
-            elif a < end < b:
-                last = e
+        at = bisect.bisect_right(self.starts, start) - 1
+        while at >= 0 and self.parts[at][:2] == (start, start):  # what was left out right before the range is not in it
+            at -= 1
+        if at >= 0:
+            _, b, s, e = self.parts[at]
+            first = start - b + e if b <= start else s
+        at = bisect.bisect_left(self.starts, end) - 1
+        if at >= 0:
+            _, b, _, e = self.parts[at]
+            last = end - b + e if b <= end else e
         return first, last
 
     def touched(self, start: int, end: int) -> bool:
-        return any(a < end and b > start or a == b and start < a < end for a, b, _, _ in self.parts)
+        at = bisect.bisect_left(self.starts, end) - 1
+        return at >= 0 and self.parts[at][1] > start
+
+
+class Reach:
+    """Of intervals, the furthest end among those that start at or before a place."""
+
+    def __init__(self, intervals: Iterable[tuple[int, int]]) -> None:
+        ordered_intervals = sorted(intervals)
+        self.starts = [s for s, _ in ordered_intervals]
+        self.ends = list(itertools.accumulate((e for _, e in ordered_intervals), max))
+
+    def at(self, place: int) -> int:
+        found = bisect.bisect_right(self.starts, place)
+        return self.ends[found - 1] if found else -1
 
 
 def _digits_of(m: re.Match[str]) -> str:
@@ -215,8 +231,9 @@ def disguised_spans(text: str) -> list[Span]:
     found = []
     hits = plain_spans(changed.text)
     # Ten spelled digits and more are a phone number even without its plus sign.
+    reach = Reach((s, e) for s, e, _ in hits)
     for a, b, _, _ in changed.parts:
-        if b - a >= 9 and changed.text[a:b].isdigit() and not any(s < b and e > a for s, e, _ in hits) and b - a <= 15:
+        if 9 <= b - a <= 15 and changed.text[a:b].isdigit() and reach.at(b - 1) <= a:
             hits.append((a, b, "phone"))
     for start, end, kind in hits:
         if changed.touched(start, end):
@@ -227,7 +244,8 @@ def disguised_spans(text: str) -> list[Span]:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Plain spans, and these with the added ones."""
     base = plain_spans(text)
-    extra = [s for s in disguised_spans(text) if not any(b[2] == s[2] and b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    reach = {kind: Reach((s, e) for s, e, k in base if k == kind) for kind in KINDS}
+    extra = [s for s in disguised_spans(text) if reach[s[2]].at(s[0]) < s[1]]
     return base, ordered(list(dict.fromkeys([*base, *extra]))) if extra else base
 
 
