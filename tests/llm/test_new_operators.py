@@ -315,7 +315,7 @@ def test_personal_data_in_hostile_and_long_texts():
     assert pii_spans.plain_spans("1.2.3." + "9" * 10_000) == []
     line = "\u0420\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442, jane at example dot com, \u043e\u0434\u0438\u043d. "
     base, found = pii_spans.all_spans(line * 100)
-    assert not base and [s for s in found] == [(k * len(line) + 15, k * len(line) + 34, "email") for k in range(100)]
+    assert not base and found == [(k * len(line) + 15, k * len(line) + 38, "email") for k in range(100)]
 
 
 def brute_source(parts, start, end):
