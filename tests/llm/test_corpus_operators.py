@@ -612,8 +612,10 @@ def test_reached_margins_and_copies(spark, rows, caplog):
     assert got.copies.max() > 1 and drawn["article"] / drawn.sum() == pytest.approx(0.4, abs=0.08)
 
 
-def test_raking_that_needs_many_sweeps(spark):
-    """Two sources, each nearly all in its own language: the default loop goes on until the targets are met."""
+@pytest.mark.parametrize("bound", [0, raking.BROADCAST_BYTES])
+def test_raking_that_needs_many_sweeps(spark, monkeypatch, bound):
+    """Two sources, each nearly all in its own language: the default loop goes on until the targets are met, in one task or dealt."""
+    monkeypatch.setattr(raking, "BROADCAST_BYTES", bound)
     cells = spark.createDataFrame([("a", "x", "t", 9800), ("a", "y", "t", 30), ("b", "x", "t", 30), ("b", "y", "t", 9800), ("b", "y", "u", 500)],
                                   "source string, lang string, topic string, tokens long")
     targets = {n: spark.createDataFrame(t, f"{n} string, target double") for n, t in (

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
-from tidemark.session import settle, written
+from tidemark.session import measured_bytes, settle, written
 
 MARGINS = ("source", "lang", "topic")
 BROADCAST_BYTES = 4 << 20
@@ -90,8 +90,8 @@ def default_targets(cells: DataFrame, temperature: float) -> dict[str, DataFrame
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6) -> tuple[DataFrame, float]:
     """cells (source, lang, topic, tokens) with the raked share of each; categories without a target get none.
 
-    Sums of a category are windows over the cells, so a sweep adds three exchanges to the plan and no join; the cells of
-    some sweeps are written by one job, which also observes what the margins were off before each. With the result comes
+    Sums of a category are windows over the cells, so a sweep adds no join to the plan, and three exchanges only where the
+    cells are more than ``BROADCAST_BYTES`` by measure; the cells of some sweeps are written by one job, which also observes what the margins were off before each. With the result comes
     that deviation at the last sweep: above the tolerance, and logged, if targets contradict each other or the sweeps come
     too slowly nearer to them.
     """
@@ -103,11 +103,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         aim = targets[name].select(name, F.col("target").cast("double").alias(f"__{name}"))
         shares = shares.join(aim, name, "left").withColumn(f"__{name}", F.coalesce(f"__{name}", F.lit(0.0)))
     shares = written(shares, "cells")
+    few = measured_bytes(shares) <= BROADCAST_BYTES
     # The target of a category without cells can never be met.
     lost = max((targets[name].join(shares.select(name).distinct(), name, "left_anti").agg(F.max(F.abs("target"))).first()[0] or 0.0) for name in MARGINS)
     offs: list[float] = []
     while True:
-        shares, some = swept(shares, min(SWEEPS_A_JOB, (SWEEPS or 10**9) - len(offs)))
+        # Windows over one partition need no exchange; more cells than the bound are dealt by category.
+        shares, some = swept(shares.coalesce(1) if few else shares, min(SWEEPS_A_JOB, (SWEEPS or 10**9) - len(offs)))
         for at, off in enumerate(some):
             offs.append(max(off, lost))
             if offs[-1] <= tolerance or stalled(offs) or len(offs) == SWEEPS:
