@@ -128,19 +128,19 @@ def test_effective_time_is_strict(spark):
     assert read(hour(12)) == []
 
 
-@pytest.mark.parametrize("literals", [1, 512])
-def test_deadline_join_against_brute_force(spark, monkeypatch, literals):
-    monkeypatch.setattr(tt, "LITERAL_DEADLINES", literals)
+@pytest.mark.parametrize("hours", [(0, 5, 14, 15, 33, 90), (14,), tuple(n / 97 for n in range(2000)), (-900, 10, 10.0001, 10.0002, 49)])
+def test_deadline_join_against_brute_force(spark, hours):
     rows = [(i % 7 if i % 3 else 0, hour(i * 7 % 50).replace(tzinfo=None), i) for i in range(60)]
-    df = spark.createDataFrame(rows, "k int, observed_at timestamp_ntz, batch_id int")
-    deadlines = spark.createDataFrame([(hour(n).replace(tzinfo=None),) for n in (0, 5, 14, 15, 33, 90)], "deadline timestamp_ntz")
+    df = spark.createDataFrame([*rows, (0, None, 99)], "k int, observed_at timestamp_ntz, batch_id int")
+    deadlines = spark.createDataFrame([*[((T0 + timedelta(hours=n)).replace(tzinfo=None),) for n in hours] * 2, (None,)], "deadline timestamp_ntz")
     got = {(r["deadline"], r["k"]): r["batch_id"] for r in tt.as_of_deadlines(df, ["k"], deadlines).collect()}
     want = {}
-    for (d,) in deadlines.collect():
+    for (d,) in deadlines.dropna().collect():
         for k, at, b in rows:
             if at <= d and (d, k) not in want or at <= d and (at, b) > want[(d, k)]:
                 want[(d, k)] = (at, b)
     assert got == {key: b for key, (_, b) in want.items()}
+    assert tt.as_of_deadlines(df, ["k"], deadlines.limit(0)).count() == 0
 
 
 def test_derived_rows_need_their_mark(store, spark):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.maths import decay_weight, low_score_factor
 from tidemark.operators.ordered import row_positions
+from tidemark.operators.sparse import packed_folds, packed_sums, scales_of, solve_packed
 from tidemark.session import TidemarkError, small
 
 # Priors of a team without history, bounds of the dependence parameter, fitting defaults.
@@ -24,15 +25,14 @@ ISOTONIC_BINS = 20
 HOLDOUT_FRACTION = 0.2
 MIN_HOLDOUT_ROWS = 200
 MIN_INNER_ROWS = 200
+# An aggregate column per pair stays in compiled code for so many features; more are summed as packed triangles.
+NARROW = 8
 
 
 # -- design ------------------------------------------------------------------------------------------
 
 def feature_scales(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of every column in one pass; near-constant columns scale by one."""
-    aggs = [f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"m_{c}"], row[f"s_{c}"] if row[f"s_{c}"] > 1e-8 else 1.0) for c in columns}
+    return scales_of(df, columns)
 
 
 def standardised(df: DataFrame, scales: dict[str, tuple[float, float]]) -> DataFrame:
@@ -40,13 +40,16 @@ def standardised(df: DataFrame, scales: dict[str, tuple[float, float]]) -> DataF
 
 
 def design_columns(df: DataFrame, numeric: Sequence[str], categories: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Intercept, standardised numbers and one 0/1 column per category value in sorted order."""
+    """Intercept, standardised numbers and one 0/1 column per category value in sorted order.
+
+    One table column per level: for categories of more than a thousand levels see ``sparse.sparse_design``.
+    """
     out = standardised(df, feature_scales(df, numeric)).withColumn("z_intercept", F.lit(1.0))
     names = ["z_intercept", *[f"z_{c}" for c in numeric]]
     for c in categories:
         levels = sorted(r[0] for r in df.select(c).distinct().limit(1001).collect())
         if len(levels) > 1000:
-            raise TidemarkError(f"{c} has too many levels for a dense design")
+            raise TidemarkError(f"{c} has too many levels for one column each; use sparse_design")
         for i, level in enumerate(levels):
             out = out.withColumn(f"z_{c}_{i}", (F.col(c) == level).cast("double"))
             names.append(f"z_{c}_{i}")
@@ -71,6 +74,13 @@ def _solve(row, p: int, l2: float) -> np.ndarray:
 
 def fit_ridge(df: DataFrame, x: Sequence[str], y: str, l2: float) -> np.ndarray:
     """(X'X + l2 I) beta = X'y from one distributed pass over the rows."""
+    if len(x) > NARROW:
+        sums = np.zeros(1 + len(x) * (len(x) + 3) // 2)
+        for r in packed_sums(df, x, y).collect():  # one row per pair of features
+            sums[r["at"]] = r["total"]
+        if not sums[0]:
+            raise TidemarkError("no rows to fit")
+        return solve_packed(sums, len(x), l2)
     row = df.agg(*_gram_sums(x, y)).first()
     if not row["n"]:
         raise TidemarkError("no rows to fit")
@@ -89,6 +99,8 @@ def walk_forward_ridge(df: DataFrame, x: Sequence[str], y: str, l2s: Sequence[fl
     sums, so the work is linear in the rows however many folds there are.
     """
     p = len(x)
+    if p > NARROW:
+        return _walk_forward_wide(df, x, y, l2s, rank, min_rows)
     per_rank = df.groupBy(rank).agg(*_gram_sums(x, y))
     before = W.orderBy(rank).rowsBetween(W.unboundedPreceding, -1)  # one row per round of the calendar
     sums = [c for c in per_rank.columns if c != rank]
@@ -106,6 +118,24 @@ def walk_forward_ridge(df: DataFrame, x: Sequence[str], y: str, l2s: Sequence[fl
     return df.join(fitted, rank).withColumn("prediction", prediction)
 
 
+def _walk_forward_wide(df: DataFrame, x: Sequence[str], y: str, l2s: Sequence[float], rank: str, min_rows: int) -> DataFrame:
+    p = len(x)
+    folds = packed_folds(packed_sums(df, x, y, rank)).filter(F.get("sums", F.lit(0)) >= min_rows)
+    folds = folds.withColumn("l2", F.explode(F.array(*[F.lit(float(v)) for v in l2s])))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            betas = [solve_packed(s, p, v).tolist() for s, v in zip(pdf["sums"], pdf["l2"])]
+            yield pd.DataFrame({rank: pdf["rank"], "l2": pdf["l2"], "beta": betas})
+
+    kind = dict(df.dtypes)[rank]
+    fitted = folds.mapInPandas(solve, f"`{rank}` {kind}, l2 double, beta array<double>")
+    # One fold per row of a bounded calendar, but p numbers each: joined by measure, and multiplied as arrays.
+    features = F.array(*[F.col(c).cast("double") for c in x])
+    product = F.aggregate(F.zip_with(features, F.col("beta"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return df.join(small(fitted), rank).withColumn("prediction", product)
+
+
 # -- softmax -----------------------------------------------------------------------------------------
 
 def fit_softmax(df: DataFrame, x: Sequence[str], y: str, n_classes: int, l2: float, steps: int = 30,

@@ -12,11 +12,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidemark.functions.dates import ISO_Z
-from tidemark.operators.ordered import row_positions, running_total
-from tidemark.session import TidemarkError
-
-# More cut-offs than this are numbered by a distributed pass instead of being put in the plan as literals.
-LITERAL_DEADLINES = 512
+from tidemark.operators.ordered import running_total
+from tidemark.session import SMALL_BYTES, TidemarkError, measured_bytes, settle
 
 
 def instant(name: str, cutoff: datetime) -> datetime:
@@ -85,53 +82,63 @@ def latest(df: DataFrame, key: Sequence[str], observed: str = "observed_at", bat
     return as_of(df, key, datetime.now(timezone.utc), observed, batch)
 
 
-def _interval_of(df: DataFrame, deadlines: DataFrame, deadline: str, observed: str) -> tuple[DataFrame, DataFrame]:
-    """Number the deadlines from 0 and tag each row with the first deadline at or after it."""
-    dates = deadlines.select(deadline).distinct()
-    head = [r[0] for r in dates.limit(LITERAL_DEADLINES + 1).collect()]
-    if len(head) <= LITERAL_DEADLINES:
-        head.sort()
-        kind = df.schema[observed].dataType
-        naive = isinstance(dates.schema[0].dataType, T.TimestampNTZType)
-        marks = [(naive_literal(d) if naive else F.lit(d)).cast(kind) for d in head]
-        known = F.array(*marks) if marks else F.array().cast(T.ArrayType(kind))
-        number = F.size(F.filter(known, lambda d: d < F.col(observed)))
-        numbered = df.sparkSession.createDataFrame(
-            [(i, d) for i, d in enumerate(head)],
-            T.StructType([T.StructField("_i", T.IntegerType()), T.StructField(deadline, dates.schema[0].dataType)]),
-        )
-        return df.withColumn("_i", number), numbered
-    numbered = row_positions(dates, [], [deadline], "_i").withColumn("_i", F.col("_i").cast("int"))
-    marks = dates.select(F.col(deadline).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_row"))
-    tagged = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_at", F.col(observed))
-    both = tagged.withColumn("_kind", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    counted = running_total(both, [], ["_at", "_kind", "_row"], F.col("_kind").cast("bigint"), "_n", before=True)
-    return (
-        counted.filter(F.col("_kind") == 0).withColumn("_i", F.col("_n").cast("int"))
-        .drop("_kind", "_n", "_row", "_at"),
-        numbered,
-    )
+def _clock_seconds(c: Column, kind: T.DataType) -> Column:
+    """Whole seconds of a clock reading, growing with time whatever the session's zone."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.unix_seconds(c.cast("timestamp"))
+
+
+def _calendar(deadlines: DataFrame, deadline: str, kind: T.DataType) -> tuple[DataFrame, int, int, int]:
+    """Deadlines on an even grid with a bucket per deadline: (_b, _before, _marks), the first second, the width and their number.
+
+    _before counts the deadlines of earlier buckets, _marks holds those of the bucket in order, so a time finds its place among
+    all deadlines by an equal bucket and a look at one or two marks.
+    """
+    mark = F.struct(F.col(deadline).cast(kind).alias("at"), F.col(deadline).alias("deadline"))
+    dates = settle(deadlines.filter(F.col(deadline).isNotNull()).select(mark.alias("_mark")).distinct())
+    second = _clock_seconds(F.col("_mark.at"), kind)
+    low, high, n = dates.agg(F.min(second), F.max(second), F.count("*")).first()
+    if not n:
+        return dates.select(F.lit(0).alias("_b"), F.lit(0).alias("_before"), F.array("_mark").alias("_marks")), 0, 1, 0
+    width = (high - low) // n + 1
+    filled = dates.groupBy(F.floor((second - low) / width).cast("bigint").alias("_b")).agg(F.array_sort(F.collect_list("_mark")).alias("_marks"))
+    grid = deadlines.sparkSession.range(n).withColumnRenamed("id", "_b").join(filled, "_b", "left")
+    size = F.coalesce(F.size("_marks"), F.lit(0)).cast("bigint")
+    return running_total(grid, [], ["_b"], size, "_before", before=True), low, width, n
 
 
 def as_of_deadlines(
     df: DataFrame, key: Sequence[str], deadlines: DataFrame, deadline: str = "deadline",
     observed: str = "observed_at", batch: str = "batch_id",
 ) -> DataFrame:
-    """State of every key at every deadline (a backward as-of join without a range join).
+    """State of every key at every deadline (a backward as-of join without a range join), for any number of deadlines.
 
     Rows are first reduced to the newest one per (key, interval between deadlines); each survivor is
     then valid until the key's next survivor, so a key's window holds at most one row per deadline.
+    Rows without a time are never known, and NULL deadlines take no part.
     """
-    tagged, numbered = _interval_of(df, deadlines, deadline, observed)
+    kind = df.schema[observed].dataType
+    calendar, low, width, n = _calendar(deadlines, deadline, kind)
+    calendar = settle(calendar)
+    placed = F.broadcast if measured_bytes(calendar) <= SMALL_BYTES else (lambda side: side)
+    bucket = F.floor((_clock_seconds(F.col(observed), kind) - low) / width)
+    at = F.greatest(F.lit(0), F.least(F.lit(n - 1), bucket)).cast("bigint")
+    tagged = (
+        df.filter(F.col(observed).isNotNull()).withColumn("_b", at).join(placed(calendar), "_b")
+        .withColumn("_i", (F.col("_before") + F.coalesce(F.size(F.filter("_marks", lambda m: m["at"] < F.col(observed))), F.lit(0))).cast("int"))
+        .drop("_b", "_before", "_marks")
+    )
     reduced = _newest(tagged, [*key, "_i"], [F.desc(observed), F.desc(batch)])
-    n = numbered.count()
     until = F.coalesce(F.lead("_i").over(W.partitionBy(*key).orderBy("_i")), F.lit(n)) - 1
     spread = (
         reduced.withColumn("_until", until).filter(F.col("_until") >= F.col("_i"))
         .withColumn("_i", F.explode(F.sequence("_i", "_until")))
         .drop("_until")
     )
-    return spread.join(numbered, "_i").drop("_i")
+    numbered = calendar.select("_before", F.posexplode("_marks").alias("_p", "_mark")).select(
+        (F.col("_before") + F.col("_p")).cast("int").alias("_i"), F.col("_mark.deadline").alias(deadline))
+    return spread.join(placed(numbered), "_i").drop("_i")
 
 
 def rows_before_round(df: DataFrame, n: int) -> DataFrame:

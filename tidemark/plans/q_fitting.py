@@ -9,6 +9,7 @@ from tidemark.operators import fitting as fi
 from tidemark.operators import metrics as me
 from tidemark.operators import pmf as pm
 from tidemark.operators import rollups as ro
+from tidemark.operators import sparse as sp
 from tidemark.plans import standins as st
 from tidemark.plans.q_features import MINUTES_TRAIL, ROW, ROWS, RANK_SQL, r6
 from tidemark.plans.q_metrics import newton_sql
@@ -35,6 +36,38 @@ def design_matrix(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(n, 8).alias(n) for n in names])
 
 
+CATEGORIES = ["l_returnflag", "l_partkey"]
+SPARSE_SQL = SCALE_SQL + """, levels AS (SELECT name, level, row_number() OVER (ORDER BY pos, level) + 3 AS index FROM (
+    SELECT DISTINCT 0 AS pos, 'l_returnflag' AS name, l_returnflag AS level FROM lineitem UNION ALL
+    SELECT DISTINCT 1, 'l_partkey', CAST(l_partkey AS VARCHAR) FROM lineitem)),
+  design AS (SELECT l.*, f.index AS fi, k.index AS ki, """ + ", ".join(f"({c} - m_{c}) / s_{c} AS z_{c}" for c in NUMERIC) + """
+    FROM lineitem l, sc, levels f, levels k WHERE f.name = 'l_returnflag' AND f.level = l.l_returnflag
+      AND k.name = 'l_partkey' AND k.level = CAST(l.l_partkey AS VARCHAR))"""
+
+
+@query("sparse_design_rows", SPARSE_SQL + """ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '0,1,2,3,' || fi || ',' || ki AS indices,
+    """ + ", ".join(f"round(z_{c}, 8) AS z_{c}" for c in NUMERIC) + " FROM design")
+def sparse_design_rows(spark, sf):
+    rows, _ = sp.sparse_design(table(spark, sf, "lineitem"), NUMERIC, CATEGORIES)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(",", F.col("indices").cast("array<string>")).alias("indices"),
+                       *[F.round(F.get("values", F.lit(i)), 8).alias(f"z_{c}") for i, c in enumerate(NUMERIC, 1)])
+
+
+@query("sparse_design_columns", SPARSE_SQL + """ SELECT * FROM (SELECT CAST(index AS BIGINT) AS index, name, level FROM levels UNION ALL
+    SELECT * FROM (VALUES (0, 'intercept', NULL), (1, 'l_discount', NULL), (2, 'l_tax', NULL), (3, 'l_quantity', NULL)) v(index, name, level))""")
+def sparse_design_columns(spark, sf):
+    return sp.column_index(table(spark, sf, "lineitem"), NUMERIC, CATEGORIES)
+
+
+@query("sparse_design_sums", SPARSE_SQL + """, e AS (SELECT rowid AS r, l_quantity AS y, unnest([0, 1, 2, 3, fi, ki]) AS i,
+    unnest([1.0, z_l_discount, z_l_tax, z_l_quantity, 1.0, 1.0]) AS v FROM (SELECT *, row_number() OVER () AS rowid FROM design))
+  SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 4) + 0.0 AS total FROM e a JOIN e b ON a.r = b.r AND b.i >= a.i GROUP BY 1, 2
+  UNION ALL SELECT i::BIGINT, NULL, round(sum(v * y), 4) + 0.0 FROM e GROUP BY 1""")
+def sparse_design_sums(spark, sf):
+    rows, _ = sp.sparse_design(table(spark, sf, "lineitem"), NUMERIC, CATEGORIES)
+    return sp.sparse_sums(rows, "l_quantity").select("i", "j", (F.round("total", 4) + 0.0).alias("total"))
+
+
 @query("ridge_coefficients", """WITH g AS (SELECT count(*) + 0.5 AS a, sum(l_discount) AS b, sum(l_tax) AS c, sum(l_discount * l_discount) + 0.5 AS d,
     sum(l_discount * l_tax) AS e, sum(l_tax * l_tax) + 0.5 AS f, sum(l_quantity) AS y0, sum(l_discount * l_quantity) AS y1, sum(l_tax * l_quantity) AS y2 FROM lineitem),
   det AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM g)
@@ -75,6 +108,25 @@ def penalty_sweep(spark, sf):
     return walked(spark, sf).groupBy("l2").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)), 5).alias("mean_squared_error"))
 
 
+WIDE = 12  # one feature per residue of the player's number
+WIDE_SQL = st.FACTS_SQL + f""", w AS (SELECT round AS rk, CAST(total_points AS DOUBLE) AS y, element % {WIDE} AS r FROM facts),
+  cells AS (SELECT rk, r, count(*) AS n, sum(y) AS sy FROM w GROUP BY 1, 2), ranks AS (SELECT DISTINCT rk FROM w),
+  folds AS (SELECT k.rk, c.r, sum(c.n) AS n, sum(c.sy) AS sy FROM ranks k JOIN cells c ON c.rk < k.rk GROUP BY 1, 2),
+  sized AS (SELECT rk FROM folds GROUP BY 1 HAVING sum(n) >= 50)
+  SELECT CAST(w.rk AS BIGINT) AS round, CAST(w.r AS INT) AS residue, count(*) AS n, round(coalesce(any_value(f.sy / (f.n + 2.0)), 0.0), 6) + 0.0 AS prediction
+  FROM w JOIN sized USING (rk) LEFT JOIN folds f ON f.rk = w.rk AND f.r = w.r GROUP BY 1, 2"""
+
+
+@query("walk_forward_wide", WIDE_SQL)
+def walk_forward_wide(spark, sf):
+    facts = st.facts(spark, sf).select(F.col("round").cast("long").alias("round"), F.col("total_points").cast("double").alias("y"),
+                                       (F.col("element") % WIDE).cast("int").alias("residue"))
+    names = [f"r{i}" for i in range(WIDE)]
+    rows = settle(facts.select("*", *[(F.col("residue") == i).cast("double").alias(n) for i, n in enumerate(names)]))
+    got = fi.walk_forward_ridge(rows, names, "y", [2.0], "round", 50)
+    return got.groupBy("round", "residue").agg(F.count("*").alias("n"), (F.round(F.first("prediction"), 6) + 0.0).alias("prediction"))
+
+
 @query("inner_calibration_split", st.SCORED_SQL + """, sizes AS (SELECT fold, count(*) AS n FROM scored GROUP BY 1),
   ranked AS (SELECT *, row_number() OVER (ORDER BY fold) AS i, count(*) OVER () AS k FROM sizes),
   cut AS (SELECT max(fold) FILTER (i = k - least(greatest(1, CAST(round_even(k * 0.2, 0) AS INT)), k - 1) + 1) AS c FROM ranked)
