@@ -406,12 +406,37 @@ def test_plan_covers_every_count():
     rng = random.Random(8)
     for _ in range(6):
         counts = {rng.randint(1, 100): rng.choice([1, 2, 50, 10**9]) for _ in range(rng.randint(0, 40))}
-        plan = config_packing.plan_sequences(counts, 100, steps=60)
+        plan = config_packing.plan_sequences(counts, 100)
         assert plan.taken == counts
-        load = sum(s * n for s, n in counts.items())
-        assert plan.sequences >= load / 100
-    uniform = {s: 10**6 for s in range(1, 101)}
-    assert config_packing.plan_sequences(uniform, 100).sequences <= 1.02 * sum(s * n for s, n in uniform.items()) / 100
+        used = collections.Counter()
+        for size, rows in plan.slots.items():
+            ends = [*[r[0] for r in rows[1:]], counts[size]]
+            for (rank, sequence, n), end in zip(rows, ends):
+                assert (end - rank) % n == 0
+                for i in range(min((end - rank) // n, 20)):
+                    used[sequence + i] += n * size
+        assert max(used.values(), default=0) <= 100
+        assert plan.bound <= plan.sequences + 1e-6
+
+
+HISTOGRAMS = {
+    "empty texts": {1: 100_000},
+    "five tokens": {5: 100_000},
+    "uniform": {s: 1000 for s in range(1, 4097)},
+    "no pairs": {2458: 100_000, 1680: 100_000},
+    "rare lengths": {**{s: 1 for s in range(1, 4097)}, 2500: 200_000, 1596: 150_000, 9: 10**6},
+    "long tail": {s: int(3e6 / s ** 1.5) + 1 for s in range(3, 4097)},
+    "single pieces": {s: 1 for s in range(100, 3000, 2)},
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_plan_is_near_the_dual_bound(name):
+    plan = config_packing.plan_sequences(HISTOGRAMS[name], 4096)
+    assert plan.taken == HISTOGRAMS[name]
+    print(name, plan.sequences, plan.bound)
+    assert plan.bound <= plan.sequences + 1e-6
+    assert plan.sequences <= math.ceil(plan.bound) * 1.01
 
 
 # 8

@@ -1,14 +1,15 @@
 """Operator 7: documents as token sequences of at most ``capacity``, by a configuration linear program.
 
 Tokens come from a public tokenizer, whole text by whole text, with a separator id at the end of each document. Longer
-documents are cut at the capacity. Pieces are counted by size class (``GRAIN`` tokens, rounded up); that histogram is
-the only thing that reaches the driver and has ``capacity / GRAIN`` rows at most. Its configuration program (how often to
-use each way of filling one sequence) is solved by multiplicative weights: every step prices the classes by size and by
-how far they are from being covered, a knapsack dynamic program finds the best configuration, and a share of what the
-scarcest class has left is packed with it in whole numbers. What remains is rounded by decreasing size, several sequences
-of one filling at a time.
-
-Pieces then take the slots of their class by rank. Ranks come from counts of (class, salt) groups, so one length that
+documents are cut at the capacity. Pieces are counted by length; that histogram is the only thing that reaches the driver and
+has ``capacity`` rows at most. Its configuration program asks how often to use each way of filling one sequence so that every
+length is covered. Multiplicative weights solve it: a length's price starts in proportion to its size and falls exponentially
+with the share of its pieces that is covered; a knapsack dynamic program finds the filling of highest price, which then enters
+the fractional solution in proportion to what is left of its scarcest length. The same prices, divided by the value of the best
+filling, are a solution of the dual program and so a lower bound on the number of sequences (``Plan.bound``, the best one met). The fractional
+solution is rounded down, then up by largest remainders where the pieces last, and the rest is filled by decreasing size.
+
+Pieces then take the slots of their length by rank. Ranks come from counts of (length, salt) groups, so one length that
 many documents share is spread over tasks; offsets add the true lengths within a sequence.
 
 Defined results. Null or empty text: the separator alone. Null ids and repeated rows: packed each. Empty table: no rows.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm import texts as T
 from tidemark.session import settle
 
-CAPACITY, GRAIN, SEPARATOR = 4096, 4, 1
+CAPACITY, SEPARATOR = 4096, 1
 #: Prices start a little above proportion to size: what is large is harder to place, and small pieces are kept for gaps.
 STEEPNESS = 1.3
 _CACHED = 600_000
@@ -110,9 +111,10 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
 
 @dataclass
 class Plan:
-    """For each class the slots in order: first rank, first sequence and slots per sequence of every configuration."""
+    """For each length the slots in order: first rank, first sequence and slots per sequence of every configuration."""
 
     sequences: int = 0
+    bound: float = 0.0
     slots: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)
     taken: dict[int, int] = field(default_factory=dict)
 
@@ -124,58 +126,105 @@ class Plan:
         self.sequences += times
 
 
-def best_configuration(value: np.ndarray, sizes: np.ndarray, room: int) -> dict[int, int]:
-    """The unbounded knapsack: which sizes fill the room at the highest total value."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
+def best_configuration(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[dict[int, int], float]:
+    """The unbounded knapsack: which of the rising sizes fill the room at the highest total value, and that value."""
+    worth = np.full(room + 1, -np.inf)
+    worth[sizes] = value
+    # best[c - s] for s = 1, 2, ... lies in one piece when best is kept from the end: mirrored[room - c] is best[c].
+    mirrored, pick, gain = np.zeros(room + 1), np.zeros(room + 1, np.int64), np.empty(room + 1)
     for c in range(1, room + 1):
-        fits = sizes[:np.searchsorted(sizes, c, side="right")]
-        if len(fits):
-            gain = best[c - fits] + value[:len(fits)]
-            k = int(gain.argmax())
-            if gain[k] > best[c - 1]:
-                best[c], pick[c] = gain[k], k
-                continue
-        best[c] = best[c - 1]
+        np.add(mirrored[room - c + 1:], worth[1:c + 1], out=gain[:c])
+        k = int(gain[:c].argmax())
+        before = mirrored[room - c + 1]
+        mirrored[room - c], pick[c] = (gain[k], k + 1) if gain[k] > before else (before, 0)
     out: dict[int, int] = {}
     c = room
     while c > 0:
-        if pick[c] < 0:
+        if not pick[c]:
             c -= 1
             continue
-        size = int(sizes[pick[c]])
+        size = int(pick[c])
         out[size] = out.get(size, 0) + 1
         c -= size
-    return out
+    return out, float(mirrored[0])
 
 
-def plan_sequences(counts: dict[int, int], room: int, steps: int = 600, share: float = 0.5, strength: float = 1.0) -> Plan:
-    """Configurations for all pieces: ``counts`` of pieces by class size, ``room`` in the same unit.
+def threshold_bound(sizes: np.ndarray, need: np.ndarray, room: int) -> float:
+    """The best of the dual solutions that price a length at 1 above ``room - k``, at its share of the room from k on, else at 0."""
+    if not len(sizes):
+        return 0.0
+    tokens, pieces = np.zeros(room + 2), np.zeros(room + 2)
+    tokens[sizes], pieces[sizes] = sizes * need, need
+    tokens, pieces = np.cumsum(tokens[::-1])[::-1], np.cumsum(pieces[::-1])[::-1]  # of this length and above
+    k = np.arange(room // 2 + 1)
+    above = room - k + 1
+    return float((pieces[above] + (tokens[k] - tokens[above]) / room).max())
 
-    ``strength`` is the step of the multiplicative weights, ``share`` how much of the scarcest class one step may take.
+
+def fractional_solution(counts: dict[int, int], room: int, rounds: int = 300, share: float = 0.5, strength: float = 1.0,
+                        near: float = 0.97, tail: float = 0.002) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Fillings with how often each is used, covering the counts but for a tail, and the best dual bound that was met.
+
+    Fillings are sought among lengths with many pieces left first, so that one rare length does not make every step small; when
+    these give less than ``near`` of the value of the best filling of all, the limit is halved. It ends when a ``tail`` of the
+    tokens is left, at single pieces, or after ``rounds`` prices; what is left then is packed in rounding.
     """
-    plan, left = Plan(), {s: n for s, n in sorted(counts.items()) if n}
-    if room in left:
-        plan.use({room: 1}, left.pop(room))
-    need = dict(left)
-    for _ in range(steps):
-        if sum(left.values()) <= 4 * len(left):
+    sizes = np.array(sorted(counts), np.int64)
+    need = np.array([counts[int(s)] for s in sizes], float)
+    left, total = need.copy(), float(sizes @ need)
+    bound, used = threshold_bound(sizes, need, room), {}
+    level, whole = left.max(initial=0.0), np.inf
+    for _ in range(rounds):
+        if sizes @ left <= tail * total or level < 1:
             break
-        sizes = np.array(list(left))
-        covered = np.array([1 - left[s] / need[s] for s in left])
-        weight = np.exp(-strength * (covered - covered.min()))
-        value = (sizes / room) ** STEEPNESS * weight
-        configuration = best_configuration(value, sizes, room)
-        times = min(left[s] // n for s, n in configuration.items())
-        if times == 0:  # more copies than there are: a filling by decreasing size instead
-            configuration, times = _decreasing(left, room)
+        price = (sizes / room) ** STEEPNESS * np.exp(-strength * (1 - left / need))
+        fresh = False
+        while level >= 1:
+            allowed = left >= level
+            if allowed.any():
+                configuration, value = best_configuration(price[allowed], sizes[allowed], room)
+                at = np.searchsorted(sizes, list(configuration))
+                most = float((left[at] / list(configuration.values())).min())
+                if value < near * whole and not fresh:
+                    # Prices only fall, so an earlier value of the best filling of all stays an upper bound until it is too high.
+                    whole, fresh = value if allowed.all() else best_configuration(price, sizes, room)[1], True
+                    bound = max(bound, float(need @ price) / whole)
+                if value >= near * whole and most >= 1:
+                    break
+            level /= 2
         else:
-            times = max(1, int(times * share))
-        plan.use(configuration, times)
-        left = {s: n - times * configuration.get(s, 0) for s, n in left.items() if n > times * configuration.get(s, 0)}
+            break
+        times = max(1.0, share * most)
+        key = tuple(configuration.items())
+        used[key] = used.get(key, 0.0) + times
+        left[at] -= times * np.array(list(configuration.values()))
+    return [(dict(k), x) for k, x in used.items()], bound
+
+
+def plan_sequences(counts: dict[int, int], room: int, rounds: int = 300) -> Plan:
+    """Configurations for all pieces: ``counts`` of pieces by length, and the lower bound on the number of sequences."""
+    plan, left = Plan(), {s: n for s, n in sorted(counts.items()) if n}
+    if room in left:  # full sequences already
+        plan.use({room: 1}, left.pop(room))
+    full = plan.sequences
+    solution, bound = fractional_solution(left, room, rounds)
+    plan.bound = full + bound
+
+    def take(configuration: dict[int, int], times: int) -> None:
+        times = min([times, *(left.get(s, 0) // n for s, n in configuration.items())])
+        if times > 0:
+            plan.use(configuration, times)
+            for s, n in configuration.items():
+                left[s] -= times * n
+                if not left[s]:
+                    del left[s]
+
+    for configuration, x in solution:
+        take(configuration, int(x))
+    for configuration, _ in sorted(solution, key=lambda c: c[1] - int(c[1]), reverse=True):
+        take(configuration, 1)
     while left:
-        configuration, times = _decreasing(left, room)
-        plan.use(configuration, times)
-        left = {s: n - times * configuration.get(s, 0) for s, n in left.items() if n > times * configuration.get(s, 0)}
+        take(*_decreasing(left, room))
     return plan
 
 
@@ -194,12 +243,11 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     pieces = settle(token_pieces(documents, capacity, tokenizer))
     total = pieces.count()
     salts = max(16, total // 20_000)
-    grain = GRAIN if capacity % GRAIN == 0 else 1
-    classed = (pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+    classed = (pieces.withColumn("class", F.col("length").cast("int"))
                .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))))
     groups = classed.groupBy("class", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["class"]: r["n"] for r in groups.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # capacity / grain rows
-    plan = plan_sequences(histogram, capacity // grain)
+    histogram = {r["class"]: r["n"] for r in groups.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    plan = plan_sequences(histogram, capacity)
     slots = {size: np.array(rows, np.int64) for size, rows in plan.slots.items()}
 
     before = F.sum("n").over(Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
