@@ -21,6 +21,11 @@ def is_free_build() -> Column:
     return (F.size("transfers_out") == 0) & (bought > 0) & (bought == F.size("squad_element_ids"))
 
 
+def free_builds(records: DataFrame, key: Sequence[str] = ARM) -> DataFrame:
+    """The opening squads that holds and churn leave out: one row per gameweek, with the number of elements bought."""
+    return records.filter(is_free_build()).select(*key, "gameweek", F.size("transfers_in").alias("count"))
+
+
 def transfer_events(records: DataFrame, key: Sequence[str] = ARM) -> DataFrame:
     """One row per bought or sold element; ``free_build`` marks opening squads, ``is_in`` buys."""
     moves = F.concat(

@@ -45,6 +45,11 @@ def records(spark, sf):
         "hit_points", de.hit_points(F.size("transfers_out"), F.lit(1)))
 
 
+@query("free_builds", HOLDS_SQL + " SELECT season, arm, gameweek, CAST(n_in AS INT) AS count FROM rec WHERE free_build")
+def free_builds(spark, sf):
+    return de.free_builds(records(spark, sf))
+
+
 @query("hold_events", HOLDS_SQL + """
   SELECT season, arm, element, gameweek, CAST(hold AS DOUBLE) AS hold, is_purchase, is_censored, is_initial_sale,
     CAST(round_trip AS DOUBLE) AS round_trip FROM held""")

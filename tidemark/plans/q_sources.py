@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from tidemark.plans import standins as st
 from tidemark.plans.registry import query, table
 from tidemark.session import scratch_path
+from tidemark.sources import checks
 from tidemark.sources import payloads as pa
 from tidemark.sources import readers as rd
-from tidemark.sources.catalog import CATALOG, RESERVED, Dataset, register
+from tidemark.sources import season as ss
+from tidemark.sources.catalog import ARCHIVE_STATS, CATALOG, LIVE_STATS, RESERVED, Dataset, register
+from tidemark.sources.snapshot import HEARTBEAT, snapshot
 from tidemark.sources.store import ObservationStore, decode_lineage, encode_lineage, hash_parts, refuse_unmodelled
 from tidemark.streaming import ingest
 
@@ -79,6 +83,99 @@ def batch_provenance(spark, sf):
                           (F.col("observed_at") <= newest).alias("is_newest_or_older"), F.array_join(names, ",").alias("data_columns"))
 
 
+@query("batch_provenance_check", STORE_SQL + """ SELECT CAST(h AS INT) AS observed_day, count(*) AS rows_said, count(*) AS rows_found, CAST(0 AS BIGINT) AS rows_without_provenance,
+    true AS one_hash, true AS sound FROM batches GROUP BY 1""")
+def batch_provenance_check(spark, sf):
+    store = written(spark, sf)
+    days = store.provenance("standin_log").select("batch_id", F.dayofmonth("observed_at").alias("observed_day"))
+    return checks.provenance_findings(store, "standin_log").join(days, "batch_id").drop("batch_id")
+
+
+@query("batch_schema_findings", """WITH n AS (SELECT count(*) AS n_rows FROM events)
+  SELECT 2 AS observed_day, 'value' AS field, 'missing' AS finding, NULL AS dtype, n_rows FROM n
+  UNION ALL SELECT 3, 'value', 'drift', 'string', n_rows FROM n
+  UNION ALL SELECT 4, 'event_type', 'nested', NULL, n_rows FROM n""")
+def batch_schema_findings(spark, sf):
+    store = ObservationStore(spark, scratch_path(spark, "drift"))
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    batches = (events, events.drop("value"), events.withColumn("value", F.col("value").cast("string")), events.withColumn("event_type", F.array("event_type")))
+    for day, rows in enumerate(batches, 1):
+        store.write("standin_log", rows, valid_at=at(day), observed_at=at(day), source="events")
+    days = store.provenance("standin_log").select("batch_id", F.dayofmonth("observed_at").alias("observed_day"), "n_rows")
+    found = checks.schema_findings(store, "standin_log").join(days, "batch_id").drop("batch_id")
+    return found.withColumn("dtype", F.when(F.col("finding") != "nested", F.col("dtype")))
+
+
+SNAPSHOT_SQL = """WITH sizes AS (SELECT 'teams' AS target_dataset, count(*) AS n FROM nation UNION ALL SELECT 'elements', count(*) FROM part
+    UNION ALL SELECT 'events', count(*) FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders))
+  SELECT 'bootstrap' AS job, CAST(d AS INT) AS run_day, target_dataset, CASE WHEN d = 2 AND target_dataset <> 'elements' THEN 'skipped_unchanged' ELSE 'written' END AS outcome, n AS n_rows,
+    NULL AS error FROM sizes, (VALUES (1), (2)) r(d)
+  UNION ALL SELECT 'bootstrap', CAST(d AS INT), 'chips', 'failed', NULL, 'the payload holds no such dataset' FROM (VALUES (1), (2)) r(d)"""
+
+
+@query("snapshot_heartbeat", SNAPSHOT_SQL)
+def snapshot_heartbeat(spark, sf):
+    store = ObservationStore(spark, scratch_path(spark, "snapshot"))
+    teams = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.substring("n_name", 1, 3).alias("short_name"))
+    dates = table(spark, sf, "orders").select(F.to_date("o_orderdate").cast("string").alias("deadline_time")).distinct()
+    parts = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("web_name"), (F.col("p_partkey") % 20).alias("team"), (F.col("p_partkey") % 4).alias("element_type"),
+        F.lit(1.0).alias("selected_by_percent"), F.lit("a").alias("status"))
+    for day in (1, 2):
+        payload = {"teams": teams, "events": dates.withColumn("id", F.crc32("deadline_time")), "elements": parts.withColumn("now_cost", F.lit(40 + day))}
+        snapshot(store, "bootstrap", lambda payload=payload: payload, ("elements", "teams", "events", "chips"), at=at(day), source="bootstrap")
+    return store.as_of(HEARTBEAT, at(3)).select("job", F.dayofmonth("run_ts").alias("run_day"), "target_dataset", "outcome", "n_rows", "error")
+
+
+# -- appearances of two providers --------------------------------------------------------------------
+
+APPEARANCES_SQL = st.FACTS_SQL + """, appearances AS (SELECT source_provider, season, round, element, fixture, min(name) AS name, min(position) AS position, min(team) AS team,
+    CAST(sum(total_points) AS INT) AS total_points, min(kickoff_time) AS kickoff_time, max(selected) AS selected, min(attribution_complete) AS attribution_complete
+  FROM facts GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def appearances(spark, sf, provider):
+    rows = st.facts(spark, sf).filter(F.col("source_provider") == provider)
+    return rows.groupBy("season", "round", "element", "fixture").agg(
+        *[F.min(c).alias(c) for c in ("name", "position", "team", "kickoff_time", "attribution_complete", "was_home", "team_a_score", "team_h_score")],
+        *[F.sum(c).cast("int").alias(c) for c in ("total_points", "minutes")], F.max("selected").alias("selected"), F.max("value").alias("value"))
+
+
+@query("two_providers_effective", APPEARANCES_SQL + """ SELECT source_provider, season, round, element, fixture, position,
+    total_points + CASE WHEN source_provider = 'archive' AND element % 2 = 1 THEN 1000 ELSE 0 END AS total_points, CASE WHEN source_provider = 'archive' THEN selected END AS selected,
+    CASE WHEN source_provider = 'archive' THEN true ELSE attribution_complete END AS attribution_complete
+  FROM appearances WHERE kickoff_time < '2001-07-01T00:00:00Z'""")
+def two_providers_effective(spark, sf):
+    """The archive is corrected for even elements; the live batch knows no ownership and no price."""
+    store = ObservationStore(spark, scratch_path(spark, "providers"))
+    archive = appearances(spark, sf, "archive").drop("attribution_complete")
+    live = appearances(spark, sf, "live").withColumns({"selected": F.lit(None), "value": F.lit(None)})
+    wrong = archive.withColumn("total_points", F.col("total_points") + 1000)
+    for day, name, rows in ((1, ARCHIVE_STATS, wrong), (2, ARCHIVE_STATS, archive.filter("element % 2 = 0")), (2, LIVE_STATS, live)):
+        store.write(name, rows, valid_at=at(day), observed_at=at(day), source="stats")
+    both = ss.stats_effective_at(store, datetime(2001, 7, 1, tzinfo=timezone.utc))
+    return both.select("source_provider", "season", "round", "element", "fixture", "position", "total_points", "selected", "attribution_complete")
+
+
+@query("season_loads", APPEARANCES_SQL + """, kept AS (SELECT season, round, CASE WHEN position = 'GKP' THEN 'GK' ELSE position END AS position, total_points
+    FROM appearances WHERE source_provider = 'archive' AND position <> 'AM'),
+  grid AS (SELECT season, CAST(r AS INT) AS round FROM (SELECT DISTINCT season FROM kept), range(1, 39) x(r)),
+  gaps AS (SELECT g.season, count(k.round) AS n_present, coalesce(string_agg(CAST(g.round AS VARCHAR), ',' ORDER BY g.round) FILTER (k.round IS NULL), '') AS missing_rounds
+    FROM grid g LEFT JOIN (SELECT DISTINCT season, round FROM kept) k ON k.season = g.season AND k.round = g.round GROUP BY 1)
+  SELECT season, position, count(*) AS n_rows, CAST(sum(total_points) AS BIGINT) AS total_points, CAST(any_value(n_present) AS INT) AS n_present,
+    any_value(missing_rounds) AS missing_rounds FROM kept JOIN gaps USING (season) GROUP BY 1, 2""")
+def season_loads(spark, sf):
+    """Every season of the archive, loaded one by one."""
+    store = ObservationStore(spark, scratch_path(spark, "seasons"))
+    store.write(ARCHIVE_STATS, appearances(spark, sf, "archive").drop("attribution_complete"), valid_at=at(1), observed_at=at(1), source="stats")
+    out = []
+    for (season,) in store.scan(ARCHIVE_STATS).select("season").distinct().orderBy("season").collect():
+        loaded = ss.load_season(store, season)
+        by_position = loaded.rows.groupBy("season", "position").agg(F.count("*").alias("n_rows"), F.sum("total_points").alias("total_points"))
+        out.append(by_position.join(F.broadcast(loaded.coverage.select("season", "n_present", "missing_rounds")), "season"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query("derived_facts", st.FACTS_SQL + """, n AS (SELECT season, round, element, CAST(count(*) AS DOUBLE) AS expected FROM facts GROUP BY 1, 2, 3)
   SELECT season, round, element, stat, expected, 'player.gameweek_stats' AS lineage_capability, 'walk-forward' AS calibration_reference
   FROM n, (VALUES ('goals'), ('assists')) s(stat)""")

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators import timetravel as tt
-from tidemark.sources.catalog import DERIVED_FIELDS, DERIVED_PREFIX, RESERVED, family, lookup, zoned_columns
+from tidemark.sources.catalog import CATALOG, DERIVED_FIELDS, DERIVED_PREFIX, RESERVED, family, lookup, zoned_columns
 from tidemark.sources.manifest import Manifest
 from tidemark.session import TidemarkError, child_names, settle
 
@@ -78,7 +78,7 @@ class ObservationStore:
         if skip_if_unchanged and self.latest_content_hash(dataset) == digest:
             return WriteResult(False, digest, None, n)
         batch = uuid.uuid4().hex
-        stamped = self._widened(df).select(
+        stamped = self._widened(self._pinned(dataset, df)).select(
             "*", F.lit(valid_at).cast("timestamp").alias("valid_at"), F.lit(observed_at).cast("timestamp").alias("observed_at"),
             F.lit(source).alias("source"), F.lit(digest).alias("content_hash"), F.lit(batch).alias("batch_id"),
             *[F.lit(v).cast("string").alias(k) for k, v in
@@ -118,6 +118,15 @@ class ObservationStore:
         if zoned:
             raise TidemarkError(f"columns {zoned} carry a time zone; data columns are naive UTC")
 
+    def _pinned(self, dataset: str, df: DataFrame) -> DataFrame:
+        """Columns without any value take the dataset's declared type, or the one that earlier batches gave them."""
+        void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+        if not void:
+            return df
+        known = {f.name: f.dataType for f in self.manifest(dataset).schema() or ()}
+        known |= dict(CATALOG[dataset].pins) if dataset in CATALOG else {}
+        return df.withColumns({name: F.col(name).cast(known[name]) for name in void if name in known})
+
     @staticmethod
     def _widened(df: DataFrame) -> DataFrame:
         """One physical type per family, so that batches of different years merge; unseen columns are left out."""
