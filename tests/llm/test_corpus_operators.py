@@ -206,6 +206,28 @@ def test_secret_network():
     assert secret_cnn.logits(net, [short])[0] == pytest.approx(secret_cnn._long_logit(net, short))
 
 
+def test_secret_candidates_short_and_without_digits():
+    text = "straightforward qZrTkWvBnMxLpHdG é x9Kq7Tz0Bv2m tooshort123 2024-01-01-0000 ----------------"
+    found = [text[s:e] for s, e in secret_cnn.further_candidates(text, [])]
+    assert found == ["straightforward", "qZrTkWvBnMxLpHdG", "x9Kq7Tz0Bv2m"]
+
+
+def test_secret_threshold_is_the_recall_quantile():
+    rng = random.Random(4)
+    docs = [" ".join(rng.choice(["plain", "words", "internationalization", "notwithstanding", "of", "text"]) for _ in range(80)) for _ in range(150)]
+    items, label = secret_cnn.labelled_findings(docs)
+    for recall in (0.9, 0.995):
+        net = secret_cnn.fit(items, label, recall=recall)
+        held = np.arange(1, len(items), 2)
+        p = secret_cnn.probabilities(net, [items[i] for i in held])
+        secret = np.sort(p[label[held] == 1])
+        assert net.threshold == pytest.approx(secret[int((1 - recall) * len(secret))])
+        assert net.recall == pytest.approx((secret >= net.threshold - 1e-12).mean(), abs=2 / len(secret)) and net.recall >= recall
+        assert net.false_share < 0.05
+    (_, every, _), = secret_cnn.scan(["some notwithstanding words qZrTkWvBnMxLpHdGsYcF and internationalization, then words"], net)
+    assert secret_cnn.joined(every) == "network:27:47"
+
+
 def test_secret_gradients():
     items, label = secret_cnn.labelled_findings(["some words here to plant things in"] * 4)
     net = secret_cnn.fresh(1)

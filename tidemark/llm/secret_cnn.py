@@ -1,12 +1,14 @@
 """Operator 3: secrets in whole texts, by fixed patterns and a character convolutional network.
 
 Three plain patterns (assignments, access keys, hexadecimal runs) give the base spans; these always stay. Every further
-run of credential characters, and the base findings too, is a candidate: the network reads its characters with those
+run of twelve and more credential characters with a letter, long words among them, and the base findings too, is a
+candidate: the network reads its characters with those
 around it (convolution, rectifier, maximum and mean over all positions of the value, one hidden layer). It is trained on
 labelled findings: credentials of known formats, planted at word boundaries of sampled documents (label 1), against
 harmless identifiers planted alike and candidates that the documents hold themselves outside base findings (label 0).
 Half of the findings fit the network, the other half its calibration (a logistic curve) and its threshold: the largest
-that keeps ``recall`` of the calibration secrets, and never below a calibrated probability of one half.
+that keeps ``recall`` of the calibration secrets, wherever on the calibrated scale that lies. ``Network.recall`` and
+``Network.false_share`` say what it reaches there.
 
 The sample is bounded (``sample_rows`` documents, the smallest hashes of ids); every document is scanned whole, in one
 pass without a shuffle. Spans are in code points, end exclusive.
@@ -35,9 +37,9 @@ Span = tuple[int, int, str]
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-#: A candidate: sixteen credential characters or more, with a digit and a letter (checked after the match).
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-_HAS_DIGIT, _HAS_LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: A candidate: twelve credential characters or more, with a letter (checked after the match).
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+_HAS_LETTER = re.compile(r"[A-Za-z]")
 
 BEFORE, AFTER = 24, 8
 _CODE = np.zeros(128, np.int64)
@@ -64,7 +66,7 @@ def further_candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Runs of credential characters that do not meet a base finding."""
     out = []
     for m in _RUN.finditer(text):
-        if _HAS_DIGIT.search(m[0]) and _HAS_LETTER.search(m[0]) and not any(s < m.end() and e > m.start() for s, e, _ in base):
+        if _HAS_LETTER.search(m[0]) and not any(s < m.end() and e > m.start() for s, e, _ in base):
             out.append(m.span())
     return out
 
@@ -90,6 +92,8 @@ class Network:
     slope: float = 1.0
     offset: float = 0.0
     threshold: float = 0.5
+    recall: float = 0.0
+    false_share: float = 0.0
 
     def weights(self) -> list[np.ndarray]:
         return [self.embed, self.kernel, self.kernel_bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
@@ -182,7 +186,7 @@ def _gradients(net: Network, items: list, label: np.ndarray) -> list[np.ndarray]
     return [dembed, dkernel, dact.sum((0, 1)), pooled.T @ dh, dh.sum(0), h.T @ dz, dz.sum(keepdims=True)]
 
 
-def fit(items: list[tuple[np.ndarray, int, int]], label: np.ndarray, recall: float = 0.995, epochs: int = 6, batch: int = 64,
+def fit(items: list[tuple[np.ndarray, int, int]], label: np.ndarray, recall: float = 0.995, epochs: int = 20, batch: int = 64,
         rate: float = 0.004, seed: int = 0) -> Network:
     """Fit on the even findings, calibrate and set the threshold on the odd ones."""
     rng, net = np.random.default_rng(seed), fresh(seed)
@@ -211,7 +215,9 @@ def fit(items: list[tuple[np.ndarray, int, int]], label: np.ndarray, recall: flo
             break
     net.slope, net.offset = float(a), float(b)
     secret = np.sort(1 / (1 + np.exp(-np.clip(a * z[y == 1] + b, -500, 500))))
-    net.threshold = max(0.5, float(secret[int((1 - recall) * len(secret))]))
+    harmless = 1 / (1 + np.exp(-np.clip(a * z[y == 0] + b, -500, 500)))
+    net.threshold = float(secret[int((1 - recall) * len(secret))])
+    net.recall, net.false_share = float((secret >= net.threshold).mean()), float((harmless >= net.threshold).mean())
     return net
 
 
@@ -228,7 +234,7 @@ _ALNUM = T.UPPER + T.LOWER + "0123456789"
 
 def _secret(rng: np.random.Generator) -> str:
     """A credential of one of the common public formats."""
-    kind = rng.integers(0, 9)
+    kind = rng.integers(0, 11)
     if kind == 0:
         return "AKIA" + _text_of(rng, T.UPPER + "234567", 16)
     if kind == 1:
@@ -245,7 +251,9 @@ def _secret(rng: np.random.Generator) -> str:
         return "AIza" + _text_of(rng, _ALNUM + "_-", 35)
     if kind == 7:
         return rng.bytes(int(rng.integers(12, 33))).hex().upper()
-    return _text_of(rng, _ALNUM + "+/_-", int(rng.integers(20, 45)))
+    if kind == 8:
+        return _text_of(rng, T.UPPER + T.LOWER, int(rng.integers(16, 41)))
+    return _text_of(rng, _ALNUM + "+/_-" if kind == 9 else _ALNUM, int(rng.integers(20, 45) if kind == 9 else rng.integers(12, 20)))
 
 
 def _harmless(rng: np.random.Generator, words: list[str]) -> str:
@@ -255,7 +263,7 @@ def _harmless(rng: np.random.Generator, words: list[str]) -> str:
     def word() -> str:
         return ascii_words[rng.integers(0, len(ascii_words))].lower()
 
-    kind = rng.integers(0, 9)
+    kind = rng.integers(0, 11)
     number = str(rng.integers(0, 10**int(rng.integers(1, 7))))
     if kind == 0:
         return "_".join(word() for _ in range(rng.integers(2, 5))) + number
@@ -273,10 +281,19 @@ def _harmless(rng: np.random.Generator, words: list[str]) -> str:
         return "ISBN-" + "-".join(_text_of(rng, "0123456789", k) for k in (3, 1, 4, 4, 1))
     if kind == 7:
         return word() * int(rng.integers(3, 6)) + number
-    return (word() + word() + word() + number)[:60].upper()
+    if kind == 8:
+        return (word() + word() + word() + number)[:60].upper()
+    if kind == 9:
+        return "".join(word() for _ in range(rng.integers(2, 5)))
+    return "".join(word().title() for _ in range(rng.integers(2, 5)))
 
 
-def labelled_findings(texts: list[str], per_text: int = 2, seed: int = 0) -> tuple[list, np.ndarray]:
+def _neighbour(rng: np.random.Generator) -> str:
+    """Now and then another credential close by, with findings of both labels, so that company alone decides nothing."""
+    return f" {_secret(rng)} {('', 'and ', 'or: ')[rng.integers(0, 3)]}" if rng.integers(0, 4) == 0 else ""
+
+
+def labelled_findings(texts: list[str], per_text: int = 4, seed: int = 0) -> tuple[list, np.ndarray]:
     """Secrets and harmless identifiers at word boundaries of the texts, and the texts' own candidates outside base findings."""
     rng, items, label = np.random.default_rng(seed), [], []
     for text in texts or ["", ""] * 200:
@@ -287,12 +304,14 @@ def labelled_findings(texts: list[str], per_text: int = 2, seed: int = 0) -> tup
                 value = _secret(rng) if is_secret else _harmless(rng, words)
                 at = spaces[rng.integers(0, len(spaces))]
                 lead = (" ", " ", "\n", ": ", " = ", ' "')[rng.integers(0, 6)]
-                around = text[max(0, at - BEFORE):at] + lead
+                around = text[max(0, at - BEFORE):at] + _neighbour(rng) + lead
                 items.append(encoded(around + value + text[at:at + AFTER], len(around), len(around) + len(value)))
                 label.append(is_secret)
         base = base_spans(text)
-        for start, end in further_candidates(text, base)[:4]:
-            items.append(encoded(text, start, end))
+        own = further_candidates(text, base)
+        for start, end in (own[k] for k in rng.permutation(len(own))[:16]):
+            before = text[max(0, start - BEFORE):start] + _neighbour(rng)
+            items.append(encoded(before + text[start:end + AFTER], len(before), len(before) + end - start))
             label.append(0)
     order = rng.permutation(len(items))
     return [items[i] for i in order], np.array(label, float)[order]
