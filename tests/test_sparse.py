@@ -79,3 +79,11 @@ def test_fifty_features_against_numpy(spark, monkeypatch, held):
         np.testing.assert_allclose(part["prediction"], part[names].to_numpy() @ direct(pdf[pdf["rank"] < rank], l2), rtol=1e-7, atol=1e-9)
     with pytest.raises(TidemarkError, match="no rows"):
         fi.fit_ridge(df.limit(0), names, "y", 1.0)
+
+
+def test_each_category_is_measured_for_itself(spark, monkeypatch):
+    monkeypatch.setattr(sp, "SMALL_BYTES", 10_000)
+    df = spark.range(5_000).select("id", (F.col("id") % 3).alias("few"), (F.col("id") % 2_000).alias("many"))
+    rows, _ = sp.sparse_design(df, [], ["few", "many"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    assert rows.filter(F.size("indices") == 3).count() == 5_000

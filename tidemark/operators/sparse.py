@@ -52,13 +52,13 @@ def sparse_design(df: DataFrame, numeric: Sequence[str], categories: Sequence[st
     """The rows with two arrays, indices and values of their non-zero design columns by rising index, and the table of columns.
 
     Numbers are standardised. A NULL number or category has no entry: it stands at the mean, or at no level. Levels join as
-    texts, broadcast while their table is small by measure, shuffled with skewed levels split beyond that.
+    texts. Each category is measured for itself: its levels are broadcast while they are small, so that a category of three
+    levels never deals the rows to three tasks; beyond that the join shuffles, with skewed levels split.
     """
     clash = {indices, values} & set(df.columns)
     if clash:
         raise TidemarkError(f"columns {sorted(clash)} are taken")
     columns = settle(column_index(df, numeric, categories))
-    placed = F.broadcast if measured_bytes(columns) <= SMALL_BYTES else (lambda side: side)
     scales = scales_of(df, numeric)
     entries = [F.struct(F.lit(0).cast("long").alias("i"), F.lit(1.0).alias("v"))]
     for i, c in enumerate(numeric, 1):
@@ -69,7 +69,8 @@ def sparse_design(df: DataFrame, numeric: Sequence[str], categories: Sequence[st
     for j, c in enumerate(categories):
         side = columns.filter((F.col("name") == c) & F.col("level").isNotNull()).select(
             F.col("level").alias(f"_level{j}"), F.col("index").alias(f"_index{j}"))
-        out = out.join(placed(side), F.col(c).cast("string") == F.col(f"_level{j}"), "left").drop(f"_level{j}")
+        placed = F.broadcast(side) if measured_bytes(side) <= SMALL_BYTES else side
+        out = out.join(placed, F.col(c).cast("string") == F.col(f"_level{j}"), "left").drop(f"_level{j}")
         entries.append(F.when(F.col(f"_index{j}").isNotNull(), F.struct(F.col(f"_index{j}").alias("i"), F.lit(1.0).alias("v"))))
     rows = out.withColumn("_entries", F.array_compact(F.array(*entries)))
     return rows.withColumns({indices: F.col("_entries.i"), values: F.col("_entries.v")}).drop(
