@@ -165,8 +165,7 @@ def team_strength_scorelines(spark, sf):
     strength, advantage = fi.fit_team_strength(played, "2002-01-01 00:00:00")
     rated = fi.match_rates(played, strength, advantage).withColumn("w", F.lit(1.0))
     rated = rated.withColumn("rho", F.lit(fi.fit_dependence(rated)))
-    cells = pm.scoreline_cells(rated, ["season", "fixture"])
-    return pm.scoreline_summary(cells, ["season", "fixture"])
+    return pm.scoreline_summary(rated, ["season", "fixture"])
 
 
 LOW_SQL = """WITH low AS (SELECT l_orderkey AS fixture, CAST(min(l_partkey) % 2 AS INT) AS h, CAST(min(l_suppkey) % 2 AS INT) AS a,

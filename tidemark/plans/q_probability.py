@@ -24,13 +24,13 @@ GRID_SQL = f"""WITH rates AS (SELECT {_RATES} FROM customer),
    sum(greatest(raw, 0)) OVER (PARTITION BY fixture) AS mass FROM g)"""
 
 
-def cells(spark, sf):
-    return pm.scoreline_cells(table(spark, sf, "customer").selectExpr(*st.columns(_RATES)), ["fixture"])
+def rated(spark, sf):
+    return table(spark, sf, "customer").selectExpr(*st.columns(_RATES))
 
 
 @query("scoreline_rows", GRID_SQL + " SELECT fixture, CAST(h AS INT) AS h, CAST(a AS INT) AS a, round(p, 9) AS p FROM grid")
 def scoreline_rows(spark, sf):
-    return cells(spark, sf).select("fixture", "h", "a", F.round("p", 9).alias("p"))
+    return pm.scoreline_cells(rated(spark, sf), ["fixture"]).select("fixture", "h", "a", F.round("p", 9).alias("p"))
 
 
 @query("scoreline_summary", GRID_SQL + """
@@ -38,7 +38,7 @@ def scoreline_rows(spark, sf):
     round(sum(p) FILTER (h < a), 9) AS away_win, round(sum(h * p), 8) AS home_expected, round(sum(a * p), 8) AS away_expected
   FROM grid GROUP BY 1""")
 def scoreline_summary(spark, sf):
-    s = pm.scoreline_summary(cells(spark, sf), ["fixture"])
+    s = pm.scoreline_summary(rated(spark, sf), ["fixture"])
     return s.select("fixture", F.round("mass_before_truncation", 9).alias("mass"),
                     *[F.round(c, 9).alias(c) for c in ("home_win", "draw", "away_win")],
                     *[F.round(c, 8).alias(c) for c in ("home_expected", "away_expected")])
@@ -48,14 +48,13 @@ def scoreline_summary(spark, sf):
   SELECT fixture, CAST(h AS INT) AS mode_home, CAST(a AS INT) AS mode_away FROM (
     SELECT *, row_number() OVER (PARTITION BY fixture ORDER BY round(p, 12) DESC, h, a) rn FROM grid) WHERE rn = 1""")
 def scoreline_mode(spark, sf):
-    rounded = cells(spark, sf).withColumn("p", F.round("p", 12))
-    return pm.scoreline_summary(rounded, ["fixture"]).select("fixture", "mode_home", "mode_away")
+    return pm.scoreline_summary(rated(spark, sf), ["fixture"], mode_decimals=12).select("fixture", "mode_home", "mode_away")
 
 
 @query("goal_marginal", GRID_SQL + """
   SELECT fixture, CAST(h AS INT) AS goals, round(sum(p), 9) AS probability FROM grid GROUP BY 1, 2""")
 def goal_marginal(spark, sf):
-    return pm.goal_marginal(cells(spark, sf), ["fixture"]).withColumn("probability", F.round("probability", 9))
+    return pm.goal_marginal(rated(spark, sf), ["fixture"]).withColumn("probability", F.round("probability", 9))
 
 
 # -- scalar masses -----------------------------------------------------------------------------------

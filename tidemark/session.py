@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -70,6 +71,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Rows dealt by their keys to tasks of about ``rows`` rows each, however few files or large partitions they came in.
+
+    For steps that make much of little input: a task's share then stays the same while the table grows. The rows are
+    counted first, so ``df`` should be cheap to read or written. Adaptive execution keeps a number that was asked for.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *[F.col(k) for k in keys])
+
+
 # A table of at most so many bytes, measured on its rows, is sent to every executor.
 SMALL_BYTES = 32 << 20
 
