@@ -24,7 +24,9 @@ def _stripped(ch: str) -> str:
 _PLAIN = {c: _stripped(c) for c in map(chr, range(0xA0, 0xFFFF)) if len(_stripped(c)) == 1 and _stripped(c) != c}
 # Every character before the East Asian blocks, and the Latin ligatures, that becomes several.
 _SEVERAL = {c: _stripped(c) for c in map(chr, [*range(0xA0, 0x2E80), *range(0xFB00, 0xFB07)]) if len(_stripped(c)) > 1}
-_ANY_SEVERAL = "[" + "".join(_SEVERAL) + "]"
+# A class of so many letters is tried one by one, so the look-ahead lets go of the first hundred characters at once.
+_FIRST_SEVERAL = min(_SEVERAL)
+_ANY_SEVERAL = f"(?=[{_FIRST_SEVERAL}-\U0010FFFF])[" + "".join(_SEVERAL) + "]"
 
 
 def _spread(text: Column) -> Column:
