@@ -183,3 +183,13 @@ def test_ledger(spark):
     df = spark.createDataFrame(moves, "season string, arm string, gameweek int, element int, is_in int, price int")
     got = de.cash_ledger(df, 100).orderBy("gameweek").collect()
     assert [(r["bank"], r["overspent"]) for r in got] == [(40, False), (32, False), (-34, True)]
+
+
+def test_fixtures_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    from tidemark.operators import scoring
+
+    monkeypatch.setattr(scoring, "ROWS_SORTED", 100, raising=False)
+    df = spark.range(0, 1000, 1, 1).selectExpr("id div 4 AS fixture", "id % 4 AS bps", "cast(id % 4 AS int) AS bonus")
+    checked = scoring.verify_awards(df, ["fixture"])
+    assert checked.rdd.getNumPartitions() == 10
+    assert checked.filter("matches AND n_players = 4").count() == 250
