@@ -6,7 +6,7 @@ true and is compared strictly. Every read needs a timezone-aware cut-off.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -57,9 +57,12 @@ def as_of(
 
 def effective_at(
     df: DataFrame, key: Sequence[str], cutoff: datetime, valid: str, fmt: str | None = None,
-    observed: str = "observed_at", batch: str = "batch_id",
+    deal: Callable[[DataFrame], DataFrame] = lambda rows: rows, observed: str = "observed_at", batch: str = "batch_id",
 ) -> DataFrame:
-    """State as it was true before the cut-off, by a declared valid-time column; NULL times drop out."""
+    """State as it was true before the cut-off, by a declared valid-time column; NULL times drop out.
+
+    ``deal`` spreads the rows that qualify by their key; without it Spark does.
+    """
     cutoff = instant("cutoff", cutoff)
     if fmt == ISO_Z:
         # Texts of this form sort like their times, so the bound on the text prunes Parquet row groups.
@@ -69,7 +72,7 @@ def effective_at(
     when = F.to_timestamp_ntz(F.col(valid), F.lit(fmt)) if fmt else F.col(valid)
     timed = df.withColumn("_valid", when)
     true = timed.filter(F.col("_valid") < instant_column(cutoff, timed.schema["_valid"].dataType))
-    return _newest(true, key, [F.desc("_valid"), F.desc(observed), F.desc(batch)]).drop("_valid")
+    return _newest(deal(true), key, [F.desc("_valid"), F.desc(observed), F.desc(batch)]).drop("_valid")
 
 
 def observations(df: DataFrame, until: datetime, observed: str = "observed_at", ordered: bool = False) -> DataFrame:

@@ -19,6 +19,9 @@ from tidemark.sources.catalog import CATALOG, DERIVED_FIELDS, DERIVED_PREFIX, RE
 from tidemark.sources.manifest import Manifest
 from tidemark.session import TidemarkError, child_names, settle
 
+# Rows of a task that takes the newest rows: as few while the tasks stay at UNSORTED at most, at most as many beyond.
+FEW, UNSORTED, MANY = 100_000, 200, 4_000_000
+
 
 def row_digest(columns: Sequence[str]) -> Column:
     """SHA-256 of a row as JSON with its columns in name order and NULLs kept."""
@@ -158,6 +161,16 @@ class ObservationStore:
         df = self.scan(dataset)
         return None if df is None else df.filter(F.col("date") <= F.lit(day))
 
+    def _dealt(self, dataset: str, df: DataFrame, key: Sequence[str]) -> DataFrame:
+        """Rows dealt by their key before the newest of each is taken, to a number of tasks that follows the manifest's row counts.
+
+        A key has a row per batch, so the tasks stay even. Stored rows are small and wide: a few files would otherwise hold
+        more rows than one task should sort.
+        """
+        n = self.manifest(dataset).entries().agg(F.sum("n_rows")).first()[0] or 0
+        # Up to UNSORTED tasks the writing side needs no sort either.
+        return df.repartition(max(1, min(UNSORTED, -(-n // FEW)), -(-n // MANY)), *[F.col(k) for k in key]) if key else df
+
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], T.StructType([]))
 
@@ -172,7 +185,7 @@ class ObservationStore:
     def as_of(self, dataset: str, cutoff: datetime) -> DataFrame:
         key = lookup(dataset).key
         df = self._known(dataset, cutoff)
-        return self._empty() if df is None else tt.as_of(df, key, cutoff)
+        return self._empty() if df is None else tt.as_of(self._dealt(dataset, df, key), key, cutoff)
 
     def effective_at(self, dataset: str, cutoff: datetime) -> DataFrame:
         spec = lookup(dataset)
@@ -180,7 +193,8 @@ class ObservationStore:
             raise TidemarkError(f"{dataset} declares no valid-time column")
         tt.instant("cutoff", cutoff)
         df = self.scan(dataset)
-        return self._empty() if df is None else tt.effective_at(df, spec.key, cutoff, spec.valid_time, spec.valid_format)
+        return self._empty() if df is None else tt.effective_at(
+            df, spec.key, cutoff, spec.valid_time, spec.valid_format, lambda rows: self._dealt(dataset, rows, spec.key))
 
     def observations(self, dataset: str, until: datetime) -> DataFrame:
         tt.instant("until", until)
@@ -188,8 +202,8 @@ class ObservationStore:
         return self._empty() if df is None else tt.observations(df, until)
 
     def latest(self, dataset: str) -> DataFrame:
-        df = self.scan(dataset)
-        return self._empty() if df is None else tt.latest(df, lookup(dataset).key)
+        df, key = self.scan(dataset), lookup(dataset).key
+        return self._empty() if df is None else tt.latest(self._dealt(dataset, df, key), key)
 
     # -- derived facts -------------------------------------------------------------------------------
 
