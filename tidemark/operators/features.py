@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.operators.ordered import trailing_mean_rows
-from tidemark.session import small
+from tidemark.session import small, written
 
 # Trailing windows, defaults and thresholds of the features.
 WINDOWS = (3, 5, 10)
@@ -485,6 +485,7 @@ def live_null_guard(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
 def referee_trailing(matches: DataFrame, referee: str = "official_name", value: str = "match_total_cards",
                      order: Sequence[str] = ("kickoff", "fixture")) -> DataFrame:
     """Mean of a referee's ten matches before, across seasons; a first match takes the overall mean."""
+    matches = written(matches, "matches")  # read for the mean, for the slices' bounds and for the slices
     overall = matches.agg(F.avg(F.col(value).cast("double"))).first()[0]
     out = "referee_trailing_cards_per_match_10"
     trailed = trailing_mean_rows(matches, [referee], list(order), {out: value}, REFEREE_WINDOW)

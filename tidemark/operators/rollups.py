@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.operators.features import trailing_mean
 from tidemark.operators.ordered import trailing_mean_rows
+from tidemark.session import written
 
 # The sample check's limits.
 SAMPLE_LIMIT_PP = 3.0
@@ -68,16 +69,20 @@ def resolved_referees(facts: DataFrame, team_identity: DataFrame, fixtures: Data
     """Referee and total cards of each fixture: opponent id to code, (date, away code) to match, match to referee.
 
     ``team_identity``: season, id, code. ``fixtures``: match_id, kickoff, away_team_code. ``officials``:
-    match_id, is_referee, official_name. Fixtures without a referee drop out.
+    match_id, is_referee, official_name. Fixtures without a referee drop out. The facts are read once: home sides and cards
+    come from one rollup.
     """
-    home = facts.filter("was_home").select("season", "round", "fixture", "opponent_team", "kickoff").distinct()
+    sides = written(facts.groupBy("season", "round", "fixture", "opponent_team", "kickoff").agg(
+        F.max("was_home").alias("was_home"), F.sum(F.col("yellow_cards") + F.col("red_cards")).alias("_cards")), "sides")
+    home = sides.filter("was_home").select("season", "round", "fixture", "opponent_team", "kickoff")
+    cards = sides.groupBy("season", "fixture").agg(F.sum("_cards").alias("match_total_cards"))
     codes = team_identity.select("season", F.col("id").alias("opponent_team"), F.col("code").alias("away_team_code"))
     played = fixtures.select("match_id", F.to_date("kickoff").alias("kickoff_date"), "away_team_code")
     referees = officials.filter("is_referee").select("match_id", "official_name")
     resolved = (
         home.withColumn("kickoff_date", F.to_date("kickoff"))
         .join(codes, ["season", "opponent_team"], "left").join(played, ["kickoff_date", "away_team_code"], "left")
-        .join(referees, "match_id", "left").join(match_cards(facts), ["season", "fixture"], "left")
+        .join(referees, "match_id", "left").join(cards, ["season", "fixture"], "left")
     )
     return resolved.filter(F.col("official_name").isNotNull()).select(
         "season", "round", "fixture", "kickoff", "match_id", "official_name", "match_total_cards"

@@ -14,6 +14,7 @@ from tidemark.operators import rollups as ro
 from tidemark.plans import standins as st
 from tidemark.plans.q_features import BONUS_TRAIL, MINUTES_TRAIL, ROW, ROWS, mean_sql, r6, team_sql, zero
 from tidemark.plans.registry import query, table
+from tidemark.session import written
 
 # -- projections and filters -------------------------------------------------------------------------
 
@@ -239,8 +240,10 @@ REFEREE_SQL = st.FACTS_SQL + """, shaped AS (SELECT * REPLACE (CAST(fixture % 25
 def referees(spark, sf):
     week = F.date_trunc("week", "kickoff").cast("timestamp_ntz")
     facts = st.facts(spark, sf).withColumn("opponent_team", (F.col("fixture") % 25).cast("int")).withColumn("kickoff", week)
-    identity = facts.select("season", F.col("opponent_team").alias("id")).distinct().withColumn("code", F.col("id") + 100)
-    fixtures = facts.groupBy("kickoff", (F.col("opponent_team") + 100).alias("away_team_code")).agg(F.min("fixture").alias("match_id"))
+    # A row per week and side of a season: what the schedule and the identities are taken from, without further reads of the facts.
+    weeks = written(facts.groupBy("season", "kickoff", "opponent_team").agg(F.min("fixture").alias("match_id")), "weeks")
+    identity = weeks.select("season", F.col("opponent_team").alias("id")).distinct().withColumn("code", F.col("id") + 100)
+    fixtures = weeks.groupBy("kickoff", (F.col("opponent_team") + 100).alias("away_team_code")).agg(F.min("match_id").alias("match_id"))
     officials = fixtures.select("match_id", F.lit(True).alias("is_referee"), F.when(F.col("match_id") % 3 > 0, F.concat(F.lit("Ref "), (F.col("match_id") % 40).cast("string"))).alias("official_name")).distinct()
     return facts, fe.referee_trailing(ro.resolved_referees(facts, identity, fixtures, officials), order=("kickoff", "season", "round", "fixture"))
 
