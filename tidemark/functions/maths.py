@@ -19,6 +19,19 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def half_up(x: Column, places: int = 0) -> Column:
+    """``round(x, places)`` of a double, the same value for a fraction of the time.
+
+    ``round`` writes every number out as decimal digits. Away from a tie the nearest whole number of units is the same, and
+    its quotient is the double nearest to those digits; near a tie, beyond 2^40 units and for NaN ``round`` itself decides.
+    """
+    x = x.cast("double")
+    units = x * F.lit(10.0 ** places)
+    near = F.rint(units)
+    plain = (F.abs(units) < float(1 << 40)) & (F.abs(units - near) < 0.499)
+    return F.when(plain, near / F.lit(10.0 ** places) + F.lit(0.0)).otherwise(F.round(x, places))
+
+
 def decay_weight(days: Column, from_xg: Column) -> Column:
     """Exponential time decay times the weight of the evidence's source."""
     return F.exp(-F.ln(F.lit(2.0)) * days / HALF_LIFE_DAYS) * F.when(from_xg, 1.0).otherwise(GOALS_SOURCE_WEIGHT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.maths import half_up
 from tidemark.operators import features as fe
 from tidemark.plans import standins as st
 from tidemark.plans.registry import query, table
@@ -14,7 +15,7 @@ THRESHOLDS = {"DEF": 10, "MID_FWD": 12}
 
 
 def rounded(df, keep, numbers):
-    return df.select(*keep, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in numbers])
+    return df.select(*keep, *[half_up(F.col(c), 6).alias(c) for c in numbers])
 
 
 def mean_sql(value, rows, key="season, element", order="round"):
