@@ -418,8 +418,9 @@ def roster_fixtures(roster: DataFrame, fixtures: DataFrame) -> DataFrame:
 
     roster: season, element, team, position. fixtures: season, team, round, fixture, kickoff, was_home, a row for each side.
     """
-    return normalise_positions(roster.select(*TEAM, "element", "position").distinct()).join(
+    joined = normalise_positions(roster.select(*TEAM, "element", "position").distinct()).join(
         fixtures.select(*TEAM, "round", "fixture", "kickoff", "was_home"), list(TEAM))
+    return written(joined, "upcoming")  # read for the players' spine, for the teams' and for the served rows
 
 
 def _with_player(upcoming: DataFrame, features: DataFrame, key: Sequence[str] = PLAYER) -> DataFrame:
