@@ -23,11 +23,12 @@ from tidemark.session import TidemarkError, small, written
 PARTS = 32
 
 
-def class_cells(df: DataFrame, x: Sequence[str], y: str, rank: str) -> DataFrame:
+def class_cells(df: DataFrame, x: Sequence[str], y: str, rank: str, weight: str | None = None) -> DataFrame:
     """Equal rows once: _rank, the features, _y and their number _n. Rows with a NULL among these take no part."""
     features = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)]
-    rows = df.select(F.col(rank).cast("long").alias("_rank"), *features, F.col(y).cast("int").alias("_y")).dropna()
-    return written(rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("_n")), "cells")
+    count = F.col(weight) if weight else F.lit(1)
+    rows = df.select(F.col(rank).cast("long").alias("_rank"), *features, F.col(y).cast("int").alias("_y"), count.alias("_n")).dropna()
+    return written(rows.groupBy(*[c for c in rows.columns if c != "_n"]).agg(F.sum("_n").cast("double").alias("_n")), "cells")
 
 
 def _pass(cells: DataFrame, p: int, k: int, fits: dict[int, tuple[int, float, np.ndarray]]) -> DataFrame:
@@ -81,17 +82,17 @@ def _pass(cells: DataFrame, p: int, k: int, fits: dict[int, tuple[int, float, np
 
 
 def fit_class_folds(df: DataFrame, x: Sequence[str], y: str, n_classes: int, l2s: Sequence[float], folds: Sequence[int],
-                    rank: str = "fold", tolerance: float = 1e-10, max_steps: int = 60) -> DataFrame:
+                    rank: str = "fold", tolerance: float = 1e-10, max_steps: int = 60, weight: str | None = None) -> DataFrame:
     """Weights minimising negative log likelihood plus l2 times their squared sum, per fold and penalty.
 
     Returns fold, l2, n (training rows), weights (feature by feature, the classes within), gradient, steps and converged.
-    Folds without earlier rows have no fit. A step that does not lower the loss is halved. A fit that has not converged
+    ``weight`` names a column with the number of rows that a row stands for. Folds without earlier rows have no fit. A step that does not lower the loss is halved. A fit that has not converged
     after the last step says so.
     """
     if not folds or not l2s or not x or n_classes < 2:
         raise TidemarkError("a fit needs folds, penalties, features and two classes")
     p, k = len(x), n_classes
-    cells = class_cells(df, x, y, rank)
+    cells = class_cells(df, x, y, rank, weight)
     bad = cells.agg(F.count_if((F.col("_y") < 0) | (F.col("_y") >= k))).first()[0]
     if bad:
         raise TidemarkError(f"classes run from 0 to {k - 1}")
@@ -134,10 +135,14 @@ def class_predictions(df: DataFrame, fits: DataFrame, x: Sequence[str], n_classe
     return placed.join(small(side), "_fold").withColumn(out, F.array(*softmax(logits))).drop("_fold", "_weights")
 
 
-def penalty_path(predictions: DataFrame, y: str = "y", probs: str = "probs", key: Sequence[str] = ()) -> DataFrame:
-    """Held-out log loss and Brier score of every penalty, and which has the least log loss (of equal ones the largest)."""
-    label = F.col(y).cast("int")
+def penalty_path(predictions: DataFrame, y: str = "y", probs: str = "probs", key: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Held-out log loss and Brier score of every penalty, and which has the least log loss (of equal ones the largest).
+
+    ``weight`` names a column with the number of rows that a row stands for.
+    """
+    label, held = F.col(y).cast("int"), F.col(weight) if weight else None
     scored = predictions.groupBy(*key, "l2").agg(
-        F.count("*").alias("n"), multiclass_log_loss(label, F.col(probs)).alias("log_loss"), multiclass_brier(label, F.col(probs)).alias("brier"))
+        (F.count("*") if held is None else F.sum(held)).alias("n"), multiclass_log_loss(label, F.col(probs), held).alias("log_loss"),
+        multiclass_brier(label, F.col(probs), held).alias("brier"))
     place: Column = F.row_number().over(W.partitionBy(*(key or [F.lit(0)])).orderBy("log_loss", F.desc("l2")))
     return scored.withColumn("is_best", place == 1)

@@ -199,9 +199,10 @@ def _zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0.0))
 
 
-def minutes_rounds(df: DataFrame) -> DataFrame:
+def minutes_rounds(df: DataFrame, sums: Mapping[str, Column | str] | None = None) -> DataFrame:
+    """``sums`` are further totals of a round that the trail passes on."""
     return player_rounds(
-        df, {"round_minutes": "minutes"},
+        df, {"round_minutes": "minutes", **(sums or {})},
         [F.max("starts").alias("any_start"), first_by(["fixture"], "value").alias("round_value"),
          first_by(["fixture"], "selected").alias("round_selected")],
     )
@@ -316,6 +317,15 @@ def attach_player(df: DataFrame, features: DataFrame, key: Sequence[str] = PLAYE
     return df.join(wanted, [*key, "round"], "left")
 
 
+def started_rounds(facts: DataFrame, seasons: Sequence[str] | None = None, allow_live: bool = False) -> DataFrame:
+    """A row per player and round with the features of ``minutes_table`` and how many of its rows start (n_1) or do not (n_0).
+
+    All rows of a round have the same features, so counting them in the rollup spares the join back to the rows.
+    """
+    labeled = eligible(facts, seasons, allow_live).filter(F.col("starts").isNotNull())
+    return minutes_trail(minutes_rounds(labeled, {f"n_{y}": (F.col("starts") == y).cast("long") for y in (0, 1)}))
+
+
 def minutes_table(facts: DataFrame, seasons: Sequence[str] | None = None, allow_live: bool = False) -> DataFrame:
     raw = eligible(facts, seasons, allow_live)
     labeled = minutes_state(raw.filter(F.col("starts").isNotNull()))

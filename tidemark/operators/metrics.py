@@ -28,14 +28,19 @@ def brier(y: Column, p: Column) -> Column:
     return F.avg(F.pow(p - y, 2))
 
 
-def multiclass_log_loss(y: Column, probs: Column) -> Column:
-    return F.avg(-F.ln(clip(F.get(probs, y), LOG_EPS, 1 - LOG_EPS)))
+def _mean(loss: Column, weight: Column | None) -> Column:
+    """Mean of a row's loss; a weight says for how many rows it stands. A NULL loss takes no part."""
+    return F.avg(loss) if weight is None else F.try_divide(F.sum(loss * weight), F.sum(F.when(loss.isNotNull(), weight)))
 
 
-def multiclass_brier(y: Column, probs: Column) -> Column:
-    return F.avg(let(probs, lambda v: array_sum(
+def multiclass_log_loss(y: Column, probs: Column, weight: Column | None = None) -> Column:
+    return _mean(-F.ln(clip(F.get(probs, y), LOG_EPS, 1 - LOG_EPS)), weight)
+
+
+def multiclass_brier(y: Column, probs: Column, weight: Column | None = None) -> Column:
+    return _mean(let(probs, lambda v: array_sum(
         F.transform(v, lambda p, k: F.pow(p - F.when(k == y, 1.0).otherwise(0.0), 2))
-    )))
+    )), weight)
 
 
 def ranked_probability_score(y: Column, probs: Column) -> Column:

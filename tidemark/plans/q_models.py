@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.maths import half_up
 from tidemark.operators import class_models as cm
 from tidemark.operators import features as fe
 from tidemark.operators import fitting as fi
@@ -75,15 +76,17 @@ def logistic_sql(penalties, steps: int = 14) -> str:
 
 
 def starts(spark, sf):
-    return settle(fe.minutes_table(st.facts(spark, sf)).select(
-        F.substring("season", 1, 4).cast("int").alias("fold"), F.col("starts").cast("int").alias("y"),
-        (F.round("trailing_minutes_mean_5", 3) / 90).alias("x"), F.lit(1.0).alias("one")))
+    """Rows alike in fold, feature and class once, with their number n: thousandths of minutes, however many rows there are."""
+    counted = F.inline(F.array(*[F.struct(F.lit(y).alias("y"), F.col(f"n_{y}").alias("n")) for y in (0, 1)]))
+    rows = fe.started_rounds(st.facts(spark, sf)).select(
+        F.substring("season", 1, 4).cast("int").alias("fold"), (half_up(F.col("trailing_minutes_mean_5"), 3) / 90).alias("x"), counted)
+    return settle(rows.filter("n > 0").groupBy("fold", "x", "y").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1.0)))
 
 
 @query("class_model_fits", CELLS_SQL + logistic_sql(PENALTIES) + """ SELECT f AS fold, l2, CAST(seen AS BIGINT) AS n, round(a, 5) AS intercept, round(b, 5) AS slope,
     true AS converged FROM fits""")
 def class_model_fits(spark, sf):
-    fits = cm.fit_class_folds(starts(spark, sf), ["one", "x"], "y", 2, PENALTIES, FOLDS)
+    fits = cm.fit_class_folds(starts(spark, sf), ["one", "x"], "y", 2, PENALTIES, FOLDS, weight="n")
     at = [F.get("weights", F.lit(i)) for i in range(4)]
     return fits.select("fold", "l2", "n", F.round(at[1] - at[0], 5).alias("intercept"), F.round(at[3] - at[2], 5).alias("slope"), "converged")
 
@@ -94,8 +97,8 @@ def class_model_fits(spark, sf):
   SELECT l2, n, round(log_loss, 6) AS log_loss, round(brier, 6) AS brier, row_number() OVER (ORDER BY log_loss, l2 DESC) = 1 AS is_best FROM path""")
 def class_penalty_path(spark, sf):
     rows = starts(spark, sf)
-    fits = cm.fit_class_folds(rows, ["one", "x"], "y", 2, PENALTIES, FOLDS)
-    path = cm.penalty_path(cm.class_predictions(rows.filter(F.col("fold") <= FOLDS[-1]), fits, ["one", "x"], 2, FOLDS))
+    fits = cm.fit_class_folds(rows, ["one", "x"], "y", 2, PENALTIES, FOLDS, weight="n")
+    path = cm.penalty_path(cm.class_predictions(rows.filter(F.col("fold") <= FOLDS[-1]), fits, ["one", "x"], 2, FOLDS), weight="n")
     return path.select("l2", "n", F.round("log_loss", 6).alias("log_loss"), F.round("brier", 6).alias("brier"), "is_best")
 
 
