@@ -5,7 +5,7 @@ The expressions are written once, in the dialect Spark SQL and DuckDB share, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.maths import half_up
 from tidemark.plans.registry import table
@@ -107,6 +107,21 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KICKOFF_TIME = next(e for e in columns(_FACTS) if e.endswith(" AS kickoff_time"))
+
+
+def players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least name, position and team of every element among its facts: they hang on the supplier alone."""
+    wanted = [e for e in columns(_FACTS) if e.endswith((" AS element", " AS name", " AS position", " AS team"))]
+    named = table(spark, sf_dir, "supplier").withColumn("l_suppkey", F.col("s_suppkey")).selectExpr(*wanted)
+    return named.groupBy("element").agg(*[F.min(c).alias(c) for c in ("name", "position", "team")])
+
+
+def kickoff_time(kickoff: str) -> Column:
+    """The facts' text of a kickoff; texts are in the order of their instants."""
+    return F.expr(_KICKOFF_TIME.replace("l_shipdate", kickoff))
+
+
 # Rows that may train a model: whole attributions from the archive, known positions.
 ELIGIBLE_SQL = FACTS_SQL + """,
 eligible AS (

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators.features import normalise_positions
 from tidemark.operators.quality import SEASON_ROUNDS, season_coverage
 from tidemark.operators.relational import two_providers
-from tidemark.session import TidemarkError
+from tidemark.session import TidemarkError, settle
 from tidemark.sources.catalog import ARCHIVE_STATS, LIVE_STATS
 from tidemark.sources.store import ObservationStore
 
@@ -54,14 +54,18 @@ def load_season(
     """Every observed appearance of a season; refuses what no squad can be built from, and reports missing rounds.
 
     Refused: a dataset without rows, a season without rows (the error names those present), missing columns, and a
-    position or team that is NULL in every row. One aggregate over the season's rows decides.
+    position or team that is NULL in every row. One rollup of the season's rows to rounds decides, and gives the coverage.
     """
     every = store.observations(dataset, until or datetime.now(timezone.utc))
     if "season" not in every.columns:
         raise TidemarkError(f"dataset {dataset} is empty: nothing to load")
     rows = every.filter(F.col("season") == season)
     checked = [c for c in FILLED_COLUMNS if c in every.columns]
-    n, *filled = rows.agg(F.count("*"), *[F.count(c) for c in checked]).first()
+    kept = normalise_positions(rows) if "position" in every.columns else rows
+    known = F.count_if(F.col("position") != "AM") if "position" in every.columns else F.count("*")
+    by_round = settle(rows.groupBy("season", *[c for c in ("round",) if c in every.columns]).agg(
+        F.count("*").alias("_n"), known.alias("_kept"), *[F.count(c).alias(c) for c in checked]))
+    n, *filled = by_round.agg(F.sum("_n"), *[F.sum(c) for c in checked]).first()
     if not n:
         # A season is a year of the calendar, so their number is small.
         present = sorted(s for (s,) in every.select("season").distinct().collect() if s is not None)
@@ -73,5 +77,4 @@ def load_season(
     void = [c for c, held in zip(checked, filled, strict=True) if not held]
     if void:
         raise TidemarkError(f"season {season!r}: columns {void} are NULL in every row")
-    kept = normalise_positions(rows)
-    return SeasonSlice(season, kept, season_coverage(kept, rounds))
+    return SeasonSlice(season, kept, season_coverage(by_round.filter("_kept > 0"), rounds))
