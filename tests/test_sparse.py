@@ -87,3 +87,16 @@ def test_each_category_is_measured_for_itself(spark, monkeypatch):
     rows, _ = sp.sparse_design(df, [], ["few", "many"])
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
     assert rows.filter(F.size("indices") == 3).count() == 5_000
+
+
+def test_sums_read_the_design_once(spark):
+    df = spark.range(60).select("id", (F.col("id") % 3).alias("c"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("y"))
+    rows, _ = sp.sparse_design(df, [], ["c"])
+    sums = sp.sparse_sums(rows, "y")
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    y = [i % 7 if i % 3 else None for i in range(60)]
+    want = {(0, 0): 60, (0, None): sum(v for v in y if v is not None), (1, None): None}
+    for c in range(3):
+        want |= {(0, c + 1): 20, (c + 1, c + 1): 20}
+    want |= {(c + 1, None): sum(y[c::3]) for c in (1, 2)}
+    assert {(r["i"], r["j"]): r["total"] for r in sums.collect()} == want

@@ -89,15 +89,15 @@ def sparse_scores(design: DataFrame, key: Sequence[str], coefficients: DataFrame
 def sparse_sums(design: DataFrame, y: str, indices: str = "indices", values: str = "values") -> DataFrame:
     """The non-zero normal equations as a table: (i, j, total) for i <= j, and j NULL for the sums with ``y``.
 
-    A row gives one entry per pair of its own few columns, combined on the map side.
+    A row gives one entry per pair of its own few columns, combined on the map side. Its ``y`` is an entry without an index
+    behind the others, so that the design, which may come from a join of all rows, is read once.
     """
     e = F.arrays_zip(F.col(indices).alias("i"), F.col(values).alias("v"))
-    rows = design.select(e.alias("_e"), F.col(y).cast("double").alias("_y"))
-    left = rows.select("_e", "_y", F.explode("_e").alias("_l"))
-    with_y = left.select(F.col("_l.i").alias("i"), F.lit(None).cast("long").alias("j"), (F.col("_l.v") * F.col("_y")).alias("v"))
-    pairs = left.select("_l", F.explode("_e").alias("_r")).filter("_r.i >= _l.i").select(
+    last = F.array(F.struct(F.lit(None).cast("long").alias("i"), F.col(y).cast("double").alias("v")))
+    left = design.select(F.concat(e, last).alias("_all"), F.explode(e).alias("_l"))
+    pairs = left.select("_l", F.explode("_all").alias("_r")).filter("_r.i IS NULL OR _r.i >= _l.i").select(
         F.col("_l.i").alias("i"), F.col("_r.i").alias("j"), (F.col("_l.v") * F.col("_r.v")).alias("v"))
-    return pairs.unionByName(with_y).groupBy("i", "j").agg(F.sum("v").alias("total"))
+    return pairs.groupBy("i", "j").agg(F.sum("v").alias("total"))
 
 
 # -- packed sums -------------------------------------------------------------------------------------
